@@ -28,6 +28,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=512)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identify
 
@@ -50,5 +56,5 @@ def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), labels)
 
 
-QUERIES = {f.__name__: f for f in (op4_line_crf, op5_token_counts, op7_language_id, op9_byte_bpe, op10_host_reputation)}
+QUERIES = {f.__name__: f for f in (op4_line_crf, op5_token_counts, op6_warc, op7_language_id, op9_byte_bpe, op10_host_reputation)}
 ORACLES: dict[str, str] = {}

@@ -17,21 +17,18 @@ import os
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from .common import arrow_rows, text_slices
+from .pieces import byte_table, piece_starts
 
-#: Texts above this many bytes are cut, at whitespace that follows a visible character, where a match always begins.
-PART_BYTES = 1 << 16
-
-
-def byte_table() -> list[str]:
-    """The printable character of each byte: itself where printable in Latin-1, else the next free one from U+0100."""
-    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    spare = iter(range(0x100, 0x200))
-    return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
+#: Distinct pieces that a worker keeps with their ids; beyond that it starts anew between two slices.
+MOST_PIECES = 300_000
+#: Fixed value: the usual split pattern of byte-level BPE, for which pieces are found without a regular expression.
+COMMON_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,7 +41,7 @@ class ByteBPE:
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         ranks = read_ranks(path)
         chars = byte_table()
@@ -53,30 +50,59 @@ class ByteBPE:
         for token, _ in sorted(ranks.items(), key=lambda x: x[1]):
             splits = [(token[:i], token[i:]) for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
             merges += [(shown[a], shown[b]) for a, b in sorted(splits, key=lambda s: (ranks[s[0]], ranks[s[1]]))]
-        self.tokenizer = Tokenizer(models.BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True, cache_capacity=200_000))
-        self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.tokenizer = Tokenizer(models.BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
+        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         size = max(ranks.values(), default=-1) + 1
         back = {c: b for b, c in enumerate(chars)}
         self.bytes_of: list[bytes] = [b""] * size
         for r in ranks.values():
             self.bytes_of[r] = bytes(back[c] for c in self.tokenizer.id_to_token(r))
         self.decimal = [str(i) for i in range(size)]
-        self._cut = regex.compile(r"\S(?=\s)")
-
-    def parts(self, text: str) -> list[str]:
-        """Pieces of text whose encodings join to that of the whole."""
-        out, at = [], 0
-        while len(text) - at > PART_BYTES:
-            if not (m := self._cut.search(text, at + PART_BYTES)):
-                break
-            out.append(text[at : m.end()])
-            at = m.end()
-        return [*out, text[at:]]
+        self.common, self.split = pattern == COMMON_PATTERN, regex.compile(pattern)
+        self.forget()
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Encodes pieces that aren't known yet; what they give is kept by piece."""
+        for i in range(0, len(pieces), 4096):
+            part = pieces[i : i + 4096]
+            for piece, found in zip(part, self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in part], add_special_tokens=False), strict=True):
+                ids = found.ids
+                self.known[piece] = len(self.ids)
+                self.ids.append(ids)
+                self.sizes.append(len(ids))
+                self.shown.append(",".join(map(self.decimal.__getitem__, ids)))
+                self.raw.append(self.decode_bytes(ids))
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.ids: list[list[int]] = []
+        self.sizes: list[int] = []
+        self.shown: list[str] = []
+        self.raw: list[bytes] = []
+
+    def pieces(self, data: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
+        """For each text data[offsets[i]:offsets[i + 1]] the numbers of its pieces; distinct pieces are encoded once."""
+        if len(self.known) > MOST_PIECES:
+            self.forget()
+        if not len(data):
+            return [[] for _ in offsets[1:]]
+        if self.common:
+            starts = piece_starts(data, offsets)
+        else:
+            blob = data.tobytes()
+            starts = np.array([a + len(t[: m.start()].encode()) for a, b in zip(offsets[:-1], offsets[1:], strict=True) for t in [blob[a:b].decode()] for m in self.split.finditer(t)], np.int64)
+        bounds = np.append(starts, len(data)).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        self._learn([w for w in words if w not in self.known])
+        number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[np.asarray(coded.indices)]
+        at = np.searchsorted(starts, offsets, "left")
+        return [number[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        parts = [self.parts(t) for t in texts]
-        flat = iter(self.tokenizer.encode_batch_fast([p for ps in parts for p in ps], add_special_tokens=False))
-        return [next(flat).ids if len(ps) == 1 else [i for _ in ps for i in next(flat).ids] for ps in parts]
+        raw = [t.encode("utf-8") for t in texts]
+        rows = self.pieces(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64))
+        return [[i for k in row for i in self.ids[k]] for row in rows]
 
     def offsets(self, text: str) -> list[tuple[int, int, int]]:
         """(id, first byte, end byte) of each token of text."""
@@ -109,11 +135,13 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...
         model = bpe(path, pattern)
         for batch in batches:
             for i, j, data, off in text_slices(batch, text):
-                blob, cols = data.tobytes(), [[] for _ in out]
-                for ids in model.encode([blob[a:b].decode("utf-8") for a, b in zip(off[:-1], off[1:], strict=True)]):
-                    whole = model.decode_bytes(ids)
-                    row = (len(ids), hashlib.sha256(",".join(map(model.decimal.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(whole).hexdigest(), ids, whole)
-                    for col, x in zip(cols, row, strict=False):
+                cols: list[list] = [[] for _ in out]
+                for row in model.pieces(data, off):
+                    whole = b"".join([model.raw[k] for k in row])
+                    shown = ",".join([model.shown[k] for k in row])
+                    cells = (sum([model.sizes[k] for k in row]), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(whole).hexdigest())
+                    cells += ([i for k in row for i in model.ids[k]], whole) if with_ids else ()
+                    for col, x in zip(cols, cells, strict=True):
                         col.append(x)
                 part = batch.slice(i, j - i)
                 arrays = [part.column(k) for k in keep] + [pa.array(c, t) for c, (_, t, _) in zip(cols, out, strict=True)]

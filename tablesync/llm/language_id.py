@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, mix64, text_slices
-from .token_counts import LETTER, char_classes
+from .pieces import LETTER, char_classes
 
 PER_LANGUAGE = 2000
 BUCKETS = 1 << 16

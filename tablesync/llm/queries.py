@@ -22,6 +22,12 @@ def op2_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op3_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minmax_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
 def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_crf import score_quality
 
@@ -62,5 +68,5 @@ def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), labels)
 
 
-QUERIES = {f.__name__: f for f in (op2_posting_lists, op4_line_crf, op5_token_counts, op6_warc, op7_language_id, op9_byte_bpe, op10_host_reputation)}
+QUERIES = {f.__name__: f for f in (op2_posting_lists, op3_minmax_dedup, op4_line_crf, op5_token_counts, op6_warc, op7_language_id, op9_byte_bpe, op10_host_reputation)}
 ORACLES: dict[str, str] = {}

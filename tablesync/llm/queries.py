@@ -52,6 +52,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -68,5 +74,5 @@ def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), labels)
 
 
-QUERIES = {f.__name__: f for f in (op2_posting_lists, op3_minmax_dedup, op4_line_crf, op5_token_counts, op6_warc, op7_language_id, op9_byte_bpe, op10_host_reputation)}
+QUERIES = {f.__name__: f for f in (op2_posting_lists, op3_minmax_dedup, op4_line_crf, op5_token_counts, op6_warc, op7_language_id, op8_suffix_dedup, op9_byte_bpe, op10_host_reputation)}
 ORACLES: dict[str, str] = {}

@@ -1,15 +1,73 @@
-"""The corpus pipeline; its stages follow as their operators land."""
+"""The corpus pipeline: five stages, each an operator of tablesync.llm applied to all that is left.
+
+Stages 1 to 4 return the columns of documents. Between stages the documents are written to the
+shared folder. Defined cases: a null or letterless text has no language and goes; of a group of near
+duplicates, and of repeated rows of one id in it, one row stays; rows of null id are no one's
+duplicate; a text of which no byte is left goes, as do the fragments of a character that a cut splits.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tablesync.llm.byte_bpe import encode_decode
+from tablesync.llm.common import durable
+from tablesync.llm.language_id import identify
+from tablesync.llm.minmax_dedup import near_duplicates
+from tablesync.llm.queries import table, tokenizer_file
+from tablesync.llm.string_tiling import clean
+from tablesync.llm.substring_dedup import remove_repeats
+
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without a language; lang becomes the language found."""
+    found = identify(docs, keep=tuple(docs.columns)).where("lang_pred <> 'und'")
+    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates: that of the smallest id."""
+    found = durable(near_duplicates(docs, size=SHINGLE_WORDS, percent=SIMILAR_PERCENT), "near")
+    gone = found.where("not kept").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti")
+    again = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not again.isEmpty():
+        turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(*docs.columns))
+        once = left.join(again, "doc_id", "left_semi").withColumn("_turn", turn).where("_turn = 1").drop("_turn")
+        left = left.join(again, "doc_id", "left_anti").unionByName(once)
+    return left.select(*docs.columns)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes repeated passages out of the texts; n_chars follows."""
+    found = remove_repeats(docs, with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.try_validate_utf8(F.col("kept").cast("string")).alias("_whole"), F.make_valid_utf8(F.col("kept").cast("string")).alias("_made")).dropDuplicates(["_id", "_sha"])
+    kept = F.coalesce("_whole", F.regexp_replace("_made", "�", ""))
+    rows = docs.withColumn("_own", F.sha2("text", 256)).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left")
+    rows = rows.withColumn("_text", F.when(F.col("_sha").isNull(), F.col("text")).otherwise(kept)).where("_sha is null or _text <> ''")
+    return rows.withColumn("n_chars", F.when(F.col("_sha").isNull(), F.col("n_chars")).otherwise(F.length("_text").cast("bigint"))).withColumn("text", F.col("_text")).select(*docs.columns)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents into which a benchmark item leaked."""
+    return clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what is left."""
+    import public_tokenizers
+
+    return encode_decode(docs, tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
 
-STAGES: list = []
+STAGES = [("language_id", language), ("near_dedup", near), ("suffix_dedup", repeats), ("decontamination", leaks), ("byte_bpe", tokens)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

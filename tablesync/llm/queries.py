@@ -16,6 +16,13 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a test item that leaked into it."""
+    from .string_tiling import tiles
+
+    return tiles(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).where("leaked")
+
+
 def op2_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .posting_lists import neighbours
 
@@ -74,5 +81,5 @@ def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), labels)
 
 
-QUERIES = {f.__name__: f for f in (op2_posting_lists, op3_minmax_dedup, op4_line_crf, op5_token_counts, op6_warc, op7_language_id, op8_suffix_dedup, op9_byte_bpe, op10_host_reputation)}
+QUERIES = {f.__name__: f for f in (op1_string_tiling, op2_posting_lists, op3_minmax_dedup, op4_line_crf, op5_token_counts, op6_warc, op7_language_id, op8_suffix_dedup, op9_byte_bpe, op10_host_reputation)}
 ORACLES: dict[str, str] = {}

@@ -171,7 +171,7 @@ def judge_shard(x: dict[str, np.ndarray], window: int, folder: str, memory: int)
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, with_text: bool = False) -> DataFrame:
-    """key, n_bytes, n_removed, n_spans, kept_sha256 (and the kept text as bytes) of every row."""
+    """key, n_bytes, n_removed, n_spans, kept_sha256 of every row; with_text: also sha (of the whole text) and, where bytes go, what is kept as bytes."""
     spark = docs.sparkSession
     arrow_rows(spark)
     whole = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(2**63 - 1)).alias("doc"), F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("t"))
@@ -283,12 +283,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     segments = once.groupBy("target").cogroup(marks.groupBy("target")).applyInArrow(cut, packed)
     runs = segments.groupBy("target").applyInArrow(sort, packed)
     changed = once.groupBy("target").cogroup(runs.groupBy("target")).applyInArrow(finish, out)
-    light = whole.select("doc", "_key", "tid", "sha", F.octet_length("t").cast("bigint").alias("n_bytes"), *[F.col("t").cast("binary").alias("raw")] * with_text)
+    light = whole.select("doc", "_key", "tid", "sha", F.octet_length("t").cast("bigint").alias("n_bytes"))
     first = light.groupBy("sha").agg(F.min("doc").alias("first"))
     rows = light.join(first, "sha").join(changed, ["doc", "tid"], "left")
     copy = (F.col("doc") > F.col("first")) & (F.col("n_bytes") >= window)
     return rows.select(
         F.col("_key").alias(key), "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), F.when(copy, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
         F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-        *[F.when(copy, F.lit("")).otherwise(F.coalesce(F.col("kept"), F.col("raw")).cast("string")).alias("kept")] * with_text,
+        *(["sha", F.when(copy, F.lit(b"")).otherwise(F.col("kept")).alias("kept")] if with_text else []),
     )

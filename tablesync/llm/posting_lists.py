@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .common import arrow_rows
 
@@ -37,6 +36,8 @@ REPLICATE, READ = 1.05, 1.13
 #: Most copies of a vector, and width of the graph search (also most lists a query reads).
 COPIES, WIDTH = 4, 64
 LINKS, FAR_LINKS = 16, 8
+#: List reads of queries whose finds are merged in one task.
+MERGED_QUERIES = 50_000
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -167,36 +168,55 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "ve
     posted = ok.select("id", "v").mapInArrow(post, placed)
     asked = ok.where("q").groupBy("id").agg(F.min("v").alias("v")).mapInArrow(route, placed)
 
-    def blocks(rows: DataFrame) -> Column:
-        """An array column: how many blocks each list's rows make (at most MOST_LISTS numbers)."""
+    def blocks(rows: DataFrame) -> tuple[Column, int]:
+        """An array column: how many blocks each list's rows make (at most MOST_LISTS numbers); and the rows."""
         there = {r["list"]: r["n"] for r in rows.groupBy("list").agg(F.count("*").alias("n")).collect()}
-        return F.element_at(F.array([F.lit(max(1, -(-there.get(i, 0) // BLOCK))) for i in range(lists)]), F.col("list") + 1)
+        return F.element_at(F.array([F.lit(max(1, -(-there.get(i, 0) // BLOCK))) for i in range(lists)]), F.col("list") + 1), sum(there.values())
 
-    vector_blocks, query_blocks = blocks(posted.drop("v")), blocks(asked.drop("v"))
+    (vector_blocks, _), (query_blocks, asked_rows) = blocks(posted.drop("v")), blocks(asked.drop("v"))
     spread = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     left = posted.withColumn("vb", spread(vector_blocks)).withColumn("qb", every(query_blocks))
     right = asked.withColumn("qb", spread(query_blocks)).withColumn("vb", every(vector_blocks))
 
     def best(mine: pa.Table, queries: pa.Table) -> pa.Table:
-        cols: list[list] = [[], [], []]
+        """One row per query: its k nearest of this block."""
+        qs, ids, scores = [], [], []
         if mine.num_rows and queries.num_rows:
             x, vid = matrix(mine["v"].combine_chunks(), dim), mine["id"].to_numpy()
             y, qid = matrix(queries["v"].combine_chunks(), dim), queries["id"].to_numpy()
             for part in np.array_split(np.arange(len(y)), max(1, len(y) // 256)):
                 near = y[part] @ x.T
                 near[vid[None, :] == qid[part][:, None]] = -np.inf
-                kth = np.partition(near, -min(k, len(x)), 1)[:, -min(k, len(x))] if len(x) else None
+                kth = np.partition(near, -min(k, len(x)), 1)[:, -min(k, len(x))]
                 for r, q in enumerate(part):
                     some = np.flatnonzero((near[r] >= kth[r] - 1e-9 * top * np.sqrt((y[q] ** 2).sum())) & (vid != qid[q]))
                     score = (x[some] * y[q]).sum(1)
-                    order = np.lexsort((vid[some], -score))[:k]
-                    cols[0] += [qid[q]] * len(order)
-                    cols[1] += vid[some][order].tolist()
-                    cols[2] += score[order].tolist()
-        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "score"])
-
-    found = left.groupBy("list", "vb", "qb").cogroup(right.groupBy("list", "vb", "qb")).applyInArrow(best, "query_id bigint, vec_id bigint, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                    order = np.lexsort((vid[some], -score))
+                    _, once = np.unique(vid[some][order], return_index=True)
+                    order = order[np.sort(once)][:k]
+                    if len(order):
+                        qs.append(qid[q])
+                        ids.append(vid[some][order])
+                        scores.append(score[order])
+        return pa.table([pa.array(qs, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64()))], names=["query_id", "ids", "scores"])
+
+    def merge(key_: tuple, table: pa.Table) -> pa.Table:
+        lists = table["ids"].combine_chunks()
+        q = np.repeat(table["query_id"].to_numpy(), np.diff(np.asarray(lists.offsets)))
+        v, s = np.asarray(lists.flatten()), np.asarray(table["scores"].combine_chunks().flatten())
+        o = np.lexsort((-s, v, q))
+        q, v, s = q[o], v[o], s[o]
+        new = np.ones(len(q), bool)
+        new[1:] = (q[1:] != q[:-1]) | (v[1:] != v[:-1])
+        q, v, s = q[new], v[new], s[new]
+        o = np.lexsort((v, -s, q))
+        q, v, s = q[o], v[o], s[o]
+        first = np.flatnonzero(np.diff(q, prepend=q[0] - 1)) if len(q) else np.zeros(0, np.int64)
+        rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) + 1
+        keep = rank <= k
+        return pa.table([pa.array(q[keep]), pa.array(rank[keep].astype(np.int32)), pa.array(v[keep]), pa.array(s[keep])], names=["query_id", "rank", "vec_id", "score"])
+
+    found = left.groupBy("list", "vb", "qb").cogroup(right.groupBy("list", "vb", "qb")).applyInArrow(best, "query_id bigint, ids array<bigint>, scores array<double>")
+    parts = int(max(8, asked_rows // MERGED_QUERIES + 1))
+    return found.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts))).groupBy("part").applyInArrow(merge, out)

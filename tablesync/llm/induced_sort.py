@@ -179,7 +179,7 @@ def suffix_buckets(text: np.ndarray, depth: int, folder: str, memory: int = 64 <
     runs = (last_of_run[run_of] - np.arange(n) + 1).astype(np.int32)
     ends = np.flatnonzero(text == 0)
     left = (ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)).astype(np.int32)
-    star = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    star = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     symbols = np.flatnonzero(np.bincount(text, minlength=256))
 
     stars = DiskQueue(folder, "star", memory)

@@ -21,6 +21,7 @@ than each other; a null id counts as larger than all others; extra columns aren'
 from __future__ import annotations
 
 import hashlib
+import json
 import tempfile
 from collections.abc import Iterator
 
@@ -29,31 +30,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, mix64, powers, span_hashes, text_slices
+from .common import arrow_rows, lean, mix64, powers, text_slices
 from .induced_sort import suffix_buckets
 
 WINDOW = 50
 #: Bytes of an anchor gram: longer ones are rarer by chance, shorter ones make fewer anchors.
-GRAM = 20
-#: Text bytes of a group of documents, and of a shard's share of the text.
-GROUP_BYTES, SHARD_BYTES = 12 << 20, 6 << 20
+GRAM = 18
+#: Text bytes whose anchors meet in one task, of a group of documents, and of a shard's share of the text.
+MARK_BYTES, GROUP_BYTES, SHARD_BYTES = 16 << 20, 10 << 20, 4 << 20
+#: Text bytes whose anchors are found at once; the temporaries take about 70 times that.
+SLICE = 1 << 19
 #: Bytes of queue entries that a shard's sort holds before it goes to disk.
-SORT_MEMORY = 96 << 20
+SORT_MEMORY = 64 << 20
 _PLACE = np.uint64((1 << 28) - 1)
 
 
 def pack(arrays: dict[str, np.ndarray]) -> bytes:
-    """Arrays as one Arrow stream."""
-    sink = pa.BufferOutputStream()
-    table = [pa.record_batch([pa.array([a.tobytes() for a in arrays.values()], pa.large_binary()), pa.array([a.dtype.str for a in arrays.values()]), pa.array(list(arrays))], names=["data", "kind", "name"])]
-    with pa.ipc.new_stream(sink, table[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(table[0])
-    return sink.getvalue().to_pybytes()
+    """Arrays as one compressed block behind a line that says what they are."""
+    raw = b"".join(a.tobytes() for a in arrays.values())
+    head = json.dumps([len(raw), [[n, a.dtype.str, a.nbytes] for n, a in arrays.items()]])
+    return head.encode() + b"\n" + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
 
 def unpack(blob: bytes) -> dict[str, np.ndarray]:
-    b = pa.ipc.open_stream(blob).read_next_batch()
-    return {n: np.frombuffer(d, np.dtype(k)) for d, k, n in zip(*(b.column(c).to_pylist() for c in ("data", "kind", "name")), strict=True)}
+    head, _, body = blob.partition(b"\n")
+    size, what = json.loads(head)
+    raw, at, out = pa.decompress(body, size, codec="zstd", asbytes=True) if size else b"", 0, {}
+    for name, kind, n in what:
+        out[name] = np.frombuffer(raw, np.dtype(kind), n // np.dtype(kind).itemsize, at)
+        at += n
+    return out
+
+
+def short(key: np.ndarray) -> np.ndarray:
+    """Keys of 48 bits as 6 bytes each."""
+    return np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).ravel()
+
+
+def long(key: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(key) // 6, 8), np.uint8)
+    out[:, :6] = key.reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
 def join(blobs: pa.ChunkedArray) -> dict[str, np.ndarray]:
@@ -63,7 +80,7 @@ def join(blobs: pa.ChunkedArray) -> dict[str, np.ndarray]:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each anchor in its text: the text's row, its gram's hash, its first window's start, its number of windows."""
+    """For each anchor in its text: the text's row, 48 bits of its gram's hash, its first window's start, its number of windows."""
     none = np.zeros(0, np.int64)
     n = len(data)
     if n < window:
@@ -86,7 +103,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tu
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1]) | (rows[1:] != rows[:-1])
     begin = np.flatnonzero(new)
-    return rows[begin], h[at[begin]], start[begin], np.diff(np.append(begin, len(at)))
+    return rows[begin], h[at[begin]] >> np.uint64(16), start[begin], np.diff(np.append(begin, len(at)))
 
 
 def by_target(target: np.ndarray, doc: np.ndarray, tid: np.ndarray, cols: dict[str, np.ndarray]) -> Iterator[tuple[int, bytes]]:
@@ -99,7 +116,7 @@ def by_target(target: np.ndarray, doc: np.ndarray, tid: np.ndarray, cols: dict[s
         new = np.ones(len(part), bool)
         new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1])
         at = np.flatnonzero(new)
-        yield int(target[part[0]]), pack({"doc": d[at], "tid": t[at], "times": np.diff(np.append(at, len(part))).astype(np.int32), **{k: v[part] for k, v in cols.items()}})
+        yield int(target[part[0]]), pack({"doc": d[at], "tid": t[at], "times": np.diff(np.append(at, len(part))).astype(np.int32), **{k: short(v[part]) if k == "key" else v[part] for k, v in cols.items()}})
 
 
 def spread_ids(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -113,8 +130,9 @@ def packs(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
 def shared(x: dict[str, np.ndarray]) -> np.ndarray:
     """Which entries have a key that another document has too."""
     doc, tid = spread_ids(x)
-    order = np.argsort(x["key"])
-    key = x["key"][order]
+    key = long(x["key"])
+    order = np.argsort(key)
+    key = key[order]
     head = np.ones(len(key), bool)
     head[1:] = key[1:] != key[:-1]
     group = np.cumsum(head) - 1
@@ -134,8 +152,11 @@ def judge_shard(x: dict[str, np.ndarray], window: int, folder: str, memory: int)
     length = windows + window - 1
     ends = np.cumsum(length)
     data = x["bytes"]
-    name = span_hashes(data, ends - length, ends)
-    _, pick, kind = np.unique(name, return_index=True, return_inverse=True)
+    bounds = np.append(0, ends).astype(np.int64)
+    coded = pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    kind = np.asarray(coded.indices)
+    pick = np.full(len(coded.dictionary), -1, np.int64)
+    pick[kind[::-1]] = np.arange(len(kind))[::-1]
     least = np.full(len(pick), np.iinfo(np.int64).max)
     np.minimum.at(least, kind, doc)
     # the text: distinct segments, each followed by a 0; bytes are shifted by one (UTF-8 has no 0xFF)
@@ -145,7 +166,7 @@ def judge_shard(x: dict[str, np.ndarray], window: int, folder: str, memory: int)
     inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     text[np.repeat(to, n) + inside] = data[np.repeat((ends - length)[pick], n) + inside] + 1
     w = windows[pick]
-    owner = np.full(len(text), -1, np.int64)  # the segment of a window's start
+    owner = np.full(len(text), -1, np.int32)  # the segment of a window's start
     inside = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
     owner[np.repeat(to, w) + inside] = np.repeat(np.arange(len(pick)), w)
     smallest = np.full(len(text), np.iinfo(np.int64).max)  # the smallest document that has the window which starts here
@@ -173,11 +194,11 @@ def judge_shard(x: dict[str, np.ndarray], window: int, folder: str, memory: int)
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, with_text: bool = False) -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256 of every row; with_text: also sha (of the whole text) and, where bytes go, what is kept as bytes."""
     spark = docs.sparkSession
-    arrow_rows(spark)
+    arrow_rows(spark, 2000)
     whole = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(2**63 - 1)).alias("doc"), F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("t"))
-    whole = whole.withColumn("sha", F.sha2("t", 256)).withColumn("tid", F.conv(F.substring("sha", 1, 15), 16, 10).cast("bigint"))
+    whole = whole.withColumn("sha", F.sha2("t", 256)).withColumn("tid", F.conv(F.substring("sha", 1, 7), 16, 10).cast("int"))
     total = whole.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    groups, shards = max(8, -(-total // GROUP_BYTES)), max(8, -(-total // SHARD_BYTES))
+    mark_tasks, groups, shards = (max(8, -(-total // n)) for n in (MARK_BYTES, GROUP_BYTES, SHARD_BYTES))
     ours = whole.select("doc", "tid", "sha", "t").where(F.octet_length("t") >= window).sortWithinPartitions("sha", "doc")
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,99 +208,112 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
             sha = batch.column("sha").to_pylist()
             keep = [i for i, s in enumerate(sha) if s != (sha[i - 1] if i else last)]
             last = sha[-1] if sha else last
-            part = batch.take(pa.array(keep, pa.int64()))
-            tid = np.asarray(part.column("tid"))
-            yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("tid"), part.column("t"), pa.array((tid % groups).astype(np.int32))], names=["doc", "tid", "t", "target"])
+            yield batch.take(pa.array(keep, pa.int64()))
+            lean()
 
-    once = ours.mapInArrow(firsts, "doc bigint, tid bigint, t string, target int")
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts, packed by group."""
+        for batch in firsts(batches):
+            doc, tid = np.asarray(batch.column("doc")), np.asarray(batch.column("tid"))
+            for i, j, data, off in text_slices(batch, "t", 8 << 20):
+                group = tid[i:j] % groups
+                order = np.argsort(group, kind="stable")
+                cuts = np.flatnonzero(np.diff(group[order], prepend=-1))
+                rows = []
+                for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+                    part = order[a:b]
+                    rows.append((int(group[part[0]]), pack({"doc": doc[i + part], "tid": tid[i + part], "size": (off[part + 1] - off[part]).astype(np.int64), "bytes": np.concatenate([data[off[r] : off[r + 1]] for r in part])})))
+                yield packs(rows)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        """Anchors, packed by key."""
+        for batch in firsts(batches):
             doc, tid = np.asarray(batch.column("doc")), np.asarray(batch.column("tid"))
-            got = [[], [], [], []]
-            for i, _, data, off in text_slices(batch, "t"):
+            got: list[list] = [[], [], [], []]
+            for i, _, data, off in text_slices(batch, "t", SLICE):
                 row, name, start, n = anchors(data, off, window, GRAM)
-                for into, x in zip(got, (row + i, name, start - off[row], n), strict=True):
+                for into, x in zip(got, ((row + i).astype(np.int32), name, (start - off[row]).astype(np.int32), n.astype(np.uint8)), strict=True):
                     into.append(x)
             if got[0]:
                 row, name, start, n = (np.concatenate(x) for x in got)
-                yield packs(list(by_target((name % np.uint64(shards)).astype(np.int64), doc[row], tid[row], {"key": name, "start": start.astype(np.int32), "windows": n.astype(np.uint8)})))
+                yield packs(list(by_target((name % np.uint64(mark_tasks)).astype(np.int64), doc[row], tid[row], {"key": name, "start": start, "windows": n})))
 
     def share(key_: tuple, table: pa.Table) -> pa.Table:
         x = join(table["pack"])
         doc, tid = spread_ids(x)
         keep = np.flatnonzero(shared(x))
         keep = keep[np.lexsort((x["start"][keep], tid[keep], doc[keep]))]
-        return pa.Table.from_batches([packs(list(by_target(tid[keep] % groups, doc[keep], tid[keep], {k: x[k][keep] for k in ("key", "start", "windows")})) if len(keep) else [])])
-
-    def places(mine: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch]:
-        """Rows of a group in order of (doc, tid), for lookups."""
-        batch = mine.combine_chunks().to_batches()[0]
-        doc, tid = np.asarray(batch.column("doc")), np.asarray(batch.column("tid"))
-        order = np.lexsort((tid, doc))
-        return doc, tid, order, np.rec.fromarrays([doc[order], tid[order]]), batch
-
-    def row_of(sorted_ids: np.ndarray, order: np.ndarray, doc: np.ndarray, tid: np.ndarray) -> np.ndarray:
-        return order[np.searchsorted(sorted_ids, np.rec.fromarrays([doc, tid]).astype(sorted_ids.dtype))]
-
-    def cut(mine: pa.Table, marks: pa.Table) -> pa.Table:
+        out = packs(list(by_target(tid[keep] % groups, doc[keep], tid[keep], {"key": long(x["key"])[keep], "start": x["start"][keep], "windows": x["windows"][keep]})) if len(keep) else [])
+        del x, doc, tid
+        lean()
+        return pa.Table.from_batches([out])
+
+    def places(mine: dict[str, np.ndarray], doc: np.ndarray, tid: np.ndarray) -> np.ndarray:
+        """The row of each (doc, tid) in a group of texts."""
+        ids = np.rec.fromarrays([mine["doc"], mine["tid"]])
+        order = np.argsort(ids, kind="stable")
+        return order[np.searchsorted(ids[order], np.rec.fromarrays([doc, tid]).astype(ids.dtype))]
+
+    def cut(texts: pa.Table, marks: pa.Table) -> pa.Table:
         """Segments of the shared anchors of a group of documents."""
         rows: list[tuple[int, bytes]] = []
-        if mine.num_rows and marks.num_rows:
-            _, _, order, ids, batch = places(mine)
-            x = join(marks["pack"])
+        if texts.num_rows and marks.num_rows:
+            mine, x = join(texts["pack"]), join(marks["pack"])
+            begin = np.cumsum(mine["size"]) - mine["size"]
             doc, tid = spread_ids(x)
-            row = row_of(ids, order, doc, tid)
-            by = np.lexsort((x["key"], row))
-            row, doc, tid, name, start, n = row[by], doc[by], tid[by], x["key"][by], x["start"][by].astype(np.int64), x["windows"][by]
-            for i, j, data, off in text_slices(batch, "t", 4 << 20):
-                a, b = np.searchsorted(row, [i, j])
-                if b > a:
-                    target = (name[a:b] % np.uint64(shards)).astype(np.int64)
-                    o = np.lexsort((name[a:b], target)) + a
-                    size = n[o].astype(np.int64) + window - 1
-                    place = off[row[o] - i] + start[o]
-                    cuts = np.flatnonzero(np.diff(target[o - a], prepend=-1))
-                    for c, d in zip(cuts, [*cuts[1:], len(o)], strict=True):
-                        s, p = size[c:d], place[c:d]
-                        inside = np.arange(int(s.sum())) - np.repeat(np.cumsum(s) - s, s)
-                        part = o[c:d]
-                        rows.append((int(target[part[0] - a]), pack({"doc": doc[part], "tid": tid[part], "times": np.ones(len(part), np.int32), "start": start[part].astype(np.int32), "windows": n[part], "bytes": data[np.repeat(p, s) + inside]})))
-        return pa.Table.from_batches([packs(rows)])
+            name, n = long(x["key"]), x["windows"]
+            place = begin[places(mine, doc, tid)] + x["start"]
+            target = (name % np.uint64(shards)).astype(np.int64)
+            order = np.lexsort((name, target))
+            cuts = np.flatnonzero(np.diff(target[order], prepend=-1))
+            for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+                part = order[a:b]
+                size = n[part].astype(np.int64) + window - 1
+                inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+                rows.append((int(target[part[0]]), pack({"doc": doc[part], "tid": tid[part], "times": np.ones(len(part), np.int32), "start": x["start"][part], "windows": n[part], "bytes": mine["bytes"][np.repeat(place[part], size) + inside]})))
+        out = pa.Table.from_batches([packs(rows)])
+        lean()
+        return out
 
     def sort(key_: tuple, table: pa.Table) -> pa.Table:
         x = join(table["pack"])
         with tempfile.TemporaryDirectory() as folder:
             entry, first, n = judge_shard(x, window, folder, SORT_MEMORY)
         doc, tid = spread_ids(x)
-        return pa.Table.from_batches([packs(list(by_target(tid[entry] % groups, doc[entry], tid[entry], {"first": first.astype(np.int32), "n": n.astype(np.int32)})) if len(entry) else [])])
+        out = packs(list(by_target(tid[entry] % groups, doc[entry], tid[entry], {"first": first.astype(np.int32), "n": n.astype(np.int32)})) if len(entry) else [])
+        del x, doc, tid
+        lean()
+        return pa.Table.from_batches([out])
 
-    out = "doc bigint, tid bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text
+    out = "doc bigint, tid int, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text
 
-    def finish(mine: pa.Table, marks: pa.Table) -> pa.Table:
+    def finish(texts: pa.Table, marks: pa.Table) -> pa.Table:
         cols: list[list] = [[], [], [], [], [], []]
-        if mine.num_rows and marks.num_rows:
-            _, _, order, ids, batch = places(mine)
-            x = join(marks["pack"])
-            doc, tid = spread_ids(x)
-            row = row_of(ids, order, doc, tid)
+        if texts.num_rows and marks.num_rows:
+            mine, x = join(texts["pack"]), join(marks["pack"])
+            begin = np.cumsum(mine["size"]) - mine["size"]
+            row = places(mine, *spread_ids(x))
             by = np.lexsort((x["first"], row))
             row, a = row[by], x["first"][by].astype(np.int64)
             b = a + x["n"][by] + window - 1
-            for r, c, d in zip(*(lambda s: (row[s], s, np.append(s[1:], len(row))))(np.flatnonzero(np.diff(row, prepend=-1))), strict=True):
+            heads = np.flatnonzero(np.diff(row, prepend=-1))
+            for r, c, d in zip(row[heads], heads, [*heads[1:], len(row)], strict=True):
                 stop = np.maximum.accumulate(b[c:d])
                 new = np.append(True, a[c + 1 : d] > stop[:-1])
                 first, last = a[c:d][new], stop[np.append(np.flatnonzero(new)[1:] - 1, d - c - 1)]
-                raw = batch.column("t")[int(r)].as_py().encode()
+                raw = mine["bytes"][begin[r] : begin[r] + mine["size"][r]].tobytes()
                 kept = b"".join([raw[p:q] for p, q in zip([0, *last], [*first, len(raw)], strict=True)])
-                for into, v in zip(cols, (batch.column("doc")[int(r)].as_py(), batch.column("tid")[int(r)].as_py(), int((last - first).sum()), len(first), hashlib.sha256(kept).hexdigest(), kept), strict=True):
+                for into, v in zip(cols, (int(mine["doc"][r]), int(mine["tid"][r]), int((last - first).sum()), len(first), hashlib.sha256(kept).hexdigest(), kept), strict=True):
                     into.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         names = ["doc", "tid", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text]
-        return pa.table([pa.array(c, k) for c, k in zip(cols[: 5 + with_text], kinds, strict=False)], names=names)
+        made = pa.table([pa.array(c, k) for c, k in zip(cols[: 5 + with_text], kinds, strict=False)], names=names)
+        lean()
+        return made
 
     packed = "target int, pack binary"
-    marks = once.mapInArrow(find, packed).groupBy("target").applyInArrow(share, packed)
+    marks = ours.mapInArrow(find, packed).groupBy("target").applyInArrow(share, packed)
+    once = ours.mapInArrow(send, packed)
     segments = once.groupBy("target").cogroup(marks.groupBy("target")).applyInArrow(cut, packed)
     runs = segments.groupBy("target").applyInArrow(sort, packed)
     changed = once.groupBy("target").cogroup(runs.groupBy("target")).applyInArrow(finish, out)

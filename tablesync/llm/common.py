@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import shutil
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +35,36 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lean() -> None:
+    """Gives a worker's freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not glibc
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once an application, so that it needn't be installed there."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).parent.parent
+        folder = tempfile.mkdtemp(prefix="tablesync-")  # Spark reads it as long as the application lives
+        atexit.register(shutil.rmtree, folder, True)
+        path = Path(folder, f"{package.name}.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        context.addPyFile(str(path))
+        _shipped.add(context.applicationId)
+
+
 def arrow_rows(spark: SparkSession, rows: int = 500) -> None:
-    """Bounds Arrow batches, so that long texts don't fill a Python worker."""
+    """Bounds Arrow batches, so that long texts don't fill a Python worker; and sees to it that workers have this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

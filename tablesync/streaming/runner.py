@@ -25,7 +25,7 @@ from ..operators.schema import schema_diff
 from ..state import CATCHUP, ERRORED, SNAPSHOT, STREAMING
 from .gate import FlushGate
 
-#: Commits that one batch of one table may make: one per segment between barriers.
+#: Commits that one batch of one table may make: two per segment between barriers.
 STEPS = 1_000_000
 
 
@@ -136,7 +136,7 @@ class GroupRunner:
             rows = rows.where((F.col("lsn") > m.snapshot_lsn) | (F.col("op") == SCHEMA))
         names, total, position = [c for c, _ in m.columns], 0, None
         for k, (part, barrier) in enumerate(segments(rows)):
-            step = number * STEPS + k
+            step = number * STEPS + 2 * k  # the barrier behind it has the next number
             got = part.agg(F.count("*").alias("n"), F.max(F.struct("lsn", "seq")).alias("at")).first()
             if got.n:
                 position = (got["at"]["lsn"], got["at"]["seq"])
@@ -150,7 +150,7 @@ class GroupRunner:
                 break
             position = (barrier.lsn, barrier.seq)
             if barrier.op == TRUNCATE and m.sync_mode == "upsert":
-                table.drop_source(m.label, m.id, step, position)
+                table.drop_source(m.label, m.id, step + 1, position)
             elif barrier.op == SCHEMA:
                 self._columns(m, table, [(n, int(t)) for n, t in json.loads(barrier.ddl)["new"]])
                 names = [c for c, _ in m.columns]

@@ -78,8 +78,36 @@ def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .host_reputation import judge
 
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.expr("quality = 0 or toxic = 1").alias("bad"))
-    return judge(table(spark, sf_dir, "pages"), labels)
+    return judge(table(spark, sf_dir, "pages"), labels).drop("bad_rate")
 
 
 QUERIES = {f.__name__: f for f in (op1_string_tiling, op2_posting_lists, op3_minmax_dedup, op4_line_crf, op5_token_counts, op6_warc, op7_language_id, op8_suffix_dedup, op9_byte_bpe, op10_host_reputation)}
-ORACLES: dict[str, str] = {}
+
+
+def strength_sql(rows: str) -> str:
+    return f"""(SELECT CASE WHEN sum(n) IS NULL OR sum(n * above * (1 - above)) <= 0 THEN 1000.0 ELSE least(1000.0, greatest(1.0,
+    CASE WHEN sum(n * above * (1 - above)) > sum(above * (1 - above)) AND sum(n * pow(bad / n - above, 2)) > sum(above * (1 - above))
+    THEN (sum(n * above * (1 - above)) - sum(above * (1 - above))) / (sum(n * pow(bad / n - above, 2)) - sum(above * (1 - above))) - 1 ELSE 1000.0 END)) END FROM {rows})"""
+
+
+ORACLES: dict[str, str] = {
+    "op6_warc": """SELECT page_id, n AS payload_bytes, sha1(payload) AS payload_digest, CASE WHEN n >= 1000 AND page_id <> newest THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN n >= 1000 AND page_id <> newest THEN newest END AS refers_to
+    FROM (SELECT page_id, payload, CAST(octet_length(encode(payload)) AS BIGINT) AS n, max(page_id) OVER (PARTITION BY payload) AS newest FROM (SELECT page_id, coalesce(html, '') AS payload FROM pages))""",
+    "op10_host_reputation": f"""WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+    o AS (SELECT host, (quality = 0 OR toxic = 1) AS bad FROM p JOIN labels ON doc_id = page_id WHERE host <> ''),
+    h AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST(bad AS INTEGER)) AS DOUBLE) AS bad, string_split(host, '.')[-1] AS suffix, array_to_string(string_split(host, '.')[-2:], '.') AS domain FROM o WHERE bad IS NOT NULL GROUP BY host),
+    g AS (SELECT CASE WHEN count(*) > 0 THEN (sum(bad) + 0.5) / (sum(n) + 1) ELSE 0.5 END AS rate FROM h),
+    s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(rate) AS above FROM h, g GROUP BY suffix),
+    s AS (SELECT suffix, (m * above + bad) / (m + n) AS above FROM s0, (SELECT {strength_sql("s0")} AS m)),
+    d0 AS (SELECT domain, h.suffix, sum(n) AS n, sum(bad) AS bad, any_value(above) AS above FROM h JOIN s USING (suffix) GROUP BY domain, h.suffix),
+    d AS (SELECT domain, (m * above + bad) / (m + n) AS above FROM d0, (SELECT {strength_sql("d0")} AS m)),
+    h0 AS (SELECT host, n, bad, above FROM h JOIN d USING (domain)),
+    r AS (SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) / (m + n + 1)) AS low FROM (SELECT host, n, m, (m * above + bad) / (m + n) AS mean FROM h0, (SELECT {strength_sql("h0")} AS m)))
+    SELECT page_id, host, path, rule, CASE rule WHEN 'net/' THEN 'block' WHEN 'example.com/de/' THEN 'block' WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow'
+    ELSE CASE WHEN coalesce(low, CASE WHEN rate < 0.5 THEN rate ELSE 1.0 END) >= 0.5 THEN 'block' ELSE 'allow' END END AS verdict
+    FROM (SELECT p.*, r.low, g.rate, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM p LEFT JOIN r USING (host), g)""",
+}

@@ -5,10 +5,10 @@ one class. A class gets, under each of PERMUTATIONS, both the least and the larg
 ROWS of these values are its bucket keys. Classes that share a bucket are candidates; candidates are
 confirmed on their full sets, and confirmed links are joined into components.
 
-Pairs within a bucket are never all emitted: each round compares every member with one hub of its
-bucket (the least id, then others by hash), components are contracted, and only pairs that still
-lie in different components go on. What is left after the rounds is compared in full, so no link
-that a bucket shows is lost. At a similarity of 0.8 a pair shares no bucket with a chance of
+Pairs within a bucket are never all emitted: each round compares every member with one hub (the class
+that meets most others in its buckets; in odd rounds, one by hash), components are contracted, and
+only pairs that still lie in different components go on. What is left is compared in full inside its
+bucket's tasks, unless sizes or signatures rule a link out, so no link that a bucket shows is lost. At a similarity of 0.8 a pair shares no bucket with a chance of
 (1 - 0.8^ROWS)^BANDS, about 5e-8.
 
 Defined cases: null or empty texts, and texts without words, have an empty set and are alone; a text
@@ -27,11 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, components, durable, mix64, span_hashes, text_slices
+from .common import arrow_rows, components, durable, lean, mix64, span_hashes, text_slices
 
 PERMUTATIONS, ROWS, BANDS = 64, 4, 32
 #: Rounds of comparing with hubs before the rest is compared in full.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 4
+#: A round that confirms less than this share of its edges is the last.
+HUB_YIELD = 0.1
+#: Rows of a bucket that one task compares with as many others.
+BLOCK = 1024
+#: Standard deviations below the mean at which two signatures can't belong to linked sets any more (chance below 1e-9).
+SURE = 6.0
 #: Most edges of a hub in one block.
 HUB_BLOCK = 512
 _rng = np.random.default_rng(20240229)
@@ -72,8 +78,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
     return h[new], np.concatenate(([0], np.cumsum(np.bincount(row[new], minlength=len(offsets) - 1))))
 
 
-def band_keys(sets: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """The bucket keys of each non-empty set, BANDS a set."""
+def band_keys(sets: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket keys of each non-empty set, BANDS a set; and 16 bits of each of its min-max values."""
     where = begin[:-1][np.diff(begin) > 0]
     values = np.empty((len(where), 2 * PERMUTATIONS), np.uint64)
     for k in range(PERMUTATIONS):
@@ -82,7 +88,14 @@ def band_keys(sets: np.ndarray, begin: np.ndarray) -> np.ndarray:
     keys = np.zeros((len(where), BANDS), np.uint64)
     for r in range(ROWS):
         keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + values[:, r * BANDS : (r + 1) * BANDS])
-    return mix64(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+    return mix64(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64), mix64(values).astype(np.uint16).view(np.int16)
+
+
+def least_agreeing(percent: int) -> int:
+    """Equal min-max values that sets of that similarity have at least."""
+    values = 2 * PERMUTATIONS
+    share = percent / 100
+    return int(values * share - SURE * (values * share * (1 - share)) ** 0.5)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -96,18 +109,18 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """id, n, same (digest of the set; null for an empty one), bands of every row."""
+    """id, n, same (digest of the set; null for an empty one), bands, sig of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, off in text_slices(batch, "t"):
                 sets, begin = shingle_sets(data, off, size)
                 n = np.diff(begin)
-                keys = iter(band_keys(sets, begin))
+                keys, values = (iter(x) for x in band_keys(sets, begin))
                 same = [hashlib.blake2b(sets[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(begin[:-1], begin[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(n), pa.array(same, pa.binary()), pa.array([next(keys) if x else None for x in n], pa.list_(pa.int64()))], names=["id", "n", "same", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(n), pa.array(same, pa.binary()), pa.array([next(keys) if x else None for x in n], pa.list_(pa.int64())), pa.array([next(values) if x else None for x in n], pa.list_(pa.int16()))], names=["id", "n", "same", "bands", "sig"])
 
-    return docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).mapInArrow(run, "id bigint, n bigint, same binary, bands array<bigint>")
+    return docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).mapInArrow(run, "id bigint, n bigint, same binary, bands array<bigint>, sig array<smallint>")
 
 
 def confirm(edges: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
@@ -141,45 +154,149 @@ def confirm(edges: DataFrame, docs: DataFrame, key: str, text: str, size: int, p
     return rows.select("hub", "block", "id", "part", "t").mapInArrow(run, "a bigint, b bigint")
 
 
+def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of each group, from batches in which groups lie together."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [np.asarray(batch.column(k)) for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            key = tuple(c[a] for c in cols)
+            if key != now and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows with bi, bj: a bucket's pairs in tasks of at most about two BLOCKs of rows; part 0 rows are compared with part 1 rows where bi <> bj."""
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("_s"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket", F.ceil(F.col("_s") / BLOCK).cast("int").alias("_nb"))
+    rows = rows.join(sizes, "bucket").withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int"))
+    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+    return rows.withColumn("bi", F.least("_b", "_o")).withColumn("bj", F.greatest("_b", "_o")).withColumn("part", (F.col("_b") > F.col("bi")).cast("int")).drop("_nb", "_b", "_o")
+
+
+def compare_rest(labelled: DataFrame, reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between classes that share a bucket and still lie in different components.
+
+    Pairs are looked at inside the tasks and not emitted. First by signatures: rows that have no partner
+    left go, and a pair counts in the first bucket that it shares only. Then by full sets, as bitmaps.
+    """
+    least = least_agreeing(percent)
+
+    def pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of different components and fitting sizes, compared once."""
+        n, c, part = (t[k].to_numpy() for k in ("n", "c", "part"))
+        fits = (c[:, None] != c[None, :]) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
+        fits &= (part[:, None] == 0) & (part[None, :] == 1) if part.any() else np.tri(len(n), k=-1, dtype=bool).T
+        return np.nonzero(fits)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, ("bucket", "bi", "bj")):
+            i, j = pairs(t)
+            if not len(i):
+                continue
+            sig = np.asarray(t["sig"].combine_chunks().flatten()).reshape(t.num_rows, -1)
+            band, keep = int(t["band"][0].as_py()), np.zeros(t.num_rows, bool)
+            for a in range(0, len(i), 1 << 15):
+                x, y = i[a : a + (1 << 15)], j[a : a + (1 << 15)]
+                same = sig[x] == sig[y]
+                live = np.flatnonzero(same.sum(1) >= least)
+                live = live[same[live].reshape(len(live), ROWS, BANDS).all(1).argmax(1) == band]
+                keep[x[live]] = keep[y[live]] = True
+            if keep.any():
+                yield t.drop_columns(["sig", "band"]).filter(pa.array(keep)).combine_chunks().to_batches()[0]
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, ("bucket", "bi", "bj")):
+            i, j = pairs(t)
+            if not len(i):
+                continue
+            sets = []
+            for batch in t.combine_chunks().to_batches():
+                for _, _, data, off in text_slices(batch, "t"):
+                    h, begin = shingle_sets(data, off, size)
+                    sets += [h[p:q] for p, q in zip(begin[:-1], begin[1:], strict=True)]
+            flat = np.concatenate(sets)
+            _, word, times = np.unique(flat, return_inverse=True, return_counts=True)
+            shared = times[word] > 1
+            number = np.cumsum(times > 1) - 1
+            width = int(number[-1]) + 1 if len(number) else 0
+            bits = np.zeros((len(sets), -(-width // 64)), np.uint64)
+            row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[shared]
+            place = number[word[shared]]
+            np.bitwise_or.at(bits, (row, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+            n, ids, found = np.array([len(s) for s in sets]), t["id"].to_numpy(), []
+            step = max(1, (1 << 21) // max(1, bits.shape[1]))
+            for a in range(0, len(i), step):
+                x, y = i[a : a + step], j[a : a + step]
+                common = np.bitwise_count(bits[x] & bits[y]).sum(1, dtype=np.int64)
+                ok = (100 * common >= percent * (n[x] + n[y] - common)) & (common > 0)
+                found.append(np.column_stack([ids[x[ok]], ids[y[ok]]]))
+            found = np.concatenate(found)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+        lean()
+
+    keys = ["bucket", "bi", "bj"]
+    rows = labelled.select("bucket", "band", "id", "n", "c").join(reps.select("id", "sig").dropDuplicates(["id"]), "id")
+    rows = in_blocks(rows).select(*keys, "part", "id", "n", "c", "band", "sig").repartition(*keys).sortWithinPartitions(*keys, "part", "id")
+    left = rows.mapInArrow(near, "bucket bigint, bi int, bj int, part int, id bigint, n bigint, c bigint")
+    rows = left.join(texts, "id").select(*keys, "part", "id", "n", "c", "t").repartition(*keys).sortWithinPartitions(*keys, "part", "id")
+    return rows.mapInArrow(exact, "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """key, n_shingles, component_id, kept of every row."""
     arrow_rows(docs.sparkSession)
     signed = durable(signatures(docs, key, text, size), "minmax")
     live = signed.where("same is not null and id is not null")
     classes = live.groupBy("same").agg(F.min("id").alias("rep"))
-    reps = live.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
-    placed = reps.select("id", F.explode("bands").alias("bucket"))
-    crowded = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    buckets = durable(placed.join(crowded, "bucket"), "minmax")
-    # One text of each class's representative; a repeated id keeps its first by content.
-    texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).join(buckets.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("t").alias("t"))
-    texts = durable(texts, "minmax")
+    reps = live.join(classes, "same").where("id = rep").select("id", "n", "bands", "sig")
+    placed = reps.select("id", "n", F.posexplode("bands").alias("band", "bucket"))
+    crowded = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket", "size")
+    buckets = placed.join(crowded, "bucket")
+    # how much of the crowd a class meets: the text that near copies were made from meets more than each copy
+    weight = buckets.groupBy("id").agg(F.sum("size").alias("weight"))
+    buckets = durable(buckets.select("id", "n", "band", "bucket").join(weight, "id"), "minmax")
+    texts = durable(docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).join(buckets.select("id").distinct(), "id", "left_semi"), "minmax")
     links, tried = None, None
     labelled = buckets.withColumn("c", F.col("id"))
-    for turn in range(HUB_ROUNDS + 1):
-        if turn < HUB_ROUNDS:
-            order = F.struct((F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))).alias("o"), "id", "c")
-            hub = labelled.groupBy("bucket").agg(F.min(order).alias("h"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket", F.col("h.id").alias("hub"), F.col("h.c").alias("hc"))
-            edges = labelled.join(hub, "bucket").where("c <> hc").select("hub", F.col("id").alias("member")).distinct()
-            if turn == 0:  # one hub a member: the least of all its buckets'
-                edges = edges.groupBy("member").agg(F.min("hub").alias("hub")).select("hub", "member")
-        else:
-            mixed = labelled.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
-            open_ = labelled.join(mixed, "bucket")
-            edges = open_.select("bucket", F.col("id").alias("hub"), F.col("c").alias("hc")).join(open_.select("bucket", F.col("id").alias("member"), "c"), "bucket").where("hub < member and c <> hc").select("hub", "member").distinct()
-        edges = edges.select(F.least("hub", "member").alias("hub"), F.greatest("hub", "member").alias("member")) if turn else edges
-        if tried is not None:
-            edges = edges.join(tried, ["hub", "member"], "left_anti")
-        edges = durable(edges.distinct(), "minmax")
-        if edges.isEmpty():
-            if turn == 0:
-                break
-            continue
-        tried = edges if tried is None else tried.unionByName(edges)
-        found = durable(confirm(edges, texts, "id", "t", size, percent), "minmax")
+
+    def confirmed(found: DataFrame) -> int:
+        """Adds links; labels what is still open by component. Returns their number."""
+        nonlocal links, labelled
         links = found if links is None else links.unionByName(found)
         joined = components(links)
-        labelled = durable(buckets.join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", "bucket", F.coalesce("component", "id").alias("c")), "minmax")
+        labelled = durable(buckets.join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "band", "bucket", "weight", F.coalesce("component", "id").alias("c")), "minmax")
+        return found.count()
+
+    for turn in range(HUB_ROUNDS):
+        order = F.struct("weight", -F.col("id"), "id", "c", "n") if turn % 2 == 0 else F.struct(F.xxhash64("id", F.lit(turn)), F.col("weight"), "id", "c", "n")
+        hub = labelled.groupBy("bucket").agg(F.max(order).alias("h"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+        hub = hub.select("bucket", F.col("h.weight").alias("hw"), F.col("h.id").alias("hub"), F.col("h.c").alias("hc"), F.col("h.n").alias("hn"))
+        edges = labelled.join(hub, "bucket").where(f"c <> hc and 100 * least(n, hn) >= {percent} * greatest(n, hn)").select("hw", "hub", F.col("id").alias("member"))
+        if tried is not None:
+            edges = edges.join(tried.select(F.col("hub").alias("x"), F.col("member").alias("y")).unionByName(tried.select(F.col("member").alias("x"), F.col("hub").alias("y"))).distinct(), F.expr("hub = x and member = y"), "left_anti")
+        # one hub a member and round
+        edges = edges.groupBy("member").agg(F.max(F.struct("hw", -F.col("hub"), "hub")).alias("h")).select(F.col("h.hub").alias("hub"), "member")
+        edges = durable(edges, "minmax")
+        n = edges.count()
+        if not n:
+            break
+        tried = edges if tried is None else tried.unionByName(edges)
+        if confirmed(durable(confirm(edges, texts, "id", "t", size, percent), "minmax")) < HUB_YIELD * n:
+            break
+    confirmed(durable(compare_rest(labelled, reps, texts, size, percent), "minmax"))
     label = labelled.select(F.col("id").alias("rep"), "c").distinct()
     of = signed.join(classes, "same", "left").join(label, "rep", "left")
     component = F.coalesce("c", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")))

@@ -54,9 +54,13 @@ def strength(below: DataFrame) -> float:
     return float(min(STRENGTH[1], max(STRENGTH[0], 1 / rho - 1 if rho > 0 else STRENGTH[1])))
 
 
-def reputations(outcomes: DataFrame) -> tuple[DataFrame, float]:
-    """(host, bad_rate, lower) from rows (host, bad); and the overall rate."""
-    hosts = outcomes.where("host <> '' and bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("int")).alias("bad"))
+def reputations(rows: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, float]:
+    """(host, bad_rate, lower) of every host in rows, from outcomes (host, bad); and the overall rate.
+
+    A host without labels has its domain's rate, with the prior's spread.
+    """
+    labelled = outcomes.where("host <> '' and bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("int")).alias("bad"))
+    hosts = rows.where("host <> ''").groupBy("host").agg(F.lit(0).alias("_")).drop("_").join(labelled, "host", "left").fillna(0, ["n", "bad"])
     labels = F.split("host", r"\.")
     hosts = hosts.withColumn("suffix", F.element_at(labels, -1)).withColumn("domain", F.concat_ws(".", F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), 2)))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
@@ -78,7 +82,7 @@ def judge(pages: DataFrame, labels: DataFrame, key: str = "page_id", url: str =
     """key, host, path, rule, verdict, bad_rate of every page; labels: (key, bad boolean)."""
     rows = pages.select(F.col(key).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     outcomes = rows.select("page_id", "host").join(labels.select(F.col(key).alias("page_id"), "bad"), "page_id")
-    scores, rate = reputations(outcomes)
+    scores, rate = reputations(rows, outcomes)
     rule, verdict = rule_of(F.col("host"), F.col("path"))
     own = F.when(F.coalesce("lower", F.lit(rate if rate < THRESHOLD else 1.0)) >= THRESHOLD, "block").otherwise("allow")
     return rows.join(scores, "host", "left").select(

@@ -87,7 +87,7 @@ QUERIES = {f.__name__: f for f in (op1_string_tiling, op2_posting_lists, op3_min
 def strength_sql(rows: str) -> str:
     return f"""(SELECT CASE WHEN sum(n) IS NULL OR sum(n * above * (1 - above)) <= 0 THEN 1000.0 ELSE least(1000.0, greatest(1.0,
     CASE WHEN sum(n * above * (1 - above)) > sum(above * (1 - above)) AND sum(n * pow(bad / n - above, 2)) > sum(above * (1 - above))
-    THEN (sum(n * above * (1 - above)) - sum(above * (1 - above))) / (sum(n * pow(bad / n - above, 2)) - sum(above * (1 - above))) - 1 ELSE 1000.0 END)) END FROM {rows})"""
+    THEN (sum(n * above * (1 - above)) - sum(above * (1 - above))) / (sum(n * pow(bad / n - above, 2)) - sum(above * (1 - above))) - 1 ELSE 1000.0 END)) END FROM {rows} WHERE n > 0)"""
 
 
 ORACLES: dict[str, str] = {
@@ -96,8 +96,9 @@ ORACLES: dict[str, str] = {
     FROM (SELECT page_id, payload, CAST(octet_length(encode(payload)) AS BIGINT) AS n, max(page_id) OVER (PARTITION BY payload) AS newest FROM (SELECT page_id, coalesce(html, '') AS payload FROM pages))""",
     "op10_host_reputation": f"""WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
     o AS (SELECT host, (quality = 0 OR toxic = 1) AS bad FROM p JOIN labels ON doc_id = page_id WHERE host <> ''),
-    h AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST(bad AS INTEGER)) AS DOUBLE) AS bad, string_split(host, '.')[-1] AS suffix, array_to_string(string_split(host, '.')[-2:], '.') AS domain FROM o WHERE bad IS NOT NULL GROUP BY host),
-    g AS (SELECT CASE WHEN count(*) > 0 THEN (sum(bad) + 0.5) / (sum(n) + 1) ELSE 0.5 END AS rate FROM h),
+    l AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST(bad AS INTEGER)) AS DOUBLE) AS bad FROM o WHERE bad IS NOT NULL GROUP BY host),
+    h AS (SELECT host, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad, string_split(host, '.')[-1] AS suffix, array_to_string(string_split(host, '.')[-2:], '.') AS domain FROM (SELECT DISTINCT host FROM p WHERE host <> '') LEFT JOIN l USING (host)),
+    g AS (SELECT CASE WHEN sum(n) > 0 THEN (sum(bad) + 0.5) / (sum(n) + 1) ELSE 0.5 END AS rate FROM h),
     s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(rate) AS above FROM h, g GROUP BY suffix),
     s AS (SELECT suffix, (m * above + bad) / (m + n) AS above FROM s0, (SELECT {strength_sql("s0")} AS m)),
     d0 AS (SELECT domain, h.suffix, sum(n) AS n, sum(bad) AS bad, any_value(above) AS above FROM h JOIN s USING (suffix) GROUP BY domain, h.suffix),

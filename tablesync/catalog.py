@@ -66,6 +66,7 @@ class Mapping:
     retry_at: float | None = None
     rows_synced: int = 0
     queued_changes: int = 0
+    queued_bytes: int = 0
     snapshot_rows: int | None = None
     snapshot_ms: int | None = None
     flush_count: int = 0
@@ -352,5 +353,5 @@ class Catalog:
         return self.spark.createDataFrame(rows, "name string, publication string, slot string, enabled boolean, mode string, pending_lsn bigint, confirmed_lsn bigint, conninfo string")
 
     def mappings_frame(self) -> DataFrame:
-        rows = [(m.id, m.group, m.source, m.target, m.label, m.sync_mode, m.state, m.enabled, m.snapshot_lsn, m.applied_lsn, m.applied_seq, m.rows_synced, m.queued_changes, m.failures, m.error, m.flush_count, m.flush_ms, m.last_sync_at, m.snapshot_rows, m.snapshot_ms) for m in self.mappings.values()]
-        return self.spark.createDataFrame(rows, "mapping_id string, group string, source string, target string, label string, sync_mode string, state string, enabled boolean, snapshot_lsn bigint, applied_lsn bigint, applied_seq bigint, rows_synced bigint, queued_changes bigint, failures int, error string, flush_count int, flush_ms bigint, last_sync_at double, snapshot_rows bigint, snapshot_ms bigint")
+        rows = [(m.id, m.group, m.source, m.target, m.label, m.sync_mode, m.state, m.enabled, m.snapshot_lsn, m.applied_lsn, m.applied_seq, m.rows_synced, m.queued_changes, m.queued_bytes, m.failures, m.error, m.flush_count, m.flush_ms, m.last_sync_at, m.snapshot_rows, m.snapshot_ms) for m in self.mappings.values()]
+        return self.spark.createDataFrame(rows, "mapping_id string, group string, source string, target string, label string, sync_mode string, state string, enabled boolean, snapshot_lsn bigint, applied_lsn bigint, applied_seq bigint, rows_synced bigint, queued_changes bigint, queued_bytes bigint, failures int, error string, flush_count int, flush_ms bigint, last_sync_at double, snapshot_rows bigint, snapshot_ms bigint")

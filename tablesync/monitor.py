@@ -45,10 +45,11 @@ def status(catalog: Catalog, source_lsn: int = 0) -> DataFrame:
 
 
 def worker_status(catalog: Catalog) -> DataFrame:
-    m = catalog.mappings_frame().groupBy(F.col("group").alias("name")).agg(F.sum("queued_changes").alias("queued_changes"), F.count_if(F.col("state") == "ERRORED").alias("errored_tables"))
-    running = catalog.spark.createDataFrame([(g.name, g.running, g.mode) for g in catalog.groups.values()], "name string, running boolean, mode string")
-    limit = catalog.get_config("max_queued_bytes")
-    return running.join(m, "name", "left").select(F.col("name").alias("group"), "running", "mode", F.coalesce("queued_changes", F.lit(0)).cast("bigint").alias("queued_changes"), F.coalesce("errored_tables", F.lit(0)).cast("bigint").alias("errored_tables"), F.lit(int(limit)).alias("max_queued_bytes"))
+    """Groups with what they hold back; backpressure: that reaches the group's limit."""
+    m = catalog.mappings_frame().groupBy(F.col("group").alias("name")).agg(F.sum("queued_changes").alias("queued_changes"), F.sum("queued_bytes").alias("queued_bytes"), F.count_if(F.col("state") == "ERRORED").alias("errored_tables"))
+    running = catalog.spark.createDataFrame([(g.name, g.running, g.mode, int(catalog.get_group_config(g.name, "max_queued_bytes"))) for g in catalog.groups.values()], "name string, running boolean, mode string, max_queued_bytes bigint")
+    sums = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("queued_changes", "queued_bytes", "errored_tables")]
+    return running.join(m, "name", "left").select(F.col("name").alias("group"), "running", "mode", *sums, "max_queued_bytes").withColumn("backpressure", F.col("queued_bytes") >= F.col("max_queued_bytes"))
 
 
 def metrics(catalog: Catalog, source_lsn: int = 0) -> str:

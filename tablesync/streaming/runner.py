@@ -24,6 +24,7 @@ from ..operators.changes import DELETE, SCHEMA, TRUNCATE, UPDATE, append_rows, d
 from ..operators.schema import schema_diff
 from ..state import CATCHUP, ERRORED, SNAPSHOT, STREAMING
 from .gate import FlushGate
+from .snapshots import SnapshotManager
 
 #: Commits that one batch of one table may make: two per segment between barriers.
 STEPS = 1_000_000
@@ -34,11 +35,16 @@ class UnsupportedChange(ValueError):
 
 
 class GroupRunner:
-    """snapshot: gives a table's rows and the position they are of; columns as in the mapping."""
+    """snapshot: gives a table's rows and the position they are of; columns as in the mapping.
 
-    def __init__(self, catalog: Catalog, group: str, snapshot: Callable[[Mapping], tuple[DataFrame, int]] | None = None):
+    background: snapshots run beside the stream, and a table's changes are held until its own is in.
+    """
+
+    def __init__(self, catalog: Catalog, group: str, snapshot: Callable[[Mapping], tuple[DataFrame, int]] | None = None, background: bool = False):
         self.catalog, self.group, self.snapshot, self.spark = catalog, group, snapshot, catalog.spark
         self.gate = FlushGate(int(catalog.get_group_config(group, "max_concurrent_flushes")))
+        self.snapshots = SnapshotManager() if background else None
+        self.ready: dict[str, tuple[int, int, int]] = {}
 
     def start(self, changes: DataFrame, checkpoint: str, available_now: bool = False) -> StreamingQuery:
         """Runs over a streaming DataFrame of change rows (wal.ROW)."""
@@ -83,14 +89,24 @@ class GroupRunner:
 
     def _hold(self, m: Mapping, rows: DataFrame, number: int) -> None:
         rows.write.mode("overwrite").parquet(self.catalog.store.path(f"_held/{m.id}/{number:020d}"))
-        m.queued_changes += rows.count()
+        texts = F.aggregate(F.concat(F.coalesce("new", F.array()), F.coalesce("old", F.array())), F.lit(0), lambda a, v: a + F.coalesce(F.octet_length(v), F.lit(0)))
+        got = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(texts), F.lit(0)).alias("b")).first()
+        m.queued_changes += got.n
+        m.queued_bytes += got.b
 
     def _table(self, m: Mapping, batch: DataFrame, names: set[str], stats: list, number: int, end: int | None) -> None:
         rows = batch.where(F.col("rel").isin(*names))
         with self.gate.flush():
             try:
                 if m.state == SNAPSHOT and self.snapshot is not None:
-                    self.take_snapshot(m)
+                    if self.snapshots is None:
+                        self.take_snapshot(m)
+                    elif done := self.snapshots.harvest(m.id):
+                        done.result()
+                    else:
+                        self.snapshots.kick(m.id, lambda: self.load_snapshot(m))
+                if self.snapshots is not None and m.id in self.ready:
+                    self.catalog.snapshotted(m, *self.ready.pop(m.id))
                 if m.state not in (CATCHUP, STREAMING):
                     if stats:
                         self._hold(m, rows, number)
@@ -99,7 +115,7 @@ class GroupRunner:
                     if old < number:
                         self._flush(m, self.spark.read.parquet(self.catalog.store.path(f"_held/{m.id}/{old:020d}")), old)
                     self.catalog.store.delete(f"_held/{m.id}/{old:020d}")
-                m.queued_changes = 0
+                m.queued_changes = m.queued_bytes = 0
                 if stats:
                     self._flush(m, rows, number)
                 elif end is not None and m.state == STREAMING:
@@ -110,13 +126,17 @@ class GroupRunner:
                     self._hold(m, rows, number)
 
     def take_snapshot(self, m: Mapping) -> None:
+        self.load_snapshot(m)
+        self.catalog.snapshotted(m, *self.ready.pop(m.id))
+
+    def load_snapshot(self, m: Mapping) -> None:
         """Puts a snapshot in the place of the table's share of the target."""
         began = time.monotonic()
         rows, lsn = self.snapshot(m)
         table = self.catalog.target(m)
         table.replace(rows, m.label, m.id, (lsn, 0))
         n = table.read(source=m.label).count()
-        self.catalog.snapshotted(m, lsn, n, int(1000 * (time.monotonic() - began)))
+        self.ready[m.id] = (lsn, n, int(1000 * (time.monotonic() - began)))
 
     def typed(self, m: Mapping, rows: DataFrame) -> DataFrame:
         """Change rows in the table's own columns; old_<key> holds an update's old key."""

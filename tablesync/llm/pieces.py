@@ -68,3 +68,19 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
                 if stop < n:
                     start[stop] = True
     return byte[:n][start]
+
+
+def part_bounds(data: np.ndarray, size: int) -> list[int]:
+    """Cuts of one long text into parts of about `size` bytes, where a piece begins whatever stands around: at a space behind a visible ASCII character."""
+    bounds = [0]
+    while len(data) - bounds[-1] > size:
+        at, found = bounds[-1] + size, None
+        while found is None and at < len(data):
+            near = data[at - 1 : at + (1 << 16)]
+            ok = np.flatnonzero((near[1:] == 0x20) & (near[:-1] > 0x20) & (near[:-1] < 0x7F))
+            found = at + int(ok[0]) if len(ok) else None
+            at += 1 << 16
+        if found is None:
+            break
+        bounds.append(found)
+    return [*bounds, len(data)]

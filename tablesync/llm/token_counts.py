@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import arrow_rows, text_slices
-from .pieces import byte_table, piece_starts
+from .pieces import byte_table, part_bounds, piece_starts
 
 #: Bytes of a chunk of a long piece.
 CHUNK = 64
+#: A text above this many bytes is counted in parts.
+PART_BYTES = 4 << 20
 #: Compiled states that a worker keeps; beyond that it starts anew between two batches, so memory stays bounded.
 MOST_STATES = 250_000
 class CountingTransducer:
@@ -190,6 +192,10 @@ class CountingTransducer:
 
     def text_counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The token count of each text data[offsets[i]:offsets[i + 1]] (UTF-8)."""
+        if len(offsets) == 2 and len(data) > PART_BYTES:
+            bounds = part_bounds(data, PART_BYTES)
+            if len(bounds) > 2:
+                return sum(self.text_counts(data[a:b], np.array([0, b - a])) for a, b in zip(bounds, bounds[1:], strict=False))
         if len(self.what) > MOST_STATES:
             self.reset()
         blob, extra, cuts = data.tobytes(), np.zeros(len(offsets) - 1, np.int64), []

@@ -239,6 +239,19 @@ def test_token_counts_against_the_library():
     assert got.tolist() == [len(x) for x in Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def test_long_texts_in_parts(monkeypatch):
+    import public_tokenizers
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choices(ALPHABET, k=2000)) for _ in range(6)] + ["x" * 3000, " " * 3000]
+    bpe = byte_bpe.ByteBPE(queries.tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    machine = token_counts.transducer(queries.tokenizer_file("byte_bpe_50k.json"))
+    ids, counts = [bpe.encode([t]) for t in texts], [machine.text_counts(*slices([t])).tolist() for t in texts]
+    monkeypatch.setattr(byte_bpe, "PART_BYTES", 100)
+    monkeypatch.setattr(token_counts, "PART_BYTES", 100)
+    assert [bpe.encode([t]) for t in texts] == ids and [machine.text_counts(*slices([t])).tolist() for t in texts] == counts
+
+
 def test_token_counts_frame(spark):
     got = token_counts.count_tokens(docs(spark, ODD, True), queries.tokenizer_file("byte_bpe_50k.json"), 512).collect()
     assert len(got) == len(ODD)

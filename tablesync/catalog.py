@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import config as settings
 from .functions.scalar import ERROR_LIMIT, backoff, redact, source_label, split_name
-from .sources.lake import LakeTable
+from .sources.lake import BUCKETS, LakeTable
 from .sources.store import Store
 from .state import CATCHUP, ERRORED, SNAPSHOT, STREAMING, move
 
@@ -171,8 +171,8 @@ class Catalog:
     def target(self, m: Mapping) -> LakeTable:
         return LakeTable(self.spark, f"{self.root}/{m.target}")
 
-    def add_table(self, source: str, columns: list[tuple[str, int]], keys: list[str] | None = None, target: str | None = None, group: str = "default", copy_data: bool = True, fan_in: bool = False, sync_mode: str = "upsert", modifiers: dict[str, int] | None = None) -> Mapping:
-        """Starts syncing a source table: columns are (name, type id) pairs, keys its primary key."""
+    def add_table(self, source: str, columns: list[tuple[str, int]], keys: list[str] | None = None, target: str | None = None, group: str = "default", copy_data: bool = True, fan_in: bool = False, sync_mode: str = "upsert", modifiers: dict[str, int] | None = None, buckets: int = BUCKETS) -> Mapping:
+        """Starts syncing a source table: columns are (name, type id) pairs, keys its primary key; buckets: of a new upsert target."""
         from .functions.pgtypes import spark_type
 
         if sync_mode not in MODES:
@@ -207,7 +207,7 @@ class Catalog:
                 for (a, ka), (b, kb) in zip(types, held, strict=True):
                     if a != b or ka != kb:
                         raise CatalogError(f"fan-in schema mismatch: source column {a} {ka}, target column {b} {kb}")
-            LakeTable.create(self.spark, table.root, types, keys, sync_mode)
+            LakeTable.create(self.spark, table.root, types, keys, sync_mode, buckets)
             m = Mapping(uuid.uuid4().hex, group, full, target, label, list(columns), list(keys or []), sync_mode, SNAPSHOT if copy_data else STREAMING, fan_in=fan_in)
             self.mappings[m.id] = m
             self.save()

@@ -84,17 +84,20 @@ def append_rows(changes: DataFrame, label: str, columns: list[str]) -> DataFrame
 def batches(changes: DataFrame, size: int) -> DataFrame:
     """Which batch each change drains in when batches take `size` changes in order.
 
-    Positions are numbered without one global sort task: range partitions are counted first, and each
-    row's number is its rank within its partition plus the sizes of those before it.
+    Positions are numbered without one global sort task: rows are dealt by range and sorted, each gets its
+    place within its partition, and the partitions' sizes are summed up. The dealt rows are written first,
+    as ranges are drawn from a sample and would differ from run to run.
     """
-    parts = changes.repartitionByRange("lsn", "seq").sortWithinPartitions("lsn", "seq").withColumn("_id", F.monotonically_increasing_id())
-    parts = parts.withColumn("_part", F.shiftright("_id", 33)).withColumn("_nth", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = {r["_part"]: r["n"] for r in parts.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-    before, base = 0, {}
-    for k in sorted(counts):
-        base[k] = before
-        before += counts[k]
-    if not base:
-        return parts.withColumn("batch", F.lit(0).cast("bigint")).drop("_id", "_part", "_nth")
-    start = F.element_at(F.create_map(*[F.lit(x).cast("bigint") for kv in base.items() for x in kv]), F.col("_part"))
-    return parts.withColumn("batch", F.floor((start + F.col("_nth")) / size).cast("bigint")).drop("_id", "_part", "_nth")
+    from ..sources.shared import written
+
+    rows = changes.repartitionByRange("lsn", "seq").sortWithinPartitions("lsn", "seq").withColumn("_id", F.monotonically_increasing_id())
+    rows = written(rows.withColumn("_part", F.shiftright("_id", 33)).withColumn("_nth", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id"), "batches")
+    sizes = {r["_part"]: r["n"] for r in rows.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    starts, before = {}, 0
+    for part in sorted(sizes):
+        starts[part] = before
+        before += sizes[part]
+    if not starts:
+        return rows.withColumn("batch", F.lit(0).cast("bigint")).drop("_part", "_nth")
+    start = F.element_at(F.create_map(*[F.lit(x).cast("bigint") for pair in starts.items() for x in pair]), F.col("_part"))
+    return rows.withColumn("batch", F.floor((start + F.col("_nth")) / size).cast("bigint")).drop("_part", "_nth")

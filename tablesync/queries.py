@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +17,7 @@ from .operators.consistency import counts, differences
 from .operators.schema import schema_diff
 from .plans.routing import Router, Target, view_name
 from .sources.lake import LakeTable
+from .sources.shared import new_folder
 
 COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,8 +95,7 @@ def cdc_upsert_on_snapshot(spark, sf_dir):
 
 def lake_table(spark: SparkSession, columns: list[tuple[str, str]], keys: list[str] | None, mode: str = "upsert") -> LakeTable:
     """A new table in the folder that executors share (a local one where none is set)."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tablesync-checkpoints").rstrip("/")
-    return LakeTable.create(spark, f"{root}/lake-{uuid.uuid4().hex}", columns, keys, mode)
+    return LakeTable.create(spark, new_folder(spark, "lake"), columns, keys, mode)
 
 
 ORDER_TYPES = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double")]
@@ -327,8 +326,7 @@ def snapshot_special_text(spark, sf_dir):
     """Texts with line breaks, quotes, separators and accents through a CSV snapshot."""
     from .sources.snapshot import read_csv, write_csv
 
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tablesync-checkpoints").rstrip("/")
-    path = f"{root}/snapshot-{uuid.uuid4().hex}"
+    path = new_folder(spark, "snapshot")
     write_csv(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     return read_csv(spark, path, "doc_id bigint, text string")
 

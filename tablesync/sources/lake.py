@@ -137,7 +137,8 @@ class LakeTable:
         out = rows.select(*[F.col(f"`{c['name']}`").cast(c["type"]).alias(f"c{c['id']}") for c in v.columns], *[F.lit(label).alias(SOURCE) if c == SOURCE else F.col(c) for c in self.schema(v).names if c not in v.names], *(["_bucket"] if split else []))
         path = f"{self.root}/data/{name}"
         if split:
-            out.repartition("_bucket").write.partitionBy("_bucket").parquet(path)
+            # rebalanced, so that a large bucket is several tasks' work and files
+            out.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(path)
             return {n.split("=")[1]: [f"{name}/{n}"] for n in self.store.names(f"data/{name}") if n.startswith("_bucket=")}
         out.write.parquet(path)
         return {"0": [name]}
@@ -339,6 +340,22 @@ class LakeTable:
 
         return self.commit(change)
 
+    def rebucket(self, buckets: int) -> Version:
+        """Deals all rows anew; for tables that have outgrown their buckets (a gigabyte a bucket is a good size)."""
+        v = self.version()
+        if v.mode != "upsert":
+            raise ValueError("append tables have no buckets")
+        v.buckets = buckets
+        parts = {label: self._write(v, self._bucketed(v, self._folders(v, [f for fs in by.values() for f in fs])), label, True) for label, by in v.parts.items()}
+
+        def change(new: Version) -> Version:
+            if new.number != v.number:
+                raise CommitConflict(f"{self.root} was written while its buckets were dealt anew")
+            new.parts, new.buckets, new.what = parts, buckets, "rebucket"
+            return new
+
+        return self.commit(change)
+
     def vacuum(self, keep_versions: int = 1) -> int:
         """Deletes folders that none of the last versions names; returns how many."""
         named = {f.split("/")[0] for n in self.versions()[-keep_versions:] for by in self.version(n).parts.values() for fs in by.values() for f in fs}

@@ -240,6 +240,10 @@ def test_lake_versions(spark, tmp_path):
         t.upsert(ch((n + 1, 1, 0, 100 + n, "c")), "s", "m", n, (n + 1, 1))
     assert t.read().count() == 53
     want = rows(t.read(), "id", "val")
+    t.rebucket(7)
+    assert rows(t.read(), "id", "val") == want and t.version().buckets == 7
+    t.upsert(ch((50, 1, 1, 8, "again")), "s", "m", 50, (50, 1))
+    want = [(i, "again" if i == 8 else v) for i, v in want]
     t.compact(0)
     assert rows(t.read(), "id", "val") == want and t.vacuum() > 0 and rows(t.read(), "id", "val") == want
     with pytest.raises(ValueError, match="primary key"):

@@ -91,6 +91,25 @@ def strength_sql(rows: str) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op3_minmax_dedup": r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+    s0 AS (SELECT DISTINCT doc_id, unnest(CASE len(ws) WHEN 0 THEN [] WHEN 1 THEN [ws[1]] ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS sh FROM w),
+    s AS (SELECT doc_id, sh, count(*) OVER (PARTITION BY doc_id) AS n FROM s0),
+    l AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+    r(x, y) AS (SELECT DISTINCT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+    FROM documents d JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON c.x = d.doc_id LEFT JOIN (SELECT DISTINCT doc_id, n FROM s) n ON n.doc_id = d.doc_id""",
+    "op8_suffix_dedup": """WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, CAST(length(h) / 2 AS BIGINT) - 49)) AS p FROM t WHERE length(h) >= 100)),
+    g AS (SELECT s, min(doc_id) AS low FROM w GROUP BY s HAVING count(DISTINCT doc_id) > 1),
+    m AS (SELECT doc_id, p FROM w JOIN g USING (s) WHERE low < doc_id),
+    i AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM m),
+    k AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM i),
+    r AS (SELECT doc_id, span, min(p) AS a, max(p) + 50 AS b FROM k GROUP BY doc_id, span),
+    c AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS start, a AS stop FROM r UNION ALL SELECT doc_id, max(b), NULL FROM r GROUP BY doc_id),
+    kept AS (SELECT c.doc_id, string_agg(substr(h, 2 * start + 1, coalesce(2 * (stop - start), length(h))), '' ORDER BY start) AS h FROM c JOIN t USING (doc_id) GROUP BY c.doc_id),
+    n AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id)
+    SELECT t.doc_id, CAST(length(t.h) / 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, t.h))) AS kept_sha256
+    FROM t LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op6_warc": """SELECT page_id, n AS payload_bytes, sha1(payload) AS payload_digest, CASE WHEN n >= 1000 AND page_id <> newest THEN 'revisit' ELSE 'response' END AS record_type,
     CASE WHEN n >= 1000 AND page_id <> newest THEN newest END AS refers_to
     FROM (SELECT page_id, payload, CAST(octet_length(encode(payload)) AS BIGINT) AS n, max(page_id) OVER (PARTITION BY payload) AS newest FROM (SELECT page_id, coalesce(html, '') AS payload FROM pages))""",

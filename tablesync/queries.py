@@ -246,6 +246,38 @@ def cdc_batches(spark, sf_dir):
     return C.batches(change_log(spark, sf_dir), 5000).groupBy("batch").agg(F.count("*").alias("n"), F.max("lsn").alias("applied_lsn"))
 
 
+# -- streams
+
+
+def _streamed(spark, sf_dir, sync_mode: str) -> DataFrame:
+    """The change log as files of change rows, one micro-batch each, through a group's streaming query."""
+    from .catalog import Catalog
+    from .sources.wal import ROW
+    from .streaming.runner import GroupRunner
+
+    root, log = new_folder(spark, "stream"), change_log(spark, sf_dir)
+    image = F.array(*[F.col(c).cast("string") for c in COLUMNS])
+    none = F.lit(None)
+    rows = log.select("lsn", "seq", F.lit(1).cast("bigint").alias("xid"), F.lit("public.orders").alias("rel"), "op", F.when(F.col("op") != C.DELETE, image).alias("new"), F.when(F.col("op") == C.DELETE, image).alias("old"), none.cast("array<boolean>").alias("unchanged"), none.cast("string").alias("ddl"))
+    for n in range(4):
+        rows.where(F.floor(F.col("lsn") / 10**9) == n).coalesce(1).write.mode("append").parquet(f"{root}/log")
+    catalog = Catalog(spark, f"{root}/lake")
+    m = catalog.add_table("orders", [("o_orderkey", 20), ("o_custkey", 20), ("o_orderstatus", 25), ("o_totalprice", 701)], ["o_orderkey"] if sync_mode == "upsert" else None, copy_data=False, sync_mode=sync_mode)
+    changes = spark.readStream.schema(ROW).option("maxFilesPerTrigger", 1).parquet(f"{root}/log")
+    GroupRunner(catalog, "default").start(changes, f"{root}/checkpoint", available_now=True).awaitTermination()
+    return catalog.target(m).read()
+
+
+@query(CH + ", " + LAST + " SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM last WHERE op IN (0, 1)")
+def stream_upsert(spark, sf_dir):
+    return _streamed(spark, sf_dir, "upsert").select(*COLUMNS)
+
+
+@query(CH + "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, 'default/public.orders' AS _source, CASE op WHEN 0 THEN 'I' WHEN 1 THEN 'U' ELSE 'D' END AS _op, lsn AS _lsn, seq AS _seq FROM ch")
+def stream_append(spark, sf_dir):
+    return _streamed(spark, sf_dir, "append")
+
+
 # -- single changes
 
 

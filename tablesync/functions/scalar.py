@@ -48,7 +48,7 @@ def moving_average(values: Column, weight: float = 0.3) -> Column:
 
 
 def nearest_rank(values: Column, percent: int) -> Column:
-    """The smallest value that at least `percent` of an array's values don't exceed."""
+    """The smallest value that at least `percent` of an array's values don't exceed; for short histories, see operators.stats for groups."""
     rank = F.greatest(F.lit(1), F.ceil(F.size(values) * F.lit(percent) / 100)).cast("int")
     return F.try_element_at(F.array_sort(values), rank)
 

@@ -15,6 +15,7 @@ from .operators.barriers import since_truncate
 from .operators.compact import last_per_key, upserted
 from .operators.consistency import counts, differences
 from .operators.schema import schema_diff
+from .operators.stats import nearest_ranks
 from .plans.routing import Router, Target, view_name
 from .sources.lake import LakeTable
 from .sources.shared import new_folder
@@ -431,7 +432,7 @@ def meta_avg_row_bytes(spark, sf_dir):
 
 @query("SELECT o_custkey, list_sort(list(o_totalprice))[CAST(greatest(1, ceil(count(*) * 50 / 100.0)) AS INTEGER)] AS p50, list_sort(list(o_totalprice))[CAST(greatest(1, ceil(count(*) * 99 / 100.0)) AS INTEGER)] AS p99 FROM orders GROUP BY o_custkey")
 def bench_percentiles(spark, sf_dir):
-    return orders(spark, sf_dir).groupBy("o_custkey").agg(F.collect_list("o_totalprice").alias("x")).select("o_custkey", scalar.nearest_rank(F.col("x"), 50).alias("p50"), scalar.nearest_rank(F.col("x"), 99).alias("p99"))
+    return nearest_ranks(orders(spark, sf_dir), ["o_custkey"], "o_totalprice", {"p50": 50, "p99": 99})
 
 
 @query("SELECT * FROM (VALUES ('512 MB', CAST(512000000 AS BIGINT)), ('1.5 GiB', 1610612736), ('16KB', 16000), ('0 bytes', 0), ('x', 0)) t(size, bytes)")

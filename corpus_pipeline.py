@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablesync.llm.byte_bpe import encode_decode
-from tablesync.llm.common import durable
+from tablesync.llm.common import durable, scratch, small_side
 from tablesync.llm.language_id import identify
 from tablesync.llm.minmax_dedup import near_duplicates
 from tablesync.llm.queries import table, tokenizer_file
 from tablesync.llm.string_tiling import clean
-from tablesync.llm.substring_dedup import remove_repeats
+from tablesync.llm.substring_dedup import cut_repeats
 
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
@@ -30,9 +30,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates: that of the smallest id."""
-    found = durable(near_duplicates(docs, size=SHINGLE_WORDS, percent=SIMILAR_PERCENT), "near")
+    with scratch(spark):
+        found = durable(near_duplicates(docs, size=SHINGLE_WORDS, percent=SIMILAR_PERCENT), "near", lasts=True)
     gone = found.where("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
+    left = docs.join(small_side(gone), "doc_id", "left_anti")
     again = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not again.isEmpty():
         turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(*docs.columns))
@@ -43,11 +44,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated passages out of the texts; n_chars follows."""
-    found = remove_repeats(docs, with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.try_validate_utf8(F.col("kept").cast("string")).alias("_whole"), F.make_valid_utf8(F.col("kept").cast("string")).alias("_made")).dropDuplicates(["_id", "_sha"])
-    kept = F.coalesce("_whole", F.regexp_replace("_made", "�", ""))
-    rows = docs.withColumn("_own", F.sha2("text", 256)).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left")
-    rows = rows.withColumn("_text", F.when(F.col("_sha").isNull(), F.col("text")).otherwise(kept)).where("_sha is null or _text <> ''")
-    return rows.withColumn("n_chars", F.when(F.col("_sha").isNull(), F.col("n_chars")).otherwise(F.length("_text").cast("bigint"))).withColumn("text", F.col("_text")).select(*docs.columns)
+    rows = cut_repeats(docs).where("not cut or text <> ''")
+    return rows.withColumn("n_chars", F.when(F.col("cut"), F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

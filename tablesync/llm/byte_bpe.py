@@ -22,11 +22,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import arrow_rows, text_slices
-from .pieces import byte_table, piece_starts
+from .common import arrow_rows, lean, text_slices
+from .pieces import byte_table, part_bounds, piece_starts
 
-#: Distinct pieces that a worker keeps with their ids; beyond that it starts anew between two slices.
-MOST_PIECES = 300_000
+#: A text above this many bytes is split into pieces in parts.
+PART_BYTES = 4 << 20
+#: Distinct pieces that a task keeps with their ids; beyond that it starts anew between two slices.
+MOST_PIECES = 150_000
 #: Fixed value: the usual split pattern of byte-level BPE, for which pieces are found without a regular expression.
 COMMON_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -84,6 +86,13 @@ class ByteBPE:
         """For each text data[offsets[i]:offsets[i + 1]] the numbers of its pieces; distinct pieces are encoded once."""
         if len(self.known) > MOST_PIECES:
             self.forget()
+        if self.common and len(offsets) == 2 and len(data) > PART_BYTES:
+            bounds = part_bounds(data, PART_BYTES)
+            parts = [self._pieces(data[a:b], np.array([0, b - a])) for a, b in zip(bounds, bounds[1:], strict=False)]
+            return [[k for p in parts for k in p[0]]]
+        return self._pieces(data, offsets)
+
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
         if not len(data):
             return [[] for _ in offsets[1:]]
         if self.common:
@@ -146,5 +155,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...
                 part = batch.slice(i, j - i)
                 arrays = [part.column(k) for k in keep] + [pa.array(c, t) for c, (_, t, _) in zip(cols, out, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *(n for n, _, _ in out)])
+        model.forget()  # a worker lives on for other work
+        lean()
 
     return src.mapInArrow(run, schema)

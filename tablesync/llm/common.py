@@ -9,6 +9,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes handled at once by the vectorised code; its temporaries take about 60 times that.
 SLICE_BYTES = 1 << 20
+#: Rows of a few numbers that may be broadcast: at most 40 MB, and a hash table of a few times that.
+BROADCAST_ROWS = 1_000_000
 #: Multiplier of the polynomial word hash, modulo 2**64; odd, so it can be inverted.
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -28,11 +31,41 @@ def shared_dir(spark: SparkSession) -> str:
     return (path or "/tmp/tablesync-checkpoints").rstrip("/")
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What durable() writes inside goes at the end, but for what is written to last."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in map(spark._jvm.org.apache.hadoop.fs.Path, _scratch.pop()):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def durable(df: DataFrame, name: str, lasts: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back, so that later stages don't hang on lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if _scratch and not lasts:
+        _scratch[-1].append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._durable_path = path
+    return out
+
+
+def small_side(ids: DataFrame) -> DataFrame:
+    """ids (a few numbers a row), to be broadcast if a count finds at most BROADCAST_ROWS of them; beyond that joins shuffle."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what durable() wrote for df; nothing that is still to be computed may read it."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._durable_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def lean() -> None:
@@ -131,9 +164,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        edges = durable(small, "cc")
+        edges, old = durable(small, "cc"), edges
+        discard(old)
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()
         if state == now:
             break
         state = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out.source = edges  # for discard(), once out has been used
+    return out

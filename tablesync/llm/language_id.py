@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, mix64, text_slices
+from .common import arrow_rows, lean, mix64, text_slices
 from .pieces import LETTER, char_classes
 
 PER_LANGUAGE = 2000
@@ -190,5 +190,6 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
                             r = w.row[a]
                             spans[r].append({"start": int(w.start[a] - w.first[r]), "end": int(w.end[b - 1] - w.first[r]), "lang": m.languages[label[a]]})
                 yield pa.RecordBatch.from_arrays([*(part.column(x) for x in keep), part.column("_held"), pa.array(pred, pa.string()), pa.array(score), *[pa.array(spans, span)] * with_spans], names=names)
+            lean()
 
     return src.mapInArrow(run, ", ".join(kinds))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, components, durable, lean, mix64, span_hashes, text_slices
+from .common import arrow_rows, components, discard, durable, lean, mix64, small_side, span_hashes, text_slices
 
 PERMUTATIONS, ROWS, BANDS = 64, 4, 32
 #: Rounds of comparing with hubs before the rest is compared in full.
@@ -119,6 +119,7 @@ def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                 keys, values = (iter(x) for x in band_keys(sets, begin))
                 same = [hashlib.blake2b(sets[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(begin[:-1], begin[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(n), pa.array(same, pa.binary()), pa.array([next(keys) if x else None for x in n], pa.list_(pa.int64())), pa.array([next(values) if x else None for x in n], pa.list_(pa.int16()))], names=["id", "n", "same", "bands", "sig"])
+            lean()
 
     return docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).mapInArrow(run, "id bigint, n bigint, same binary, bands array<bigint>, sig array<smallint>")
 
@@ -134,7 +135,7 @@ def confirm(edges: DataFrame, docs: DataFrame, key: str, text: str, size: int, p
     blocks = F.ceil(F.col("degree") / HUB_BLOCK).cast("int")
     members = edges.join(degree, "hub").select("hub", F.pmod(F.xxhash64("member"), blocks).cast("int").alias("block"), F.col("member").alias("id"), F.lit(1).alias("part"))
     hubs = degree.select("hub", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("hub").alias("id"), F.lit(0).alias("part"))
-    rows = members.unionByName(hubs).join(texts, "id").repartition("hub", "block").sortWithinPartitions("hub", "block", "part", "id")
+    rows = small_side(durable(members.unionByName(hubs), "minmax")).join(texts, "id").repartition("hub", "block").sortWithinPartitions("hub", "block", "part", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, hub = None, None
@@ -150,6 +151,7 @@ def confirm(edges: DataFrame, docs: DataFrame, key: str, text: str, size: int, p
                     elif at == (h, block) and linked(hub, own, percent):
                         found.append((h, doc))
                 yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), pa.array([m for _, m in found], pa.int64())], names=["a", "b"])
+            lean()
 
     return rows.select("hub", "block", "id", "part", "t").mapInArrow(run, "a bigint, b bigint")
 
@@ -179,7 +181,7 @@ def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator
 
 def in_blocks(rows: DataFrame) -> DataFrame:
     """Rows with bi, bj: a bucket's pairs in tasks of at most about two BLOCKs of rows; part 0 rows are compared with part 1 rows where bi <> bj."""
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("_s"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket", F.ceil(F.col("_s") / BLOCK).cast("int").alias("_nb"))
+    sizes = durable(rows.groupBy("bucket").agg(F.count("*").alias("_s"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket", F.ceil(F.col("_s") / BLOCK).cast("int").alias("_nb")), "minmax")
     rows = rows.join(sizes, "bucket").withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int"))
     rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
     return rows.withColumn("bi", F.least("_b", "_o")).withColumn("bj", F.greatest("_b", "_o")).withColumn("part", (F.col("_b") > F.col("bi")).cast("int")).drop("_nb", "_b", "_o")
@@ -248,10 +250,10 @@ def compare_rest(labelled: DataFrame, reps: DataFrame, texts: DataFrame, size: i
         lean()
 
     keys = ["bucket", "bi", "bj"]
-    rows = labelled.select("bucket", "band", "id", "n", "c").join(reps.select("id", "sig").dropDuplicates(["id"]), "id")
-    rows = in_blocks(rows).select(*keys, "part", "id", "n", "c", "band", "sig").repartition(*keys).sortWithinPartitions(*keys, "part", "id")
-    left = rows.mapInArrow(near, "bucket bigint, bi int, bj int, part int, id bigint, n bigint, c bigint")
-    rows = left.join(texts, "id").select(*keys, "part", "id", "n", "c", "t").repartition(*keys).sortWithinPartitions(*keys, "part", "id")
+    rows = in_blocks(labelled.select("bucket", "band", "id", "n", "c")).join(reps.select("id", "sig").dropDuplicates(["id"]), "id")
+    rows = rows.select(*keys, "part", "id", "n", "c", "band", "sig").repartition(*keys).sortWithinPartitions(*keys, "part", "id")
+    left = durable(rows.mapInArrow(near, "bucket bigint, bi int, bj int, part int, id bigint, n bigint, c bigint"), "minmax")
+    rows = small_side(left).join(texts, "id").select(*keys, "part", "id", "n", "c", "t").repartition(*keys).sortWithinPartitions(*keys, "part", "id")
     return rows.mapInArrow(exact, "a bigint, b bigint").distinct()
 
 
@@ -260,30 +262,36 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     arrow_rows(docs.sparkSession)
     signed = durable(signatures(docs, key, text, size), "minmax")
     live = signed.where("same is not null and id is not null")
-    classes = live.groupBy("same").agg(F.min("id").alias("rep"))
-    reps = live.join(classes, "same").where("id = rep").select("id", "n", "bands", "sig")
+    # only sets that several rows have, written first: a join with it can split a set that many rows share
+    classes = durable(live.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("k")).where("k > 1").drop("k"), "minmax")
+    others = durable(live.select("id", "same").join(classes, "same").where("id <> rep").select("id", "same"), "minmax")
+    reps = live.join(small_side(others), ["id", "same"], "left_anti").select("id", "n", "bands", "sig")
     placed = reps.select("id", "n", F.posexplode("bands").alias("band", "bucket"))
-    crowded = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket", "size")
+    # sums by bucket are written before they are joined with rows, so that a crowded bucket's rows can be split
+    crowded = durable(placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket", "size"), "minmax")
     buckets = placed.join(crowded, "bucket")
     # how much of the crowd a class meets: the text that near copies were made from meets more than each copy
     weight = buckets.groupBy("id").agg(F.sum("size").alias("weight"))
     buckets = durable(buckets.select("id", "n", "band", "bucket").join(weight, "id"), "minmax")
-    texts = durable(docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).join(buckets.select("id").distinct(), "id", "left_semi"), "minmax")
+    texts = durable(docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).join(small_side(buckets.select("id").distinct()), "id", "left_semi"), "minmax")
     links, tried = None, None
-    labelled = buckets.withColumn("c", F.col("id"))
+    labelled = start = buckets.withColumn("c", F.col("id"))
 
     def confirmed(found: DataFrame) -> int:
         """Adds links; labels what is still open by component. Returns their number."""
         nonlocal links, labelled
         links = found if links is None else links.unionByName(found)
-        joined = components(links)
-        labelled = durable(buckets.join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "band", "bucket", "weight", F.coalesce("component", "id").alias("c")), "minmax")
+        joined, old = components(links), labelled
+        labelled = durable(buckets.join(small_side(joined.withColumnRenamed("node", "id")), "id", "left").select("id", "n", "band", "bucket", "weight", F.coalesce("component", "id").alias("c")), "minmax")
+        discard(joined.source)
+        if old is not start:
+            discard(old)
         return found.count()
 
     for turn in range(HUB_ROUNDS):
         order = F.struct("weight", -F.col("id"), "id", "c", "n") if turn % 2 == 0 else F.struct(F.xxhash64("id", F.lit(turn)), F.col("weight"), "id", "c", "n")
         hub = labelled.groupBy("bucket").agg(F.max(order).alias("h"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-        hub = hub.select("bucket", F.col("h.weight").alias("hw"), F.col("h.id").alias("hub"), F.col("h.c").alias("hc"), F.col("h.n").alias("hn"))
+        hub = durable(hub.select("bucket", F.col("h.weight").alias("hw"), F.col("h.id").alias("hub"), F.col("h.c").alias("hc"), F.col("h.n").alias("hn")), "minmax")
         edges = labelled.join(hub, "bucket").where(f"c <> hc and 100 * least(n, hn) >= {percent} * greatest(n, hn)").select("hw", "hub", F.col("id").alias("member"))
         if tried is not None:
             edges = edges.join(tried.select(F.col("hub").alias("x"), F.col("member").alias("y")).unionByName(tried.select(F.col("member").alias("x"), F.col("hub").alias("y"))).distinct(), F.expr("hub = x and member = y"), "left_anti")
@@ -298,6 +306,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             break
     confirmed(durable(compare_rest(labelled, reps, texts, size, percent), "minmax"))
     label = labelled.select(F.col("id").alias("rep"), "c").distinct()
-    of = signed.join(classes, "same", "left").join(label, "rep", "left")
-    component = F.coalesce("c", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")))
+    of = signed.join(classes, "same", "left").withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))).join(label, "rep", "left")
+    component = F.coalesce("c", "rep")
     return of.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -29,15 +29,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import arrow_rows, lean, mix64, powers, text_slices
+from .common import arrow_rows, durable, lean, mix64, powers, text_slices
 from .induced_sort import suffix_buckets
 
 WINDOW = 50
 #: Bytes of an anchor gram: longer ones are rarer by chance, shorter ones make fewer anchors.
 GRAM = 18
 #: Text bytes whose anchors meet in one task, of a group of documents, and of a shard's share of the text.
-MARK_BYTES, GROUP_BYTES, SHARD_BYTES = 16 << 20, 10 << 20, 4 << 20
+MARK_BYTES, GROUP_BYTES, SHARD_BYTES = 16 << 20, 6 << 20, 2 << 20
 #: Text bytes whose anchors are found at once; the temporaries take about 70 times that.
 SLICE = 1 << 19
 #: Bytes of queue entries that a shard's sort holds before it goes to disk.
@@ -62,6 +63,13 @@ def unpack(blob: bytes) -> dict[str, np.ndarray]:
     return out
 
 
+def stream(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
 def short(key: np.ndarray) -> np.ndarray:
     """Keys of 48 bits as 6 bytes each."""
     return np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).ravel()
@@ -74,8 +82,8 @@ def long(key: np.ndarray) -> np.ndarray:
 
 
 def join(blobs: pa.ChunkedArray) -> dict[str, np.ndarray]:
-    """The arrays of many packs end to end."""
-    parts = [unpack(b) for b in blobs.to_pylist()]
+    """The arrays of many packs end to end; other columns of rows (rest) are left out."""
+    parts = [{k: v for k, v in unpack(b).items() if k != "rest"} for b in blobs.to_pylist()]
     return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else {}
 
 
@@ -191,23 +199,37 @@ def judge_shard(x: dict[str, np.ndarray], window: int, folder: str, memory: int)
     return entry[a], start[entry[a]] + inside[a], b - a + 1
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, with_text: bool = False) -> DataFrame:
-    """key, n_bytes, n_removed, n_spans, kept_sha256 of every row; with_text: also sha (of the whole text) and, where bytes go, what is kept as bytes."""
+def named(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """docs with doc (its id; null is the largest), sha (of its text) and tid (28 bits of that)."""
+    rows = docs.withColumns({"doc": F.coalesce(F.col(key).cast("bigint"), F.lit(2**63 - 1)), "sha": F.sha2(F.coalesce(text, F.lit("")), 256)})
+    return rows.withColumn("tid", F.conv(F.substring("sha", 1, 7), 16, 10).cast("int"))
+
+
+def find_repeats(docs: DataFrame, key: str, text: str, window: int, with_rows: bool = False) -> DataFrame:
+    """(doc, tid, n_removed, n_spans, kept_sha256) of texts that lose bytes, each under its smallest id; larger ids of a text are covered whole.
+
+    with_rows: instead, the rows of docs with texts of at least `window` bytes, but for those that are
+    covered whole by a smaller id's copy, with what is left of their texts and whether that is less (cut).
+    """
     spark = docs.sparkSession
     arrow_rows(spark, 2000)
-    whole = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(2**63 - 1)).alias("doc"), F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("t"))
-    whole = whole.withColumn("sha", F.sha2("t", 256)).withColumn("tid", F.conv(F.substring("sha", 1, 7), 16, 10).cast("int"))
+    rest = [c for c in docs.columns if c != text] if with_rows else []
+    whole = named(docs.select(F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("t"), *[F.col(f"`{c}`").alias(f"r{i}") for i, c in enumerate(rest)]), "_key", "t")
     total = whole.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     mark_tasks, groups, shards = (max(8, -(-total // n)) for n in (MARK_BYTES, GROUP_BYTES, SHARD_BYTES))
-    ours = whole.select("doc", "tid", "sha", "t").where(F.octet_length("t") >= window).sortWithinPartitions("sha", "doc")
+    ours = whole.select("doc", "tid", "sha", "t", *[f"r{i}" for i in range(len(rest))]).where(F.octet_length("t") >= window).sortWithinPartitions("sha", "doc")
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row per text of a task, of its smallest id."""
-        last = None
+        """The rows of each text's smallest id in a task; with_rows: all rows of that id, else one."""
+        last = low = None
         for batch in batches:
-            sha = batch.column("sha").to_pylist()
-            keep = [i for i, s in enumerate(sha) if s != (sha[i - 1] if i else last)]
-            last = sha[-1] if sha else last
+            keep = []
+            for i, (sha, doc) in enumerate(zip(batch.column("sha").to_pylist(), batch.column("doc").to_pylist(), strict=True)):
+                if sha != last:
+                    keep.append(i)
+                    last, low = sha, doc
+                elif with_rows and doc == low:
+                    keep.append(i)
             yield batch.take(pa.array(keep, pa.int64()))
             lean()
 
@@ -222,7 +244,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                 rows = []
                 for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
                     part = order[a:b]
-                    rows.append((int(group[part[0]]), pack({"doc": doc[i + part], "tid": tid[i + part], "size": (off[part + 1] - off[part]).astype(np.int64), "bytes": np.concatenate([data[off[r] : off[r + 1]] for r in part])})))
+                    what = {"doc": doc[i + part], "tid": tid[i + part], "size": (off[part + 1] - off[part]).astype(np.int64), "bytes": np.concatenate([data[off[r] : off[r + 1]] for r in part])}
+                    if rest:
+                        own = batch.select([f"r{k}" for k in range(len(rest))]).take(pa.array(i + part))
+                        what["rest"] = np.frombuffer(stream(own), np.uint8)
+                    rows.append((int(group[part[0]]), pack(what)))
                 yield packs(rows)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,44 +311,102 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         lean()
         return pa.Table.from_batches([out])
 
-    out = "doc bigint, tid int, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text
+    def spans(texts: pa.Table, marks: pa.Table) -> Iterator[tuple[int, dict[str, np.ndarray], bytes, np.ndarray, np.ndarray]]:
+        """Rows of a group that lose bytes and aren't copies of a smaller id's text: row, the group, text, starts and ends of what goes."""
+        mine, x = join(texts["pack"]), join(marks["pack"])
+        begin = np.cumsum(mine["size"]) - mine["size"]
+        row = places(mine, *spread_ids(x))
+        by = np.lexsort((x["first"], row))
+        row, a = row[by], x["first"][by].astype(np.int64)
+        b = a + x["n"][by] + window - 1
+        heads = np.flatnonzero(np.diff(row, prepend=-1))
+        for r, c, d in zip(row[heads], heads, [*heads[1:], len(row)], strict=True):
+            stop = np.maximum.accumulate(b[c:d])
+            new = np.append(True, a[c + 1 : d] > stop[:-1])
+            yield int(r), mine, mine["bytes"][begin[r] : begin[r] + mine["size"][r]].tobytes(), a[c:d][new], stop[np.append(np.flatnonzero(new)[1:] - 1, d - c - 1)]
+
+    def smaller(mine: dict[str, np.ndarray]) -> np.ndarray:
+        """Which rows of a group are of a text that a smaller id has too (texts that came from several tasks)."""
+        begin, out, low = np.cumsum(mine["size"]) - mine["size"], np.zeros(len(mine["doc"]), bool), {}
+        tids, times = np.unique(mine["tid"], return_counts=True)
+        twice = np.flatnonzero(np.isin(mine["tid"], tids[times > 1]))
+        named_ = [(r, (int(mine["tid"][r]), mine["bytes"][begin[r] : begin[r] + mine["size"][r]].tobytes())) for r in twice[np.argsort(mine["doc"][twice], kind="stable")]]
+        for r, name in named_:
+            out[r] = low.setdefault(name, mine["doc"][r]) < mine["doc"][r]
+        return out
 
     def finish(texts: pa.Table, marks: pa.Table) -> pa.Table:
-        cols: list[list] = [[], [], [], [], [], []]
+        cols: list[list] = [[], [], [], [], []]
         if texts.num_rows and marks.num_rows:
-            mine, x = join(texts["pack"]), join(marks["pack"])
-            begin = np.cumsum(mine["size"]) - mine["size"]
-            row = places(mine, *spread_ids(x))
-            by = np.lexsort((x["first"], row))
-            row, a = row[by], x["first"][by].astype(np.int64)
-            b = a + x["n"][by] + window - 1
-            heads = np.flatnonzero(np.diff(row, prepend=-1))
-            for r, c, d in zip(row[heads], heads, [*heads[1:], len(row)], strict=True):
-                stop = np.maximum.accumulate(b[c:d])
-                new = np.append(True, a[c + 1 : d] > stop[:-1])
-                first, last = a[c:d][new], stop[np.append(np.flatnonzero(new)[1:] - 1, d - c - 1)]
-                raw = mine["bytes"][begin[r] : begin[r] + mine["size"][r]].tobytes()
-                kept = b"".join([raw[p:q] for p, q in zip([0, *last], [*first, len(raw)], strict=True)])
-                for into, v in zip(cols, (int(mine["doc"][r]), int(mine["tid"][r]), int((last - first).sum()), len(first), hashlib.sha256(kept).hexdigest(), kept), strict=True):
-                    into.append(v)
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        names = ["doc", "tid", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text]
-        made = pa.table([pa.array(c, k) for c, k in zip(cols[: 5 + with_text], kinds, strict=False)], names=names)
+            copy = None
+            for r, mine, raw, first, last in spans(texts, marks):
+                copy = smaller(mine) if copy is None else copy
+                if not copy[r]:
+                    kept = b"".join([raw[p:q] for p, q in zip([0, *last], [*first, len(raw)], strict=True)])
+                    for into, v in zip(cols, (int(mine["doc"][r]), int(mine["tid"][r]), int((last - first).sum()), len(first), hashlib.sha256(kept).hexdigest()), strict=True):
+                        into.append(v)
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+        lean()
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc", "tid", "n_removed", "n_spans", "kept_sha256"])
+
+    def rewrite(texts: pa.Table, marks: pa.Table) -> pa.Table:
+        """All rows of a group but the copies, with what is left of their texts."""
+        empty = pa.schema([(f"r{i}", t) for i, t in enumerate(kinds_of_rest)] + [("t", pa.string()), ("cut", pa.bool_())])
+        if not texts.num_rows:
+            return empty.empty_table()
+        mine = join(texts["pack"])
+        own = pa.concat_tables([pa.ipc.open_stream(unpack(b)["rest"].tobytes()).read_all() for b in texts["pack"].to_pylist()]) if rest else None
+        copy, left = smaller(mine), {}
+        if marks.num_rows:
+            for r, _, raw, first, last in spans(texts, marks):
+                left[int(mine["doc"][r]), int(mine["tid"][r]), raw] = b"".join([raw[p:q] for p, q in zip([0, *last], [*first, len(raw)], strict=True)])
+        begin, out, cut_ = np.cumsum(mine["size"]) - mine["size"], [], []
+        live = np.flatnonzero(~copy)
+        for r in live:
+            raw = mine["bytes"][begin[r] : begin[r] + mine["size"][r]].tobytes()
+            kept = left.get((int(mine["doc"][r]), int(mine["tid"][r]), raw))
+            out.append((raw if kept is None else kept).decode("utf-8", "ignore"))
+            cut_.append(kept is not None)
+        arrays = [own[f"r{i}"].combine_chunks().take(pa.array(live)) for i in range(len(rest))]
         lean()
-        return made
+        return pa.table([*arrays, pa.array(out, pa.string()), pa.array(cut_, pa.bool_())], names=empty.names)
 
     packed = "target int, pack binary"
     marks = ours.mapInArrow(find, packed).groupBy("target").applyInArrow(share, packed)
     once = ours.mapInArrow(send, packed)
     segments = once.groupBy("target").cogroup(marks.groupBy("target")).applyInArrow(cut, packed)
     runs = segments.groupBy("target").applyInArrow(sort, packed)
-    changed = once.groupBy("target").cogroup(runs.groupBy("target")).applyInArrow(finish, out)
-    light = whole.select("doc", "_key", "tid", "sha", F.octet_length("t").cast("bigint").alias("n_bytes"))
-    first = light.groupBy("sha").agg(F.min("doc").alias("first"))
-    rows = light.join(first, "sha").join(changed, ["doc", "tid"], "left")
-    copy = (F.col("doc") > F.col("first")) & (F.col("n_bytes") >= window)
+    both = once.groupBy("target").cogroup(runs.groupBy("target"))
+    if not with_rows:
+        return both.applyInArrow(finish, "doc bigint, tid int, n_removed bigint, n_spans bigint, kept_sha256 string")
+    kinds_of_rest = [f.type for f in to_arrow_schema(docs.select(*[f"`{c}`" for c in rest]).schema)] if rest else []
+    out = ", ".join([*[f"r{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(rest)], "t string, cut boolean"])
+    return both.applyInArrow(rewrite, out).select(*[F.col(f"r{rest.index(c)}").alias(c) if c != text else F.col("t").alias(c) for c in docs.columns], "cut")
+
+
+def copies(rows: DataFrame, first: DataFrame, window: int) -> DataFrame:
+    """rows (with sha, doc, n_bytes) with copy: whether a smaller id has the whole text."""
+    return rows.join(first, "sha", "left").withColumn("copy", F.coalesce(F.col("doc") > F.col("first"), F.lit(False)) & (F.col("n_bytes") >= window))
+
+
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """key, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
+    changed = find_repeats(docs, key, text, window)
+    light = named(docs.select(F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("t")), "_key", "t").select("doc", "_key", "tid", "sha", F.octet_length("t").cast("bigint").alias("n_bytes"))
+    # only texts that stand in several rows, written first: a join with it can split a text that many rows share
+    first = durable(light.groupBy("sha").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "substring-first")
+    rows = copies(light, first, window).join(changed, ["doc", "tid"], "left")
     return rows.select(
-        F.col("_key").alias(key), "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), F.when(copy, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
-        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-        *(["sha", F.when(copy, F.lit(b"")).otherwise(F.col("kept")).alias("kept")] if with_text else []),
+        F.col("_key").alias(key), "n_bytes", F.when(F.col("copy"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), F.when(F.col("copy"), 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
+        F.when(F.col("copy"), F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     )
+
+
+def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """docs with repeated passages taken out of the texts, and a column `cut`: whether a text lost some.
+
+    Rows whose whole text a smaller id has are left out; fragments of a character that a cut splits go.
+    Rows travel with their texts, so nothing is joined back.
+    """
+    short_ = F.octet_length(F.coalesce(text, F.lit(""))) < window
+    return find_repeats(docs, key, text, window, with_rows=True).unionByName(docs.where(short_).withColumn("cut", F.lit(False)))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, shared_dir
+from .common import arrow_rows, durable, shared_dir
 
 REVISIT_BYTES = 1000
 SEGMENT_BYTES = 1 << 14
@@ -113,7 +113,8 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.encode(F.coalesce(payload, F.lit("")), "utf-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     large = F.octet_length("payload") >= REVISIT_BYTES
-    stored = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("stored"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # written first: a join with rows that come by a shuffle of their own can split a digest that many pages share
+    stored = durable(rows.where(large).groupBy("digest").agg(F.max("page_id").alias("stored"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-stored")
     rows = rows.join(stored, "digest", "left").withColumn("refers_to", F.when(F.col("stored").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("stored")), F.col("stored")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,10 +4,14 @@ Largest inner product becomes smallest distance by one added dimension (vectors
 sqrt(M^2 - |x|^2), queries 0). Centroids are fitted on a bounded sample by k-means with a price on
 crowded lists; a vector goes to its nearest centroid and to all within a distance ratio of it
 (boundary vectors are replicated); centroids are found by best-first search of an in-memory
-neighbour graph. A query reads the lists within its own, wider ratio of its nearest centroid.
+neighbour graph. A query reads all lists within a wider ratio of its nearest centroid; it is measured
+against all centroids, and the number of lists has no ceiling. That ratio is calibrated on the input
+itself: the true neighbours of up to PROBES queries are found by one pass over all rows, and the ratio
+is the least at which the lists read hold the share RECALL of them.
 Scores of what the lists give are exact, in double precision on the original vectors.
 
-Bounds: SAMPLE vectors to fit, MOST_LISTS centroids (which are broadcast). All rows are indexed.
+Bounds: SAMPLE vectors to fit, MOST_LISTS centroids (which are broadcast). All rows are indexed. Where
+vectors are evenly spread, RECALL takes a fixed share of all lists, so work grows with rows x queries.
 Lists are read in blocks of BLOCK vectors by BLOCK queries, so a crowded list is many small tasks' work.
 
 Defined cases: null, zero, non-finite and holed vectors take no part, nor do those whose length is
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_rows
@@ -31,10 +35,12 @@ SAMPLE = 20_000
 LIST_SIZE = 400
 MOST_LISTS = 4096
 BLOCK = 4000
-#: Distance ratios within which a vector is replicated and a list is read.
-REPLICATE, READ = 1.05, 1.13
-#: Most copies of a vector, and width of the graph search (also most lists a query reads).
-COPIES, WIDTH = 4, 64
+#: Distance ratio within which a vector is replicated.
+REPLICATE = 1.05
+#: Share of the true neighbours that the lists read must hold, and queries on which that is calibrated.
+RECALL, PROBES = 0.98, 256
+#: Most copies of a vector.
+COPIES = 4
 LINKS, FAR_LINKS = 16, 8
 #: List reads of queries whose finds are merged in one task.
 MERGED_QUERIES = 50_000
@@ -120,8 +126,20 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(-1, dim)
 
 
-def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", read: float = READ) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of every row that is_query marks, against all other rows."""
+def least_ratio(found: np.ndarray, centroids: np.ndarray, probe: np.ndarray, lists: list[list[int]]) -> float:
+    """The least distance ratio at which reading gives the share RECALL of neighbours: found are the probes (lifted), probe and lists those of each neighbour."""
+    d = distances(found, centroids)
+    at = np.maximum(0, np.array([d[p, own].min() for p, own in zip(probe, lists, strict=True)]) - 1e-12)
+    nearest = d.min(1)[probe]
+    ratios = np.sort(np.divide(at, nearest, out=np.where(at > 0, np.inf, 0.0), where=nearest > 0))
+    return float(np.sqrt(ratios[int(np.ceil(RECALL * len(ratios))) - 1])) * (1 + 1e-9) if len(ratios) else np.inf
+
+
+def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", read: float | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of every row that is_query marks, against all other rows.
+
+    read: the distance ratio within which lists are read; calibrated where it is None.
+    """
     spark = vectors.sparkSession
     arrow_rows(spark, 2000)
     raw = vectors.select(F.col(key).cast("bigint").alias("id"), F.transform(vector, lambda v: v.cast("double")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
@@ -144,13 +162,20 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "ve
     sample = matrix(sample, dim) if len(sample) else matrix(ok.limit(1).select("v").toArrow()["v"].combine_chunks(), dim)
     graph = spark.sparkContext.broadcast(CentroidGraph(balanced_centroids(lifted(sample), lists)))
 
+    def copies(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of each row, and which of them count."""
+        ids, d = graph.value.search(lifted(x), COPIES * 4)
+        return ids[:, :COPIES], (d[:, :COPIES] <= REPLICATE**2 * d[:, :1] + 1e-12) & (ids[:, :COPIES] >= 0)
+
+    def direction(x: np.ndarray) -> np.ndarray:
+        return np.column_stack([x / np.sqrt((x * x).sum(1, keepdims=True)), np.zeros(len(x))])
+
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = matrix(batch.column("v"), dim)
-            ids, d = graph.value.search(lifted(x), COPIES * 4)
-            keep = (d[:, :COPIES] <= REPLICATE**2 * d[:, :1] + 1e-12) & (ids[:, :COPIES] >= 0)
+            ids, keep = copies(x)
             row, at = np.nonzero(keep)
             yield pa.RecordBatch.from_arrays([pa.array(ids[row, at].astype(np.int32)), batch.column("id").take(pa.array(row)), batch.column("v").take(pa.array(row))], names=["list", "id", "v"])
 
@@ -158,15 +183,47 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "ve
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = matrix(batch.column("v"), dim)
-            q = np.column_stack([x / np.sqrt((x * x).sum(1, keepdims=True)), np.zeros(len(x))])
-            ids, d = graph.value.search(q, WIDTH)
-            row, at = np.nonzero((d <= read**2 * d[:, :1] + 1e-12) & (ids >= 0))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row, at].astype(np.int32)), batch.column("id").take(pa.array(row)), batch.column("v").take(pa.array(row))], names=["list", "id", "v"])
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                d = distances(direction(matrix(part.column("v"), dim)), graph.value.c)
+                row, at = np.nonzero(d <= read**2 * d.min(1, keepdims=True) + 1e-12)
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), part.column("id").take(pa.array(row)), part.column("v").take(pa.array(row))], names=["list", "id", "v"])
+
+    queries = ok.where("q").groupBy("id").agg(F.min("v").alias("v"))
+    if read is None:
+        probes = queries.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(PROBES).toArrow()
+        if not probes.num_rows:
+            return spark.createDataFrame([], out)
+        probe_ids, probe_vectors = probes["id"].to_numpy(), matrix(probes["v"].combine_chunks(), dim)
+
+        def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The k best of a task's rows for each probe, and the lists that hold them."""
+            n = len(probe_ids)
+            score, vid, x = np.full((n, 0), -np.inf), np.zeros((n, 0), np.int64), np.zeros((n, 0, dim))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                new, ids = matrix(batch.column("v"), dim), batch.column("id").to_numpy()
+                near = probe_vectors @ new.T
+                near[ids[None, :] == probe_ids[:, None]] = -np.inf
+                best = np.argpartition(near, -min(k, len(ids)), 1)[:, -min(k, len(ids)) :]
+                score, vid, x = np.concatenate([score, np.take_along_axis(near, best, 1)], 1), np.concatenate([vid, ids[best]], 1), np.concatenate([x, new[best]], 1)
+                best = np.argsort(-score, 1, kind="stable")[:, :k]
+                score, vid, x = np.take_along_axis(score, best, 1), np.take_along_axis(vid, best, 1), np.take_along_axis(x, best[:, :, None], 1)
+            row, at = np.nonzero(score > -np.inf)
+            if len(row):
+                ids, keep = copies(x[row, at])
+                lists = [i[c].tolist() for i, c in zip(ids, keep, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(vid[row, at]), pa.array(score[row, at]), pa.array(lists, pa.list_(pa.int32()))], names=["probe", "id", "score", "lists"])
+
+        true = ok.select("id", "v").mapInArrow(nearest, "probe int, id bigint, score double, lists array<int>")
+        turn = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("score"), "id"))
+        true = true.withColumn("turn", turn).where(F.col("turn") <= k).select("probe", "lists").collect()
+        read = least_ratio(direction(probe_vectors), graph.value.c, np.array([r.probe for r in true], np.int64), [r.lists for r in true])
 
     placed = "list int, id bigint, v array<double>"
     posted = ok.select("id", "v").mapInArrow(post, placed)
-    asked = ok.where("q").groupBy("id").agg(F.min("v").alias("v")).mapInArrow(route, placed)
+    asked = queries.mapInArrow(route, placed)
 
     def blocks(rows: DataFrame) -> tuple[Column, int]:
         """An array column: how many blocks each list's rows make (at most MOST_LISTS numbers); and the rows."""

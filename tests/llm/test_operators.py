@@ -114,6 +114,19 @@ def test_recall_and_exact_scores(spark):
     assert hit / total >= 0.9
 
 
+def test_recall_where_lists_are_many(spark, monkeypatch):
+    monkeypatch.setattr(posting_lists, "LIST_SIZE", 8)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 64))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = posting_lists.neighbours(d, d.vec_id % 10 == 0).toPandas().groupby("query_id").vec_id.agg(set)
+    s = x[::10] @ x.T
+    s[np.arange(400), np.arange(0, 4000, 10)] = -np.inf
+    best = np.argsort(-s, 1)[:, :20]
+    assert sum(len(got[10 * q] & set(b)) for q, b in enumerate(best)) / best.size >= 0.96
+
+
 def test_vectors_that_take_no_part(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0, None]), (6, [nan, 1.0]), (7, [1.0]), (None, [1.0, 0.0]), (20, [0.0, 2.0]), (1, [1.0, 0.0]), (8, [])]

@@ -8,8 +8,9 @@ confirmed on their full sets, and confirmed links are joined into components.
 Pairs within a bucket are never all emitted: each round compares every member with one hub (the class
 that meets most others in its buckets; in odd rounds, one by hash), components are contracted, and
 only pairs that still lie in different components go on. What is left is compared in full inside its
-bucket's tasks, unless sizes or signatures rule a link out, so no link that a bucket shows is lost. At a similarity of 0.8 a pair shares no bucket with a chance of
-(1 - 0.8^ROWS)^BANDS, about 5e-8.
+bucket's tasks, unless sizes or signatures rule a link out. At a similarity of 0.8 a pair shares no bucket with a chance of
+(1 - 0.8^ROWS)^BANDS, about 5e-8, and signatures rule out a pair that does with one of about 9e-9
+(binomial, as if the values were independent); no other link is lost.
 
 Defined cases: null or empty texts, and texts without words, have an empty set and are alone; a text
 with fewer words than a shingle has its whole sequence as its one shingle; a null id is a document
@@ -36,7 +37,7 @@ HUB_ROUNDS = 4
 HUB_YIELD = 0.1
 #: Rows of a bucket that one task compares with as many others.
 BLOCK = 1024
-#: Standard deviations below the mean at which two signatures can't belong to linked sets any more (chance below 1e-9).
+#: Standard deviations below the mean at which two signatures can't belong to linked sets any more (binomial chance 9e-9 at 80 percent).
 SURE = 6.0
 #: Most edges of a hub in one block.
 HUB_BLOCK = 512
@@ -191,7 +192,7 @@ def compare_rest(labelled: DataFrame, reps: DataFrame, texts: DataFrame, size: i
     """Links between classes that share a bucket and still lie in different components.
 
     Pairs are looked at inside the tasks and not emitted. First by signatures: rows that have no partner
-    left go, and a pair counts in the first bucket that it shares only. Then by full sets, as bitmaps.
+    left go, and a pair counts in the first bucket that it shares only, by the bucket keys themselves. Then by full sets, as bitmaps.
     """
     least = least_agreeing(percent)
 
@@ -208,15 +209,16 @@ def compare_rest(labelled: DataFrame, reps: DataFrame, texts: DataFrame, size: i
             if not len(i):
                 continue
             sig = np.asarray(t["sig"].combine_chunks().flatten()).reshape(t.num_rows, -1)
+            bands = np.asarray(t["bands"].combine_chunks().flatten()).reshape(t.num_rows, -1)
             band, keep = int(t["band"][0].as_py()), np.zeros(t.num_rows, bool)
             for a in range(0, len(i), 1 << 15):
                 x, y = i[a : a + (1 << 15)], j[a : a + (1 << 15)]
                 same = sig[x] == sig[y]
                 live = np.flatnonzero(same.sum(1) >= least)
-                live = live[same[live].reshape(len(live), ROWS, BANDS).all(1).argmax(1) == band]
+                live = live[(bands[x[live]] == bands[y[live]]).argmax(1) == band]
                 keep[x[live]] = keep[y[live]] = True
             if keep.any():
-                yield t.drop_columns(["sig", "band"]).filter(pa.array(keep)).combine_chunks().to_batches()[0]
+                yield t.drop_columns(["sig", "band", "bands"]).filter(pa.array(keep)).combine_chunks().to_batches()[0]
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, ("bucket", "bi", "bj")):
@@ -250,8 +252,8 @@ def compare_rest(labelled: DataFrame, reps: DataFrame, texts: DataFrame, size: i
         lean()
 
     keys = ["bucket", "bi", "bj"]
-    rows = in_blocks(labelled.select("bucket", "band", "id", "n", "c")).join(reps.select("id", "sig").dropDuplicates(["id"]), "id")
-    rows = rows.select(*keys, "part", "id", "n", "c", "band", "sig").repartition(*keys).sortWithinPartitions(*keys, "part", "id")
+    rows = in_blocks(labelled.select("bucket", "band", "id", "n", "c")).join(reps.select("id", "sig", "bands").dropDuplicates(["id"]), "id")
+    rows = rows.select(*keys, "part", "id", "n", "c", "band", "sig", "bands").repartition(*keys).sortWithinPartitions(*keys, "part", "id")
     left = durable(rows.mapInArrow(near, "bucket bigint, bi int, bj int, part int, id bigint, n bigint, c bigint"), "minmax")
     rows = small_side(left).join(texts, "id").select(*keys, "part", "id", "n", "c", "t").repartition(*keys).sortWithinPartitions(*keys, "part", "id")
     return rows.mapInArrow(exact, "a bigint, b bigint").distinct()

@@ -190,6 +190,15 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, size, block):
     assert got == brute_components(pairs, size, 80)
 
 
+def test_pair_whose_digests_collide_in_an_earlier_band(spark):
+    text, sig = " ".join(f"w{i}" for i in range(40)), [7] * 2 * minmax_dedup.PERMUTATIONS
+    bands = [[5 if b == 5 else 100 * (i + 1) + b for b in range(minmax_dedup.BANDS)] for i in range(2)]
+    labelled = spark.createDataFrame([(5, 5, i, 39, i) for i in range(2)], "bucket bigint, band int, id bigint, n bigint, c bigint")
+    reps = spark.createDataFrame([(i, sig, bands[i]) for i in range(2)], "id bigint, sig array<smallint>, bands array<bigint>")
+    texts = spark.createDataFrame([(i, text) for i in range(2)], "id bigint, t string")
+    assert [tuple(r) for r in minmax_dedup.compare_rest(labelled, reps, texts, 2, 80).collect()] == [(0, 1)]
+
+
 def test_near_duplicates_odd_rows(spark):
     got = minmax_dedup.near_duplicates(docs(spark, [(7, "a b c"), (7, "a b c"), (None, "a b c"), (3, "A  B\tC"), (9, None)]), size=2).collect()
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id, r.kept) for r in got) == [(-1, 2, None, True), (3, 2, 3, True), (7, 2, 3, False), (7, 2, 3, False), (9, 0, 9, True)]

@@ -2,8 +2,9 @@
 
 Stages 1 to 4 return the columns of documents. Between stages the documents are written to the
 shared folder. Defined cases: a null or letterless text has no language and goes; of a group of near
-duplicates, and of repeated rows of one id in it, one row stays; rows of null id are no one's
-duplicate; a text of which no byte is left goes, as do the fragments of a character that a cut splits.
+duplicates one row stays; rows that share an id are documents of their own, of which one stays where
+their texts are near duplicates or have no words; rows of null id are no one's duplicate; a text of
+which no byte is left goes, as do the fragments of a character that a cut splits.
 """
 
 from __future__ import annotations
@@ -30,16 +31,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates: that of the smallest id."""
-    with scratch(spark):
-        found = durable(near_duplicates(docs, size=SHINGLE_WORDS, percent=SIMILAR_PERCENT), "near", lasts=True)
-    gone = found.where("not kept").select("doc_id").distinct()
-    left = docs.join(small_side(gone), "doc_id", "left_anti")
-    again = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    key, rows = "doc_id", docs
     if not again.isEmpty():
-        turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(*docs.columns))
-        once = left.join(again, "doc_id", "left_semi").withColumn("_turn", turn).where("_turn = 1").drop("_turn")
-        left = left.join(again, "doc_id", "left_anti").unionByName(once)
-    return left.select(*docs.columns)
+        # ids don't tell rows apart: each row gets a key of its own, in the order of ids
+        key, number = "_key", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
+        rows = durable(docs.orderBy("doc_id", *docs.columns).withColumn(key, number), "near", lasts=True)
+    with scratch(spark):
+        found = durable(near_duplicates(rows, key=key, size=SHINGLE_WORDS, percent=SIMILAR_PERCENT), "near", lasts=True)
+    gone = found.where("not kept").select(key).distinct()
+    if key == "_key":
+        # texts without words have equal sets, too; those of one id are one
+        bare = rows.select("doc_id", key).join(found.where("n_shingles = 0").select(key), key)
+        bare = bare.withColumn("_first", F.min(key).over(Window.partitionBy("doc_id"))).where(f"{key} > _first").select(key)
+        gone = gone.unionByName(bare)
+    return rows.join(small_side(gone), key, "left_anti").select(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

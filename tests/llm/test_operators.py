@@ -488,5 +488,14 @@ def test_pipeline_stages(spark, tmp_path):
     assert p.run(spark, str(tmp_path)).count() == tokens.count()
 
 
+def test_unrelated_texts_under_one_id_stay(spark):
+    import corpus_pipeline as p
+
+    one, two, three, four = (" ".join(f"{w}{i}" for i in range(40)) for w in ("a", "b", "c", "d"))
+    rows = [(3, one), (7, one + " tail"), (7, two), (7, two), (9, three), (9, four), (12, four + " tail"), (5, ""), (5, " "), (None, two), (None, two)]
+    got = p.near(spark, docs(spark, rows).select("doc_id", "text", "lang", "source", "n_chars"), DATA).collect()
+    assert sorted((r.doc_id or 0, r.text.strip()) for r in got) == [(0, two), (0, two), (3, one), (5, ""), (7, two), (9, three), (9, four)]
+
+
 def test_ten_queries():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))

@@ -6,8 +6,9 @@ still grow into a token, with the last token and the relative count at each plac
 pair property of BPE (an encoding is right exactly if each adjacent pair of tokens re-encodes to
 itself) the last token of every prefix is unique, so each transition carries one number: the change
 of the token count. Pieces of the split pattern are found by classes of characters; a piece begins
-in the start state. Long pieces are cut into chunks: the map of a chunk is kept by incoming state,
-and a prefix scan composes the maps. Runs are vectorised: all distinct pieces advance one byte at a time.
+in the start state. Long pieces are cut into chunks: each chunk has a map from incoming state to end
+state and count, and a scan over the levels of a tree composes neighbouring maps, as many passes as
+there are levels (see ChunkMaps). Runs are vectorised: all distinct pieces advance one byte at a time.
 
 Defined cases: null text is empty and has 0 tokens; strings of special tokens in a text count as
 the library's default does (one token each); repeated rows give repeated results.
@@ -32,6 +33,8 @@ CHUNK = 64
 PART_BYTES = 4 << 20
 #: Compiled states that a worker keeps; beyond that it starts anew between two batches, so memory stays bounded.
 MOST_STATES = 250_000
+
+
 class CountingTransducer:
     """Lazily determinised transducer of one vocabulary; `counts` runs it over pieces."""
 
@@ -46,7 +49,7 @@ class CountingTransducer:
         self.states: dict[tuple, int] = {}
         self.what: list[tuple] = []
         self.size = 1 << 16
-        self.keys, self.next, self.out, self.used = np.full(self.size, -1, np.int64), np.zeros(self.size, np.int32), np.zeros(self.size, np.int8), 0
+        self.keys, self.next, self.out, self.used = np.full(self.size, -1, np.int64), np.zeros(self.size, np.int32), np.zeros(self.size, np.int32), 0
         self.start = self.state((b"", (-1,), (0,)))
 
     def state(self, what: tuple) -> int:
@@ -126,7 +129,7 @@ class CountingTransducer:
             held = self.keys[keep], self.next[keep], self.out[keep]
             while 2 * self.used > self.size:
                 self.size *= 2
-            self.keys, self.next, self.out = np.full(self.size, -1, np.int64), np.zeros(self.size, np.int32), np.zeros(self.size, np.int8)
+            self.keys, self.next, self.out = np.full(self.size, -1, np.int64), np.zeros(self.size, np.int32), np.zeros(self.size, np.int32)
             self._fill(*held)
         self._fill(keys, nxt, out)
 
@@ -157,37 +160,13 @@ class CountingTransducer:
         return s[back], total[back]
 
     def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The token count of each piece data[start:end].
-
-        Chunks of long pieces: the first is run from the start state. Of the others, a map (incoming
-        state to end state and count) is run from the state that most chunks reach, and composed by a
-        scan; where the state that really comes in is another, the map is extended by that state.
-        """
+        """The token count of each piece data[start:end]. Pieces above CHUNK bytes go through the maps of their chunks."""
         n = ends - starts
-        long = np.flatnonzero(n > CHUNK)
-        first = np.minimum(ends, starts + CHUNK)
-        state, total = self.run(data, starts, first, np.full(len(starts), self.start, np.int64))
-        if len(long):
-            parts = (n[long] - 1) // CHUNK
-            piece = np.repeat(np.arange(len(long)), parts)
-            nth = np.arange(len(piece)) - np.repeat(np.cumsum(parts) - parts, parts) + 1
-            a = starts[long][piece] + nth * CHUNK
-            b = np.minimum(a + CHUNK, ends[long][piece])
-            guess = np.where(nth == 1, state[long][piece], -1)
-            # A map's guess is the state after the chunk before it, run from the start: most chunks forget what came earlier.
-            rest = np.flatnonzero(guess < 0)
-            guess[rest], _ = self.run(data, a[rest] - CHUNK, a[rest], np.full(len(rest), self.start, np.int64))
-            end, more = self.run(data, a, b, guess)
-            while True:  # each pass settles all chunks up to the first whose incoming state was another
-                comes = guess.copy()
-                later = np.flatnonzero(nth > 1)
-                comes[later] = end[later - 1]
-                wrong = np.flatnonzero(comes != guess)
-                if not len(wrong):
-                    break
-                guess[wrong] = comes[wrong]
-                end[wrong], more[wrong] = self.run(data, a[wrong], b[wrong], guess[wrong])
-            np.add.at(total, long[piece], more)
+        short = n <= CHUNK
+        total = np.zeros(len(starts), np.int64)
+        _, total[short] = self.run(data, starts[short], ends[short], np.full(int(short.sum()), self.start, np.int64))
+        if len(long := np.flatnonzero(~short)):
+            total[long] = ChunkMaps(self, data, starts[long], ends[long]).counts()
         return total
 
     def text_counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -234,6 +213,91 @@ class CountingTransducer:
         return sums[at[1:]] - sums[at[:-1]]
 
 
+class ChunkMaps:
+    """The maps of the chunks of long pieces, and of runs of chunks, from incoming state to end state and count.
+
+    A piece's chunks fill an aligned block of a power of two, so a run of level k is 2**k chunks and the
+    composition of two runs of level k - 1. Maps are partial: the scan goes up the levels and asks each
+    run for the states that most texts bring there (those of starts one to ROUNDS chunks earlier, as most
+    chunks forget what came before); where the run on its left ends in another, the map on the right is
+    extended by that state, down to the chunks that don't know it. All runs of a level are composed at
+    once, and runs of equal bytes are one run.
+    """
+
+    ROUNDS = 3
+
+    def __init__(self, machine: CountingTransducer, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        self.machine, self.data = machine, data
+        chunks = -(-(ends - starts) // CHUNK)
+        self.height = np.array([int(c - 1).bit_length() for c in chunks.tolist()])
+        self.order = np.argsort(-self.height, kind="stable")  # larger blocks first, so all are aligned
+        starts, ends, chunks, self.height = starts[self.order], ends[self.order], chunks[self.order], self.height[self.order]
+        size = 1 << self.height
+        self.block = np.cumsum(size) - size
+        piece = np.repeat(np.arange(len(size)), size)
+        nth = np.arange(len(piece)) - self.block[piece]
+        # chunks behind a piece's end are empty: their map is the identity
+        self.a = np.minimum(starts[piece] + nth * CHUNK, ends[piece])
+        self.b = np.minimum(self.a + CHUNK, ends[piece])
+        self.first, self.piece, self.real = nth == 0, piece, nth < chunks[piece]
+        cells = np.zeros((len(self.a), CHUNK + 1), np.uint8)
+        inside = np.arange(CHUNK)
+        there = self.a[:, None] + inside < self.b[:, None]
+        cells[:, :CHUNK][there] = data[(self.a[:, None] + inside)[there]]
+        cells[:, CHUNK] = self.b - self.a
+        _, pick, kind = np.unique(cells.view(np.dtype((np.void, CHUNK + 1))).ravel(), return_index=True, return_inverse=True)
+        self.a0, self.b0 = self.a[pick], self.b[pick]
+        self.kind, self.parts = [kind], [np.zeros((0, 2), np.int64)]
+        for _ in range(int(self.height.max())):  # a run's kind: the kinds of its halves
+            low = np.append(self.kind[-1], np.zeros(len(self.kind[-1]) % 2, np.int64))
+            pairs, _kind = np.unique(low[::2] << 32 | low[1::2], return_inverse=True)
+            self.kind.append(_kind)
+            self.parts.append(np.column_stack([pairs >> 32, pairs & 0xFFFFFFFF]))
+        self.maps = [tuple(np.zeros(0, np.int64) for _ in range(3)) for _ in range(int(self.height.max()) + 1)]
+        self.passes = 0
+
+    def apply(self, level: int, kind: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """End state and count of each kind of run of 2**level chunks from a state; what its map lacks is composed and kept."""
+        keys, back = np.unique(kind << 32 | state, return_inverse=True)
+        known, end, count = self.maps[level]
+        at = np.searchsorted(known, keys)
+        lacks = np.ones(len(keys), bool)
+        lacks[at < len(known)] = known[at[at < len(known)]] != keys[at < len(known)]
+        if lacks.any():
+            new = keys[lacks]
+            kind, state = new >> 32, new & 0xFFFFFFFF
+            if level:
+                left, right = self.parts[level][kind].T
+                middle, n = self.apply(level - 1, left, state)
+                last, more = self.apply(level - 1, right, middle)
+                n = n + more
+            else:
+                last, n = self.machine.run(self.data, self.a0[kind], self.b0[kind], state)
+                self.passes += 1
+            known, end, count = np.concatenate([known, new]), np.concatenate([end, last]), np.concatenate([count, n])
+            by = np.argsort(known)
+            self.maps[level] = known, end, count = known[by], end[by], count[by]
+            at = np.searchsorted(known, keys)
+        return end[at][back], count[at][back]
+
+    def counts(self) -> np.ndarray:
+        """The token count of each piece."""
+        start = np.full(len(self.a), self.machine.start, np.int64)
+        comes, later = start.copy(), np.flatnonzero(~self.first)
+        for _ in range(self.ROUNDS):
+            end, _ = self.apply(0, self.kind[0], comes)
+            comes[later] = end[later - 1]
+        for level in range(len(self.maps)):
+            head = np.arange(0, len(self.a), 1 << level)
+            head = head[self.real[head] & (self.height[self.piece[head]] >= level)]
+            self.apply(level, self.kind[level][head >> level], comes[head])
+        out = np.empty(len(self.block), np.int64)
+        for level in np.unique(self.height).tolist():
+            at = np.flatnonzero(self.height == level)
+            _, out[self.order[at]] = self.apply(level, self.kind[level][self.block[at] >> level], start[at])
+        return out
+
+
 @lru_cache(maxsize=2)
 def transducer(path: str) -> CountingTransducer:
     """Compiled from a byte-level BPE file of the tokenizers library that splits by the common pattern."""

@@ -31,20 +31,39 @@ COVERAGE = 0.5
 ITEM_WORDS = 2_000_000
 
 
+class TextWords:
+    """The words of texts that lie side by side: hashes, where each text's begin (and the end), and the words themselves."""
+
+    def __init__(self, texts: list[str]):
+        low = [lowered(t) for t in texts]
+        self.text = "".join(low)
+        points = np.frombuffer(self.text.encode("utf-32-le"), np.uint32)
+        edge = np.concatenate(([0], np.cumsum([len(t) for t in low]))).astype(np.int64)
+        kind = char_classes()[points]
+        word = (kind == LETTER) | (kind == NUMBER)
+        new = np.zeros(len(points) + 1, bool)
+        new[edge] = True
+        before = np.concatenate(([False], word[:-1])) if len(word) else word
+        self.start = np.flatnonzero(word & (~before | new[:-1]))
+        after = np.concatenate((word[1:], [False])) if len(word) else word
+        self.end = np.flatnonzero(word & (~after | new[1:])) + 1
+        self.hashes, self.begin = span_hashes(points, self.start, self.end), np.searchsorted(self.start, edge, "left")
+
+    def of(self, row: int) -> list[str]:
+        a, b = self.begin[row], self.begin[row + 1]
+        return [self.text[p:q] for p, q in zip(self.start[a:b].tolist(), self.end[a:b].tolist(), strict=True)]
+
+
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, and where each text's begin (and the end)."""
-    low = [lowered(t) for t in texts]
-    points = np.frombuffer("".join(low).encode("utf-32-le"), np.uint32)
-    edge = np.concatenate(([0], np.cumsum([len(t) for t in low]))).astype(np.int64)
-    kind = char_classes()[points]
-    word = (kind == LETTER) | (kind == NUMBER)
-    new = np.zeros(len(points) + 1, bool)
-    new[edge] = True
-    before = np.concatenate(([False], word[:-1])) if len(word) else word
-    start = np.flatnonzero(word & (~before | new[:-1]))
-    after = np.concatenate((word[1:], [False])) if len(word) else word
-    end = np.flatnonzero(word & (~after | new[1:])) + 1
-    return span_hashes(points, start, end), np.searchsorted(start, edge, "left")
+    words = TextWords(texts)
+    return words.hashes, words.begin
+
+
+def numbered(doc: list[str], item: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Words as numbers that are equal for equal words only; -1 for words of doc that item lacks."""
+    number = {w: k for k, w in enumerate(dict.fromkeys(item))}
+    return np.array([number.get(w, -1) for w in doc], np.int64), np.array([number[w] for w in item], np.int64)
 
 
 def grams(words: np.ndarray, size: int) -> np.ndarray:
@@ -57,49 +76,63 @@ def grams(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def tile(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Tiles (place in doc, place in item, length): longest first, none shorter than `least`, none overlapping."""
-    places: dict[int, list[int]] = {}
-    for j, g in enumerate(grams(item, least).tolist()):
-        places.setdefault(g, []).append(j)
-    seeds = [(i, j) for i, g in enumerate(grams(doc, least).tolist()) if g in places for j in places[g]]
-    doc_free, item_free = np.ones(len(doc) + 1, bool), np.ones(len(item) + 1, bool)
-    doc_free[-1] = item_free[-1] = False
-    d, t = doc.tolist(), item.tolist()
+    """Tiles (place in doc, place in item, length): longest first, none shorter than `least`, none overlapping.
+
+    Each round walks the item backwards and holds, for every place of the document that a seed covers,
+    the length of the free match that begins there and at the item's word: array operations over the
+    document, no pairs of places. Only the longest matches are listed, and a tile that is marked takes
+    those that overlap it off the list at once.
+    """
+    doc, item = doc.astype(np.int64), item.astype(np.int64)
+    seeds = np.flatnonzero(np.isin(grams(doc.astype(np.uint64), least), grams(item.astype(np.uint64), least)))
+    if not len(seeds):
+        return []
+    cover = np.zeros(len(doc) + 1, np.int64)
+    np.add.at(cover, seeds, 1)
+    np.add.at(cover, seeds + least, -1)
+    at = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+    gaps = np.flatnonzero(np.diff(at) > 1) + 1
+    place, words = np.insert(at, gaps, -1), np.insert(doc[at], gaps, -2)  # a break between stretches
+    free = np.ones(len(item), bool)
+    doc_free = place >= 0
     tiles: list[tuple[int, int, int]] = []
-    while seeds:
-        best, found, alive = least, [], []
-        on_diagonal: dict[int, int] = {}  # diagonal: end of the last match on it, in the document
-        for i, j in seeds:
-            if not (doc_free[i : i + least].all() and item_free[j : j + least].all()):
+    while True:
+        best, found = least, []
+        run = np.zeros(len(words) + 1, np.int32)
+        for j in range(len(item) - 1, -1, -1):
+            if not free[j]:
+                run[:] = 0
                 continue
-            alive.append((i, j))
-            if on_diagonal.get(i - j, -1) >= i + least:
-                continue  # within a match that began earlier
-            k = least
-            while doc_free[i + k] and item_free[j + k] and d[i + k] == t[j + k]:
-                k += 1
-            on_diagonal[i - j] = i + k
-            if k > best:
-                best, found = k, [(i, j)]
-            elif k == best:
-                found.append((i, j))
-        for i, j in found:
-            if doc_free[i : i + best].all() and item_free[j : j + best].all():
-                doc_free[i : i + best] = item_free[j : j + best] = False
-                tiles.append((i, j, best))
-        seeds = alive if found else []
-    return tiles
+            run[:-1] = np.where((words == item[j]) & doc_free, run[1:] + 1, 0)
+            top = int(run.max())
+            if top >= best:
+                found = found if top == best else []
+                best = top
+                found.append((j, np.flatnonzero(run[:-1] == top).astype(np.int32)))
+        if not found:
+            return tiles
+        i = np.concatenate([x for _, x in found])
+        j = np.repeat(np.array([k for k, _ in found], np.int32), [len(x) for _, x in found])
+        order = np.lexsort((j, i))
+        i, j = i[order], j[order]
+        while len(i):
+            a, b = int(i[0]), int(j[0])
+            doc_free[a : a + best] = free[b : b + best] = False
+            tiles.append((int(place[a]), b, best))
+            apart = (i >= a + best) & (np.abs(j - b) >= best)  # in order of i, so none begins earlier
+            i, j = i[apart], j[apart]
 
 
 class ItemIndex:
     """Seeds of a block of items."""
 
     def __init__(self, ids: list[int], texts: list[str], seed: int):
-        words, begin = word_hashes(texts)
+        found = TextWords(texts)
         self.ids, self.seed = ids, seed
-        self.words = [words[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]
+        self.words = [found.of(k) for k in range(len(ids))]
         by: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for k, w in enumerate(self.words):
+        for k, (a, b) in enumerate(zip(found.begin[:-1], found.begin[1:], strict=True)):
+            w = found.hashes[a:b]
             if len(w):
                 size = min(seed, len(w))
                 g = grams(w, size)
@@ -109,23 +142,32 @@ class ItemIndex:
             g, k = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             order = np.lexsort((k, g))
             g, k = g[order], k[order]
+            once = np.ones(len(g), bool)
+            once[1:] = (g[1:] != g[:-1]) | (k[1:] != k[:-1])
+            g, k = g[once], k[once]
             bits = np.zeros(1 << 20, bool)
             bits[g >> np.uint64(44)] = True
             self.sizes[size] = (g, k, bits)
 
-    def candidates(self, words: np.ndarray, begin: np.ndarray) -> set[tuple[int, int]]:
-        """(text, item) pairs that share a seed."""
-        pairs: set[tuple[int, int]] = set()
+    def candidates(self, words: np.ndarray, begin: np.ndarray) -> list[tuple[int, int]]:
+        """(text, item) pairs that share a seed, in order; a seed that a text repeats is looked up once."""
+        found = [np.zeros((0, 2), np.int64)]
         for size, (g, k, bits) in self.sizes.items():
             h = grams(words, size)
             at = np.flatnonzero(bits[h >> np.uint64(44)])
             lo, hi = np.searchsorted(g, h[at], "left"), np.searchsorted(g, h[at], "right")
-            at, lo, hi = (x[hi > lo] for x in (at, lo, hi))
             row = np.searchsorted(begin, at, "right") - 1
-            inside = at + size <= begin[row + 1]
-            for r, a, b in zip(row[inside].tolist(), lo[inside].tolist(), hi[inside].tolist(), strict=True):
-                pairs.update((r, int(x)) for x in k[a:b])
-        return pairs
+            ok = (hi > lo) & (at + size <= begin[row + 1])
+            pairs = np.unique(np.column_stack([row[ok], lo[ok], hi[ok]]), axis=0)
+            n = pairs[:, 2] - pairs[:, 1]
+            place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(pairs[:, 1], n)
+            found.append(np.unique(np.column_stack([np.repeat(pairs[:, 0], n), k[place]]), axis=0))
+        return [(r, k) for r, k in np.unique(np.concatenate(found), axis=0).tolist()]
+
+    def tiles(self, words: TextWords, row: int, k: int) -> list[tuple[int, int, int]]:
+        """Tiles of a text and an item; what seeds found by hashes is compared by the words themselves."""
+        doc, item = numbered(words.of(row), self.words[k])
+        return tile(doc, item, min(self.seed, len(item)))
 
 
 def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[tuple[list[int], list[str]]]:
@@ -157,11 +199,10 @@ def tiles(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
             for batch in batches:
                 for i, j, data, off in text_slices(batch, "_text"):
                     blob = data.tobytes()
-                    words, begin = word_hashes([blob[a:b].decode("utf-8") for a, b in zip(off[:-1], off[1:], strict=True)])
+                    words = TextWords([blob[a:b].decode("utf-8") for a, b in zip(off[:-1], off[1:], strict=True)])
                     rows: list[tuple] = []
-                    for r, k in sorted(index.value.candidates(words, begin)):
-                        item = index.value.words[k]
-                        found = tile(words[begin[r] : begin[r + 1]], item, min(seed, len(item)))
+                    for r, k in index.value.candidates(words.hashes, words.begin):
+                        item, found = index.value.words[k], index.value.tiles(words, r, k)
                         covered = sum(n for _, _, n in found)
                         rows.append((r, index.value.ids[k], len(item), covered, max((n for _, _, n in found), default=0), covered / len(item), covered >= coverage * len(item)))
                     if rows:
@@ -188,10 +229,9 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str
                 bad = set()
                 for i, _, data, off in text_slices(batch, text):
                     blob = data.tobytes()
-                    words, begin = word_hashes([blob[a:b].decode("utf-8") for a, b in zip(off[:-1], off[1:], strict=True)])
-                    for r, k in index.value.candidates(words, begin):
-                        item = index.value.words[k]
-                        if i + r not in bad and sum(n for _, _, n in tile(words[begin[r] : begin[r + 1]], item, min(seed, len(item)))) >= coverage * len(item):
+                    words = TextWords([blob[a:b].decode("utf-8") for a, b in zip(off[:-1], off[1:], strict=True)])
+                    for r, k in index.value.candidates(words.hashes, words.begin):
+                        if i + r not in bad and sum(n for _, _, n in index.value.tiles(words, r, k)) >= coverage * len(index.value.words[k]):
                             bad.add(i + r)
                 yield batch.filter(pa.array([r not in bad for r in range(batch.num_rows)], pa.bool_()))
 

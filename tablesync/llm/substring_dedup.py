@@ -2,17 +2,21 @@
 
 A byte goes if a `window`-byte string that covers it also starts in a document of smaller id.
 
-1. Every window is anchored at the least hash among its GRAM-byte grams (leftmost on ties), so equal
-   windows have equal anchors wherever they stand. Anchors are grouped by the anchor gram's hash; a
-   gram of one document alone can't belong to a shared window, and falls out.
-2. What is left is cut into segments: the windows of one anchor. Equal windows meet in one shard, as
-   shards are made by the anchor gram. Each shard's distinct segments are suffix-sorted by external
-   induced sorting; neighbours with a common prefix of `window` bytes are one string, and the
-   smallest document of its segments decides for all others.
-3. Removed windows go back to their documents, which merge them into runs.
-
-Rows travel as packed columns: one row per batch and target. Copies of one text are sent once per
-task; of equal texts only the smallest id is judged by its windows, the others are covered whole.
+1. Texts are dealt into groups of bounded size. Every window is anchored at the least hash among its
+   GRAM-byte grams (leftmost on ties), so equal windows have equal anchors wherever they stand. A group
+   sends each of its anchor grams once, and learns which of them other documents have, too.
+2. Segments, the windows of one shared anchor, go to a shard by the anchor gram, each distinct one of a
+   group once, with its least document. A gram with more than HOT_SEGMENTS occurrences has its segments
+   cut into single windows, which go to shards by their own hash: no gram fills a shard. Each shard's
+   distinct segments are suffix-sorted by external induced sorting; neighbours with a common prefix of
+   `window` bytes are one string, and the smallest document of its segments decides for all others.
+3. What is smaller goes back to the groups that asked, which find the segments anew in their texts,
+   in the same order, and merge the removed windows into runs.
+
+Rows travel as packed columns: one row per group and target, so what a hot gram or segment costs grows
+with the groups and not with its occurrences. Copies of one text are sent once per task; of equal texts
+only the smallest id is judged by its windows, the others are covered whole. Long texts are anchored
+in slices.
 
 Defined cases: null text is empty; texts below the window lose nothing; repeated ids are no smaller
 than each other; a null id counts as larger than all others; extra columns aren't read.
@@ -27,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -39,6 +44,12 @@ WINDOW = 50
 GRAM = 18
 #: Text bytes whose anchors meet in one task, of a group of documents, and of a shard's share of the text.
 MARK_BYTES, GROUP_BYTES, SHARD_BYTES = 16 << 20, 6 << 20, 2 << 20
+#: Occurrences of a gram above which its windows go to shards by their own hash: they would fill a shard.
+HOT_SEGMENTS = SHARD_BYTES // (WINDOW + GRAM)
+#: Bytes of segments that a group compares at once.
+BLOCK_BYTES = 4 << 20
+#: Most shuffle partitions that targets are dealt into; a partition works off its targets one by one.
+MOST_PARTITIONS = 20_000
 #: Text bytes whose anchors are found at once; the temporaries take about 70 times that.
 SLICE = 1 << 19
 #: Bytes of queue entries that a shard's sort holds before it goes to disk.
@@ -70,23 +81,37 @@ def stream(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def short(key: np.ndarray) -> np.ndarray:
-    """Keys of 48 bits as 6 bytes each."""
-    return np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).ravel()
-
-
-def long(key: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(key) // 6, 8), np.uint8)
-    out[:, :6] = key.reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
 def join(blobs: pa.ChunkedArray) -> dict[str, np.ndarray]:
     """The arrays of many packs end to end; other columns of rows (rest) are left out."""
     parts = [{k: v for k, v in unpack(b).items() if k != "rest"} for b in blobs.to_pylist()]
     return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else {}
 
 
+def by_target(target: np.ndarray, source: int, cols: dict[str, np.ndarray], ends: np.ndarray | None = None) -> pa.Table:
+    """One row per run of equal targets: target, source, and each column's part as bytes; ends: where each entry's `bytes` end. No loop over the rows."""
+    at = np.flatnonzero(np.diff(target, prepend=target[0] - 1)) if len(target) else np.zeros(0, np.int64)
+    cuts = np.append(at, len(target))
+    arrays = [pa.array(target[at].astype(np.int32)), pa.array(np.full(len(at), source, np.int32))]
+    for name, v in cols.items():
+        off = np.append(0, ends)[cuts] if name == "bytes" else cuts * v.dtype.itemsize
+        arrays.append(pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(v))]).cast(pa.binary()))
+    return pa.table(arrays, names=["target", "source", *cols])
+
+
+def flat(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that a column's rows hold as bytes, end to end, and how many each row has."""
+    values, sizes = [np.zeros(0, kind)], [np.zeros(0, np.int64)]
+    for chunk in column.chunks:
+        if len(chunk):
+            cells = chunk.cast(pa.large_binary())
+            _, off, data = cells.buffers()
+            off = np.frombuffer(off, np.int64)[cells.offset : cells.offset + len(cells) + 1]
+            raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
+            values.append(np.frombuffer(raw.tobytes(), kind))
+            sizes.append(np.diff(off) // np.dtype(kind).itemsize)
+    return np.concatenate(values), np.concatenate(sizes)
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each anchor in its text: the text's row, 48 bits of its gram's hash, its first window's start, its number of windows."""
     none = np.zeros(0, np.int64)
@@ -114,89 +139,159 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tu
     return rows[begin], h[at[begin]] >> np.uint64(16), start[begin], np.diff(np.append(begin, len(at)))
 
 
-def by_target(target: np.ndarray, doc: np.ndarray, tid: np.ndarray, cols: dict[str, np.ndarray]) -> Iterator[tuple[int, bytes]]:
-    """(target, pack) with each target's rows; ids stand once per run of equal documents."""
-    order = np.argsort(target, kind="stable")
-    cuts = np.flatnonzero(np.diff(target[order], prepend=-1))
-    for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
-        part = order[a:b]
-        d, t = doc[part], tid[part]
-        new = np.ones(len(part), bool)
-        new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1])
-        at = np.flatnonzero(new)
-        yield int(target[part[0]]), pack({"doc": d[at], "tid": t[at], "times": np.diff(np.append(at, len(part))).astype(np.int32), **{k: short(v[part]) if k == "key" else v[part] for k, v in cols.items()}})
-
-
-def spread_ids(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.repeat(x["doc"], x["times"]), np.repeat(x["tid"], x["times"])
-
-
 def packs(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["target", "pack"])
 
 
-def shared(x: dict[str, np.ndarray]) -> np.ndarray:
-    """Which entries have a key that another document has too."""
-    doc, tid = spread_ids(x)
-    key = long(x["key"])
-    order = np.argsort(key)
-    key = key[order]
-    head = np.ones(len(key), bool)
-    head[1:] = key[1:] != key[:-1]
-    group = np.cumsum(head) - 1
-    first = np.flatnonzero(head)[group]
-    other = (doc[order] != doc[order][first]) | (tid[order] != tid[order][first])
-    many = np.zeros(group[-1] + 1 if len(group) else 0, bool)
-    many[group[other]] = True
-    out = np.zeros(len(key), bool)
-    out[order] = many[group]
-    return out
+def cuts_of(x: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of equal values of a sorted array."""
+    at = np.flatnonzero(np.diff(x, prepend=x[0] - 1)) if len(x) else []
+    yield from zip(at, [*at[1:], len(x)], strict=True)
 
 
-def judge_shard(x: dict[str, np.ndarray], window: int, folder: str, memory: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of removed windows of a shard: entry, first window, number. x: doc, tid, start, windows, and the segments' bytes."""
-    doc, _ = spread_ids(x)
-    windows, start = x["windows"].astype(np.int64), x["start"].astype(np.int64)
-    length = windows + window - 1
-    ends = np.cumsum(length)
-    data = x["bytes"]
-    bounds = np.append(0, ends).astype(np.int64)
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (size[0] of them), start[1], ..."""
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+def least_of(data: np.ndarray, length: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Strings that lie side by side: the kind of each, in order of first appearance; a string of each kind; the least of the values by kind."""
+    bounds = np.append(0, np.cumsum(length)).astype(np.int64)
     coded = pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-    kind = np.asarray(coded.indices)
+    kind = np.asarray(coded.indices).astype(np.int64)
     pick = np.full(len(coded.dictionary), -1, np.int64)
     pick[kind[::-1]] = np.arange(len(kind))[::-1]
-    least = np.full(len(pick), np.iinfo(np.int64).max)
-    np.minimum.at(least, kind, doc)
+    out = []
+    for v in values:
+        low = np.full(len(pick), np.iinfo(np.int64).max)
+        np.minimum.at(low, kind, v)
+        out.append(low)
+    return kind, pick, out
+
+
+class Group:
+    """A group of texts in an order of their own, whatever order their packs come in."""
+
+    def __init__(self, blobs: pa.ChunkedArray, window: int):
+        x, self.window = join(blobs), window
+        begin = np.cumsum(x["size"]) - x["size"]
+        raw = lambda r: x["bytes"][begin[r] : begin[r] + x["size"][r]].tobytes()
+        order = np.lexsort((x["size"], x["tid"], x["doc"]))
+        same = np.flatnonzero((np.diff(x["doc"][order]) == 0) & (np.diff(x["tid"][order]) == 0))
+        if len(same):
+            order = np.array(sorted(order.tolist(), key=lambda r: (x["doc"][r], x["tid"][r], raw(r))), np.int64)
+        self.order, self.doc, self.tid, self.size = order, x["doc"][order], x["tid"][order], x["size"][order]
+        self.begin = np.cumsum(self.size) - self.size
+        self.bytes = x["bytes"][ranges(begin[order], self.size)]
+
+    def raw(self, r: int) -> bytes:
+        return self.bytes[self.begin[r] : self.begin[r] + self.size[r]].tobytes()
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row, gram, first window's place in the group's bytes, and number of windows of each anchor, in order."""
+        got: list[tuple] = []
+        r = 0
+        while r < len(self.size):
+            if self.size[r] > SLICE:  # in slices that share a window less a byte
+                for at in range(0, int(self.size[r]) - self.window + 1, SLICE):
+                    data = self.bytes[self.begin[r] + at : self.begin[r] + min(int(self.size[r]), at + SLICE + self.window - 1)]
+                    _, name, start, n = anchors(data, np.array([0, len(data)]), self.window, GRAM)
+                    got.append((np.full(len(n), r), name, start + self.begin[r] + at, n))
+                r += 1
+                continue
+            e = r + max(1, int(np.searchsorted(np.cumsum(self.size[r:]), SLICE, "right")))
+            off = np.append(self.begin[r:e], self.begin[e - 1] + self.size[e - 1]) - self.begin[r]
+            row, name, start, n = anchors(self.bytes[self.begin[r] : self.begin[r] + off[-1]], off, self.window, GRAM)
+            got.append((row + r, name, start + self.begin[r], n))
+            r = e
+        return tuple(np.concatenate(c) for c in zip(*got, strict=True)) if got else tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64))
+
+    def marks(self) -> dict[str, np.ndarray]:
+        """The group's distinct grams: key, least document, whether another one has it, occurrences; in order of documents."""
+        row, name, _, _ = self.anchors()
+        order = np.argsort(name, kind="stable")  # rows are in order of documents
+        at = np.flatnonzero(np.diff(name[order], prepend=name[order[:1]] - np.uint64(1))) if len(name) else np.zeros(0, np.int64)
+        last = np.append(at[1:], len(name)) - 1
+        low, high = self.doc[row[order[at]]], self.doc[row[order[last]]] if len(name) else self.doc[:0]
+        by = np.argsort(low, kind="stable")
+        return {"key": name[order[at]][by], "doc": low[by], "many": (low != high)[by].astype(np.uint8), "times": np.minimum(last - at + 1, 65535)[by].astype(np.uint16)}
+
+    def pieces(self, keys: np.ndarray, hot: np.ndarray, shards: int) -> tuple[np.ndarray, ...]:
+        """Row, place and kind of each piece, in order of shards; of each kind, in the same order: shard, windows, least and largest document, where its bytes end; and the bytes of all kinds.
+
+        keys: the shared grams, sorted; hot: which are cut into windows.
+        """
+        row, name, place, n = self.anchors()
+        at = np.searchsorted(keys, name)
+        at[at == len(keys)] = 0
+        keep = keys[at] == name if len(keys) else np.zeros(len(name), bool)
+        row, name, place, n, at = (v[keep] for v in (row, name, place, n, at))
+        many = hot[at] if len(keys) else np.zeros(0, bool)
+        target = (name % np.uint64(shards)).astype(np.int64)
+        # windows of hot grams, by their own hash
+        w, of = ranges(place[many], n[many]), np.repeat(row[many], n[many])
+        if len(w):
+            up, down = powers(len(self.bytes) + 1)
+            sums = np.zeros(len(self.bytes) + 1, np.uint64)
+            np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+            own = (mix64((sums[w + self.window] - sums[w]) * down[w]) % np.uint64(shards)).astype(np.int64)
+            row, place, n, target = (np.concatenate(v) for v in ((row[~many], of), (place[~many], w), (n[~many], np.ones(len(w), np.int64)), (target[~many], own)))
+        order = np.lexsort((place, target))
+        row, place, n, target = row[order], place[order], n[order], target[order]
+        size = n + self.window - 1
+        ends = np.cumsum(size)
+        heads = np.append(np.flatnonzero(np.diff(target, prepend=-1)), len(target))
+        kinds: list[tuple] = []
+        a = got = 0
+        kind = np.zeros(len(row), np.int64)
+        while a < len(row):  # blocks of whole targets, so that not all bytes are held beside their places
+            b = int(heads[max(np.searchsorted(heads, a, "right"), np.searchsorted(heads, np.searchsorted(ends, ends[a] + BLOCK_BYTES), "right") - 1)])
+            data = self.bytes[ranges(place[a:b], size[a:b])]
+            own, pick, (low, high) = least_of(data, size[a:b], self.doc[row[a:b]], -self.doc[row[a:b]])
+            kind[a:b] = own + got
+            got += len(pick)
+            first = np.cumsum(size[a:b]) - size[a:b]
+            kinds.append((target[a:b][pick], n[a:b][pick], low, -high, size[a:b][pick], data[ranges(first[pick], size[a:b][pick])]))
+            a = b
+        if not kinds:
+            kinds = [tuple(np.zeros(0, np.int64) for _ in range(5)) + (np.zeros(0, np.uint8),)]
+        shard, windows, low, high, length, data = (np.concatenate(c) for c in zip(*kinds, strict=True))
+        return row, place, kind, shard, windows, low, high, np.cumsum(length), data
+
+    def copies(self) -> np.ndarray:
+        """Which rows are of a text that a smaller id has, too (texts that came from several tasks)."""
+        out, low = np.zeros(len(self.doc), bool), {}
+        tids, times = np.unique(self.tid, return_counts=True)
+        for r in np.flatnonzero(np.isin(self.tid, tids[times > 1])):  # in order of documents
+            out[r] = low.setdefault((int(self.tid[r]), self.raw(r)), self.doc[r]) < self.doc[r]
+        return out
+
+
+def smallest_documents(data: np.ndarray, windows: np.ndarray, least: np.ndarray, window: int, folder: str, memory: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For segments that lie side by side, each with a document: the kind of each; for all kinds one after another, where their windows begin; and the smallest document of each window."""
+    length = windows + window - 1
+    kind, pick, (least,) = least_of(data, length, least)
+    n, begin = length[pick], (np.cumsum(length) - length)[pick]
     # the text: distinct segments, each followed by a 0; bytes are shifted by one (UTF-8 has no 0xFF)
-    n = length[pick]
     to = np.cumsum(n + 1) - (n + 1)
     text = np.zeros(int((n + 1).sum()), np.uint8)
-    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    text[np.repeat(to, n) + inside] = data[np.repeat((ends - length)[pick], n) + inside] + 1
+    text[ranges(to, n)] = data[ranges(begin, n)] + 1
     w = windows[pick]
+    place = np.cumsum(w) - w
     owner = np.full(len(text), -1, np.int32)  # the segment of a window's start
-    inside = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
-    owner[np.repeat(to, w) + inside] = np.repeat(np.arange(len(pick)), w)
-    smallest = np.full(len(text), np.iinfo(np.int64).max)  # the smallest document that has the window which starts here
+    owner[ranges(to, w)] = np.repeat(np.arange(len(pick)), w)
+    smallest = np.empty(int(w.sum()), np.int64)
     for pos, common in suffix_buckets(text, window, folder, memory):
         live = owner[pos] >= 0
         group = np.cumsum(common < window)[live]
         pos = pos[live]
         if not len(pos):
             continue
+        own = owner[pos]
         head = np.flatnonzero(np.diff(group, prepend=-1))
-        low = np.minimum.reduceat(least[owner[pos]], head)
-        smallest[pos] = np.repeat(low, np.diff(np.append(head, len(pos))))
-    # each entry's windows against its own document
-    entry = np.repeat(np.arange(len(doc)), windows)
-    inside = np.arange(len(entry)) - np.repeat(np.cumsum(windows) - windows, windows)
-    gone = smallest[to[kind][entry] + inside] < doc[entry]
-    new = gone.copy()
-    new[1:] &= ~gone[:-1] | (entry[1:] != entry[:-1])
-    stop = gone.copy()
-    stop[:-1] &= ~gone[1:] | (entry[1:] != entry[:-1])
-    a, b = np.flatnonzero(new), np.flatnonzero(stop)
-    return entry[a], start[entry[a]] + inside[a], b - a + 1
+        low = np.minimum.reduceat(least[own], head)
+        smallest[place[own] + pos - to[own]] = np.repeat(low, np.diff(np.append(head, len(pos))))
+    return kind, place, smallest
 
 
 def named(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -205,7 +300,7 @@ def named(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.withColumn("tid", F.conv(F.substring("sha", 1, 7), 16, 10).cast("int"))
 
 
-def find_repeats(docs: DataFrame, key: str, text: str, window: int, with_rows: bool = False) -> DataFrame:
+def find_repeats(docs: DataFrame, key: str, text: str, window: int, with_rows: bool = False, most: int = HOT_SEGMENTS) -> DataFrame:
     """(doc, tid, n_removed, n_spans, kept_sha256) of texts that lose bytes, each under its smallest id; larger ids of a text are covered whole.
 
     with_rows: instead, the rows of docs with texts of at least `window` bytes, but for those that are
@@ -240,9 +335,8 @@ def find_repeats(docs: DataFrame, key: str, text: str, window: int, with_rows: b
             for i, j, data, off in text_slices(batch, "t", 8 << 20):
                 group = tid[i:j] % groups
                 order = np.argsort(group, kind="stable")
-                cuts = np.flatnonzero(np.diff(group[order], prepend=-1))
                 rows = []
-                for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+                for a, b in cuts_of(group[order]):
                     part = order[a:b]
                     what = {"doc": doc[i + part], "tid": tid[i + part], "size": (off[part + 1] - off[part]).astype(np.int64), "bytes": np.concatenate([data[off[r] : off[r + 1]] for r in part])}
                     if rest:
@@ -251,99 +345,110 @@ def find_repeats(docs: DataFrame, key: str, text: str, window: int, with_rows: b
                     rows.append((int(group[part[0]]), pack(what)))
                 yield packs(rows)
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Anchors, packed by key."""
-        for batch in firsts(batches):
-            doc, tid = np.asarray(batch.column("doc")), np.asarray(batch.column("tid"))
-            got: list[list] = [[], [], [], []]
-            for i, _, data, off in text_slices(batch, "t", SLICE):
-                row, name, start, n = anchors(data, off, window, GRAM)
-                for into, x in zip(got, ((row + i).astype(np.int32), name, (start - off[row]).astype(np.int32), n.astype(np.uint8)), strict=True):
-                    into.append(x)
-            if got[0]:
-                row, name, start, n = (np.concatenate(x) for x in got)
-                yield packs(list(by_target((name % np.uint64(mark_tasks)).astype(np.int64), doc[row], tid[row], {"key": name, "start": start, "windows": n})))
+    def find(key_: tuple, texts: pa.Table) -> pa.Table:
+        """The grams of a group, by key."""
+        x = Group(texts["pack"], window).marks()
+        target = (x["key"] % np.uint64(mark_tasks)).astype(np.int64)
+        order = np.argsort(target, kind="stable")
+        out = by_target(target[order], key_[0].as_py(), {k: v[order] for k, v in x.items()})
+        lean()
+        return out
 
     def share(key_: tuple, table: pa.Table) -> pa.Table:
-        x = join(table["pack"])
-        doc, tid = spread_ids(x)
-        keep = np.flatnonzero(shared(x))
-        keep = keep[np.lexsort((x["start"][keep], tid[keep], doc[keep]))]
-        out = packs(list(by_target(tid[keep] % groups, doc[keep], tid[keep], {"key": long(x["key"])[keep], "start": x["start"][keep], "windows": x["windows"][keep]})) if len(keep) else [])
-        del x, doc, tid
+        """For each group, those of its grams that several documents have."""
+        key, sizes = flat(table["key"], np.uint64)
+        doc, many, times = (flat(table[c], t)[0] for c, t in (("doc", np.int64), ("many", np.uint8), ("times", np.uint16)))
+        group = np.repeat(table["source"].to_numpy(), sizes)
+        order = np.argsort(key)
+        at = np.flatnonzero(np.diff(key[order], prepend=key[order[:1]] - np.uint64(1)))
+        of = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(key))))
+        low, high = np.minimum.reduceat(doc[order], at), np.maximum.reduceat(doc[order], at)
+        both = (low != high) | (np.maximum.reduceat(many[order], at) > 0)
+        hot = np.add.reduceat(times[order].astype(np.int64), at) > most
+        keep, hot_of = np.zeros(len(key), bool), np.zeros(len(key), np.uint8)
+        keep[order], hot_of[order] = both[of], hot[of]
+        keep = np.flatnonzero(keep)
+        keep = keep[np.argsort(group[keep], kind="stable")]
+        out = by_target(group[keep], key_[0].as_py(), {"key": key[keep], "hot": hot_of[keep]})
         lean()
-        return pa.Table.from_batches([out])
+        return out
 
-    def places(mine: dict[str, np.ndarray], doc: np.ndarray, tid: np.ndarray) -> np.ndarray:
-        """The row of each (doc, tid) in a group of texts."""
-        ids = np.rec.fromarrays([mine["doc"], mine["tid"]])
-        order = np.argsort(ids, kind="stable")
-        return order[np.searchsorted(ids[order], np.rec.fromarrays([doc, tid]).astype(ids.dtype))]
+    def told(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """The shared grams of a group, sorted, and which are hot."""
+        key, hot = flat(table["key"], np.uint64)[0], flat(table["hot"], np.uint8)[0]
+        order = np.argsort(key)
+        return key[order], hot[order].astype(bool)
 
-    def cut(texts: pa.Table, marks: pa.Table) -> pa.Table:
-        """Segments of the shared anchors of a group of documents."""
-        rows: list[tuple[int, bytes]] = []
+    def cut(key_: tuple, texts: pa.Table, marks: pa.Table) -> pa.Table:
+        """A group's distinct segments, by shard."""
+        none = np.zeros(0, np.int64)
+        shard, windows, low, high, ends, data = none, none, none, none, none, none.astype(np.uint8)
         if texts.num_rows and marks.num_rows:
-            mine, x = join(texts["pack"]), join(marks["pack"])
-            begin = np.cumsum(mine["size"]) - mine["size"]
-            doc, tid = spread_ids(x)
-            name, n = long(x["key"]), x["windows"]
-            place = begin[places(mine, doc, tid)] + x["start"]
-            target = (name % np.uint64(shards)).astype(np.int64)
-            order = np.lexsort((name, target))
-            cuts = np.flatnonzero(np.diff(target[order], prepend=-1))
-            for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
-                part = order[a:b]
-                size = n[part].astype(np.int64) + window - 1
-                inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-                rows.append((int(target[part[0]]), pack({"doc": doc[part], "tid": tid[part], "times": np.ones(len(part), np.int32), "start": x["start"][part], "windows": n[part], "bytes": mine["bytes"][np.repeat(place[part], size) + inside]})))
-        out = pa.Table.from_batches([packs(rows)])
+            _, _, _, shard, windows, low, high, ends, data = Group(texts["pack"], window).pieces(*told(marks), shards)
+        out = by_target(shard, key_[0].as_py(), {"windows": windows.astype(np.uint8), "low": low, "high": high, "bytes": data}, ends)
         lean()
         return out
 
     def sort(key_: tuple, table: pa.Table) -> pa.Table:
-        x = join(table["pack"])
-        with tempfile.TemporaryDirectory() as folder:
-            entry, first, n = judge_shard(x, window, folder, SORT_MEMORY)
-        doc, tid = spread_ids(x)
-        out = packs(list(by_target(tid[entry] % groups, doc[entry], tid[entry], {"first": first.astype(np.int32), "n": n.astype(np.int32)})) if len(entry) else [])
-        del x, doc, tid
+        """Back to each group: runs of its segments' windows that a smaller document than the largest of the group's has, too."""
+        windows, sizes = flat(table["windows"], np.uint8)
+        windows = windows.astype(np.int64)
+        low, high, data = flat(table["low"], np.int64)[0], flat(table["high"], np.int64)[0], flat(table["bytes"], np.uint8)[0]
+        group = np.repeat(table["source"].to_numpy(), sizes)
+        piece = ranges(np.zeros(len(sizes), np.int64), sizes)  # within its group and shard
+        with tempfile.TemporaryDirectory() as folder:  # scratch of this task alone
+            kind, place, smallest = smallest_documents(data, windows, low, window, folder, SORT_MEMORY)
+        entry = np.repeat(np.arange(len(windows)), windows)
+        inside = ranges(np.zeros(len(windows), np.int64), windows)
+        by = smallest[np.repeat(place[kind], windows) + inside]
+        less = by < high[entry]
+        same = (entry[1:] == entry[:-1]) & (by[1:] == by[:-1])
+        new, stop = less.copy(), less.copy()
+        new[1:] &= ~(less[:-1] & same)
+        stop[:-1] &= ~(less[1:] & same)
+        p, q = np.flatnonzero(new), np.flatnonzero(stop)
+        order = np.argsort(group[entry[p]], kind="stable")
+        p, q = p[order], q[order]
+        out = by_target(group[entry[p]], key_[0].as_py(), {"piece": piece[entry[p]].astype(np.int32), "first": inside[p].astype(np.uint8), "n": (q - p + 1).astype(np.uint8), "low": by[p]})
         lean()
-        return pa.Table.from_batches([out])
-
-    def spans(texts: pa.Table, marks: pa.Table) -> Iterator[tuple[int, dict[str, np.ndarray], bytes, np.ndarray, np.ndarray]]:
-        """Rows of a group that lose bytes and aren't copies of a smaller id's text: row, the group, text, starts and ends of what goes."""
-        mine, x = join(texts["pack"]), join(marks["pack"])
-        begin = np.cumsum(mine["size"]) - mine["size"]
-        row = places(mine, *spread_ids(x))
-        by = np.lexsort((x["first"], row))
-        row, a = row[by], x["first"][by].astype(np.int64)
-        b = a + x["n"][by] + window - 1
-        heads = np.flatnonzero(np.diff(row, prepend=-1))
-        for r, c, d in zip(row[heads], heads, [*heads[1:], len(row)], strict=True):
+        return out
+
+    def spans(group: Group, marks: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Rows of a group that lose bytes: row, starts and ends of what goes."""
+        replies = marks.filter(pc.is_valid(marks["piece"]))
+        if not replies.num_rows:
+            return
+        piece, sizes = flat(replies["piece"], np.int32)
+        first, n, low = (flat(replies[c], t)[0] for c, t in (("first", np.uint8), ("n", np.uint8), ("low", np.int64)))
+        row, place, kind, shard, *_ = group.pieces(*told(marks.filter(pc.is_valid(marks["key"]))), shards)
+        mine = np.searchsorted(shard, np.repeat(replies["source"].to_numpy(), sizes)) + piece  # pieces count from their shard's first
+        order = np.argsort(kind, kind="stable")
+        begin = np.searchsorted(kind[order], mine, "left")
+        size = np.searchsorted(kind[order], mine, "right") - begin
+        run, entry = np.repeat(np.arange(len(size)), size), order[ranges(begin, size)]
+        gone = low[run] < group.doc[row[entry]]
+        run, entry = run[gone], entry[gone]
+        row, a = row[entry], place[entry] - group.begin[row[entry]] + first[run]
+        b = a + n[run].astype(np.int64) + window - 1
+        by = np.lexsort((a, row))
+        row, a, b = row[by], a[by], b[by]
+        for c, d in cuts_of(row):
             stop = np.maximum.accumulate(b[c:d])
             new = np.append(True, a[c + 1 : d] > stop[:-1])
-            yield int(r), mine, mine["bytes"][begin[r] : begin[r] + mine["size"][r]].tobytes(), a[c:d][new], stop[np.append(np.flatnonzero(new)[1:] - 1, d - c - 1)]
-
-    def smaller(mine: dict[str, np.ndarray]) -> np.ndarray:
-        """Which rows of a group are of a text that a smaller id has too (texts that came from several tasks)."""
-        begin, out, low = np.cumsum(mine["size"]) - mine["size"], np.zeros(len(mine["doc"]), bool), {}
-        tids, times = np.unique(mine["tid"], return_counts=True)
-        twice = np.flatnonzero(np.isin(mine["tid"], tids[times > 1]))
-        named_ = [(r, (int(mine["tid"][r]), mine["bytes"][begin[r] : begin[r] + mine["size"][r]].tobytes())) for r in twice[np.argsort(mine["doc"][twice], kind="stable")]]
-        for r, name in named_:
-            out[r] = low.setdefault(name, mine["doc"][r]) < mine["doc"][r]
-        return out
+            yield int(row[c]), a[c:d][new], stop[np.append(np.flatnonzero(new)[1:] - 1, d - c - 1)]
+
+    def kept(raw: bytes, first: np.ndarray, last: np.ndarray) -> bytes:
+        return b"".join([raw[p:q] for p, q in zip([0, *last], [*first, len(raw)], strict=True)])
 
     def finish(texts: pa.Table, marks: pa.Table) -> pa.Table:
         cols: list[list] = [[], [], [], [], []]
         if texts.num_rows and marks.num_rows:
-            copy = None
-            for r, mine, raw, first, last in spans(texts, marks):
-                copy = smaller(mine) if copy is None else copy
-                if not copy[r]:
-                    kept = b"".join([raw[p:q] for p, q in zip([0, *last], [*first, len(raw)], strict=True)])
-                    for into, v in zip(cols, (int(mine["doc"][r]), int(mine["tid"][r]), int((last - first).sum()), len(first), hashlib.sha256(kept).hexdigest()), strict=True):
+            group = Group(texts["pack"], window)
+            copy, before = group.copies(), None
+            for r, first, last in spans(group, marks):
+                if not copy[r] and before != (now := (int(group.doc[r]), int(group.tid[r]))):  # repeated rows lie together
+                    before = now
+                    for into, v in zip(cols, (*now, int((last - first).sum()), len(first), hashlib.sha256(kept(group.raw(r), first, last)).hexdigest()), strict=True):
                         into.append(v)
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string())
         lean()
@@ -354,29 +459,28 @@ def find_repeats(docs: DataFrame, key: str, text: str, window: int, with_rows: b
         empty = pa.schema([(f"r{i}", t) for i, t in enumerate(kinds_of_rest)] + [("t", pa.string()), ("cut", pa.bool_())])
         if not texts.num_rows:
             return empty.empty_table()
-        mine = join(texts["pack"])
+        group = Group(texts["pack"], window)
         own = pa.concat_tables([pa.ipc.open_stream(unpack(b)["rest"].tobytes()).read_all() for b in texts["pack"].to_pylist()]) if rest else None
-        copy, left = smaller(mine), {}
-        if marks.num_rows:
-            for r, _, raw, first, last in spans(texts, marks):
-                left[int(mine["doc"][r]), int(mine["tid"][r]), raw] = b"".join([raw[p:q] for p, q in zip([0, *last], [*first, len(raw)], strict=True)])
-        begin, out, cut_ = np.cumsum(mine["size"]) - mine["size"], [], []
-        live = np.flatnonzero(~copy)
-        for r in live:
-            raw = mine["bytes"][begin[r] : begin[r] + mine["size"][r]].tobytes()
-            kept = left.get((int(mine["doc"][r]), int(mine["tid"][r]), raw))
-            out.append((raw if kept is None else kept).decode("utf-8", "ignore"))
-            cut_.append(kept is not None)
-        arrays = [own[f"r{i}"].combine_chunks().take(pa.array(live)) for i in range(len(rest))]
+        left = {r: kept(group.raw(r), first, last) for r, first, last in spans(group, marks)} if marks.num_rows else {}
+        live = np.flatnonzero(~group.copies())
+        out = [left.get(int(r), group.raw(r) if int(r) not in left else b"").decode("utf-8", "ignore") for r in live]
+        arrays = [own[f"r{i}"].combine_chunks().take(pa.array(group.order[live])) for i in range(len(rest))]
         lean()
-        return pa.table([*arrays, pa.array(out, pa.string()), pa.array(cut_, pa.bool_())], names=empty.names)
+        return pa.table([*arrays, pa.array(out, pa.string()), pa.array([int(r) in left for r in live], pa.bool_())], names=empty.names)
 
     packed = "target int, pack binary"
-    marks = ours.mapInArrow(find, packed).groupBy("target").applyInArrow(share, packed)
-    once = ours.mapInArrow(send, packed)
-    segments = once.groupBy("target").cogroup(marks.groupBy("target")).applyInArrow(cut, packed)
-    runs = segments.groupBy("target").applyInArrow(sort, packed)
-    both = once.groupBy("target").cogroup(runs.groupBy("target"))
+    marked, shared = "target int, source int, key binary, doc binary, many binary, times binary", "target int, source int, key binary, hot binary"
+    sent, back = "target int, source int, windows binary, low binary, high binary, bytes binary", "target int, source int, piece binary, first binary, n binary, low binary"
+
+    def dealt(rows: DataFrame, targets: int) -> DataFrame:
+        """A partition for each target, as far as that goes, so that no task gets many of them by chance."""
+        return rows.repartition(min(targets, MOST_PARTITIONS), "target")
+
+    once = dealt(ours.mapInArrow(send, packed), groups)
+    marks = dealt(once.groupBy("target").applyInArrow(find, marked), mark_tasks).groupBy("target").applyInArrow(share, shared)
+    segments = once.groupBy("target").cogroup(dealt(marks, groups).groupBy("target")).applyInArrow(cut, sent)
+    runs = dealt(segments, shards).groupBy("target").applyInArrow(sort, back)
+    both = once.groupBy("target").cogroup(dealt(marks.unionByName(runs, allowMissingColumns=True), groups).groupBy("target"))
     if not with_rows:
         return both.applyInArrow(finish, "doc bigint, tid int, n_removed bigint, n_spans bigint, kept_sha256 string")
     kinds_of_rest = [f.type for f in to_arrow_schema(docs.select(*[f"`{c}`" for c in rest]).schema)] if rest else []
@@ -389,9 +493,9 @@ def copies(rows: DataFrame, first: DataFrame, window: int) -> DataFrame:
     return rows.join(first, "sha", "left").withColumn("copy", F.coalesce(F.col("doc") > F.col("first"), F.lit(False)) & (F.col("n_bytes") >= window))
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """key, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    changed = find_repeats(docs, key, text, window)
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, most: int = HOT_SEGMENTS) -> DataFrame:
+    """key, n_bytes, n_removed, n_spans, kept_sha256 of every row; most: occurrences above which a gram is hot."""
+    changed = find_repeats(docs, key, text, window, most=most)
     light = named(docs.select(F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("t")), "_key", "t").select("doc", "_key", "tid", "sha", F.octet_length("t").cast("bigint").alias("n_bytes"))
     # only texts that stand in several rows, written first: a join with it can split a text that many rows share
     first = durable(light.groupBy("sha").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "substring-first")

@@ -2,11 +2,17 @@
 
 Every line is good or bad. Its evidence is a feature vector of the line and of the lines beside it;
 neighbouring labels are tied by transition weights. Forward-backward gives each line's marginal, and
-a text's score is the mean marginal weighted by line length. The weights are fitted on the driver by
-gradient ascent of the conditional likelihood, where a document's label holds for all its lines.
+a text's score is the mean marginal weighted by line length.
 
-Bound: at most about SAMPLE labelled rows are learned from, chosen by a hash of the id, with whole
-texts; texts of more than FIT_LINES lines are cut for fitting alone into sequences of that length.
+Only documents are labelled; the labels of lines are hidden. The weights are fitted on the driver by
+expectation maximisation with a constraint: the expected lines of a document, given its label, are
+those of the chain under the least shift of its evidence at which their length-weighted mean is at
+least GOOD_SHARE (at most 1 - GOOD_SHARE for label 0); gradient ascent then fits weights and ties to
+them. So a good document may have bad lines, and ties are learned from where lines differ.
+
+Bound: at most about SAMPLE labelled rows are learned from, chosen by a hash of the id; of a text of
+more than FIT_LINES lines one run of that many, from a place that a hash of the text chooses, is
+fitted. Scores are of whole texts.
 
 Defined cases: null text is empty, and an empty text is one empty line; without labelled rows of
 both classes every score is their rate (0.5 without any); a null label isn't learned; repeated rows
@@ -26,8 +32,9 @@ from .common import arrow_rows, span_hashes, text_slices
 from .language_id import held_out
 
 SAMPLE = 6000
-FIT_LINES = 400
-STEPS = 150
+FIT_LINES = 200
+#: Rounds of expectation, gradient steps of each, and the share of a labelled document's lines that its label claims.
+ROUNDS, STEPS, GOOD_SHARE = 4, 75, 0.9
 PREDICT = 0.3
 #: Weight of the squared length of the weights, per sequence.
 RIDGE = 0.02
@@ -132,30 +139,45 @@ class LineCRF:
         return np.clip(np.bincount(rows, good * weight) / np.bincount(rows, weight), 0, 1)
 
 
-def fit(own: np.ndarray, rows: np.ndarray, label: np.ndarray) -> LineCRF:
-    """own: features of the lines of all sequences; rows: their sequence; label: by line."""
-    per_row = label[np.unique(rows, return_index=True)[1]] if len(rows) else label
-    rate = float(per_row.mean()) if len(per_row) else 0.5
+def expected(chains: Chains, u: np.ndarray, tie: np.ndarray, rows: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P(good) of each line, and summed P of neighbours' labels, given the documents' labels: the evidence of each is shifted until the weighted mean fits its label."""
+    sign = np.where(label > 0, 1.0, -1.0)
+    shift, total = np.where(np.bincount(rows) == 1, 6.0, 0.0) * sign, np.bincount(rows, weight)  # a single line is what its document is
+    for _ in range(8):
+        p, pairs = chains.marginals(u + shift[rows], tie)
+        mean = np.bincount(rows, p * weight) / total
+        lacks = GOOD_SHARE - np.where(label > 0, mean, 1 - mean)
+        if (lacks <= 0.005).all():
+            break
+        odds = np.log(GOOD_SHARE / (1 - GOOD_SHARE)) - sign * np.log(np.clip(mean, 1e-6, 1 - 1e-6) / np.clip(1 - mean, 1e-6, 1))
+        shift += sign * np.where(lacks > 0.005, np.maximum(odds, 0.1), 0)
+    return p, pairs
+
+
+def fit(own: np.ndarray, rows: np.ndarray, label: np.ndarray, size: np.ndarray) -> LineCRF:
+    """own: features of the lines of all sequences; rows: their sequence; label: by sequence; size: of each line."""
+    rate = float(label.mean()) if len(label) else 0.5
     if not 0 < rate < 1:
         return LineCRF(None, None, None, None, rate)
     x = chain_features(own, rows)
     mean, scale = x.mean(0), x.std(0) + 1e-6
     mean[0], scale[0] = 0, 1
     x = (x - mean) / scale
-    chains = Chains(rows)
+    chains, count, weight = Chains(rows), len(label), size + 1
     w, tie = np.zeros(x.shape[1]), np.zeros((2, 2))
     tie[0, 0] = tie[1, 1] = 0.5
-    pair = ~chains.begins
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (label[np.flatnonzero(pair) - 1], label[pair]), 1)
-    count = len(per_row)
     m, v = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
-    for step in range(1, STEPS + 1):
-        p, pairs = chains.marginals(x @ w, tie)
-        g = np.concatenate([(x.T @ (label - p)) / count - RIDGE * w, ((seen - pairs) / count - RIDGE * tie).ravel()])
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        move = 0.1 * (1 - step / (STEPS + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        w, tie = w + move[: len(w)], tie + move[len(w) :].reshape(2, 2)
+    step, steps = 0, ROUNDS * STEPS
+    for turn in range(ROUNDS):
+        # the first time every line is taken for what its document is
+        q, seen = expected(chains, x @ w if turn else np.where(label > 0, 6.0, -6.0)[rows], tie, rows, label, weight)
+        for _ in range(STEPS):
+            step += 1
+            p, pairs = chains.marginals(x @ w, tie)
+            g = np.concatenate([(x.T @ (q - p)) / count - RIDGE * w, ((seen - pairs) / count - RIDGE * tie).ravel()])
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            move = 0.1 * (1 - step / (steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+            w, tie = w + move[: len(w)], tie + move[len(w) :].reshape(2, 2)
     return LineCRF(mean, scale, w, tie, rate)
 
 
@@ -168,24 +190,23 @@ def learn(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, off in text_slices(batch, "t"):
-                own, _, rows = line_features(data, off)
-                ends = np.cumsum(np.bincount(rows, minlength=j - i))
-                cells = [own[a:b].astype(np.float32).tobytes() for a, b in zip(np.append(0, ends[:-1]), ends, strict=True)]
+                own, n, rows = line_features(data, off)
+                count = np.bincount(rows, minlength=j - i)
+                a = np.cumsum(count) - count
+                place = span_hashes(data, off[:-1], off[1:]) if len(data) else np.zeros(j - i, np.uint64)
+                a += (place % (np.maximum(count - FIT_LINES, 0) + 1).astype(np.uint64)).astype(np.int64)
+                b = a + np.minimum(count, FIT_LINES)
+                cells = [np.column_stack([n[p:q], own[p:q]]).astype(np.float32).tobytes() for p, q in zip(a, b, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(cells, pa.binary()), batch.column("y").slice(i, j - i)], names=["f", "y"])
 
     found = sample.mapInArrow(features, "f binary, y int").toArrow()
-    own, rows, label_of, k = [], [], [], 0
     # in an order of their content: the same rows give the same weights however they are dealt out
-    for f, y in sorted(zip(found["f"].to_pylist(), found["y"].to_pylist(), strict=True)):
-        lines = np.frombuffer(f, np.float32).reshape(-1, OWN)
-        for a in range(0, len(lines), FIT_LINES):
-            own.append(lines[a : a + FIT_LINES])
-            rows.append(np.full(len(own[-1]), k))
-            label_of.append(np.full(len(own[-1]), int(y > 0)))
-            k += 1
-    if not own:
+    found = sorted(zip(found["f"].to_pylist(), found["y"].to_pylist(), strict=True))
+    if not found:
         return LineCRF(None, None, None, None, 0.5)
-    return fit(np.concatenate(own).astype(np.float64), np.concatenate(rows), np.concatenate(label_of))
+    lines = [np.frombuffer(f, np.float32).reshape(-1, OWN + 1) for f, _ in found]
+    rows, all_ = np.repeat(np.arange(len(lines)), [len(x) for x in lines]), np.concatenate(lines).astype(np.float64)
+    return fit(all_[:, 1:], rows, np.array([int(y > 0) for _, y in found]), all_[:, 0])
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -6,7 +6,8 @@ split pattern is a piece of its own. Decoding reverses the byte table; an id seq
 the middle of a character, which `decode_text` shows as U+FFFD and `decode_bytes` keeps as bytes.
 
 Defined cases: null text is empty (no ids, hash of the empty string); repeated rows give repeated
-results; other columns of the input are not read.
+results; other columns of the input are not read; a kept column named as one of the result gets
+`_kept` behind its name.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import arrow_rows, lean, text_slices
+from .common import arrow_rows, carry, lean, text_slices
 from .pieces import byte_table, part_bounds, piece_starts
 
 #: A text above this many bytes is split into pieces in parts.
@@ -135,15 +137,16 @@ def bpe(path: str, pattern: str) -> ByteBPE:
 def encode_decode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", with_ids: bool = False) -> DataFrame:
     """keep, n_tokens, ids_sha256, decoded_sha256 (and ids, decoded bytes if with_ids) of every row."""
     arrow_rows(docs.sparkSession)
-    src = docs.select(*keep, text)
+    cols, names = carry(docs, keep, ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"))
+    src = docs.select(*cols, F.col(text).alias("_text"))
     out = [("n_tokens", pa.int64(), "bigint"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")]
     out += [("ids", pa.list_(pa.int32()), "array<int>"), ("decoded", pa.binary(), "binary")] if with_ids else []
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]] + [f"{n} {t}" for n, _, t in out])
+    schema = ", ".join([f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, src.schema.fields, strict=False)] + [f"{n} {t}" for n, _, t in out])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe(path, pattern)
         for batch in batches:
-            for i, j, data, off in text_slices(batch, text):
+            for i, j, data, off in text_slices(batch, "_text"):
                 cols: list[list] = [[] for _ in out]
                 for row in model.pieces(data, off):
                     whole = b"".join([model.raw[k] for k in row])
@@ -153,8 +156,8 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...
                     for col, x in zip(cols, cells, strict=True):
                         col.append(x)
                 part = batch.slice(i, j - i)
-                arrays = [part.column(k) for k in keep] + [pa.array(c, t) for c, (_, t, _) in zip(cols, out, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *(n for n, _, _ in out)])
+                arrays = [part.column(f"k{k}") for k in range(len(names))] + [pa.array(c, t) for c, (_, t, _) in zip(cols, out, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*names, *(n for n, _, _ in out)])
         model.forget()  # a worker lives on for other work
         lean()
 

@@ -14,7 +14,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes handled at once by the vectorised code; its temporaries take about 60 times that.
@@ -45,12 +45,18 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def durable(df: DataFrame, name: str, lasts: bool = False) -> DataFrame:
-    """Writes df to the shared folder and reads it back, so that later stages don't hang on lost executors."""
+def durable(df: DataFrame, name: str, lasts: bool = False, few: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it back, so that later stages don't hang on lost executors.
+
+    few: sums and links, which are small against the texts; they go into a file a core at most. Every
+    file costs an executor a child process or two where Hadoop's native library is missing.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     if _scratch and not lasts:
         _scratch[-1].append(path)
-    df.write.parquet(path)
+    out = (df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism)) if few else df).write
+    # row groups of 16 MB bound a writer's memory; no file that only says that the job succeeded
+    out.option("parquet.block.size", 16 << 20).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._durable_path = path
     return out
@@ -99,6 +105,12 @@ def arrow_rows(spark: SparkSession, rows: int = 500) -> None:
     """Bounds Arrow batches, so that long texts don't fill a Python worker; and sees to it that workers have this package."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")  # rows of long texts that a scan holds
+
+
+def carry(docs: DataFrame, keep: tuple[str, ...], made: tuple[str, ...]) -> tuple[list[Column], list[str]]:
+    """Kept columns as k0, k1, ..., and their names in the result: one named as a column that the result has of its own gets `_kept` behind its name."""
+    return [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], [f"{c}_kept" if c in made else c for c in keep]
 
 
 def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -156,7 +168,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges are written to the shared folder. Minima are partial aggregates, and joins back to a hub's
     edges are left to adaptive skew splitting.
     """
-    edges = durable(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "cc")
+    edges = durable(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "cc", few=True)
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -164,7 +176,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        edges, old = durable(small, "cc"), edges
+        edges, old = durable(small, "cc", few=True), edges
         discard(old)
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()
         if state == now:

@@ -9,7 +9,8 @@ of the id; the model has BUCKETS numbers a language. Everything else covers all
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; with no labelled row
 every text is; a null lang isn't learned; ties go to the smaller language name; repeated rows give
-repeated results; a null id is held in and learned from.
+repeated results; a null id is held in and learned from; a kept column named as one of the result
+gets `_kept` behind its name.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, lean, mix64, text_slices
+from .common import arrow_rows, carry, lean, mix64, text_slices
 from .pieces import LETTER, char_classes
 
 PER_LANGUAGE = 2000
@@ -162,9 +163,10 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     """keep, held_out, lang_pred, score of every row; with_spans: also (start, end, lang) in characters."""
     arrow_rows(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, key, text, lang))
-    src = docs.select(*keep, held_out(F.col(key)).alias("_held"), F.col(text).alias("_text"))
-    names = [*keep, "held_out", "lang_pred", "score", *["spans"] * with_spans]
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-2]] + ["held_out boolean", "lang_pred string", "score double"] + ["spans array<struct<start:int,end:int,lang:string>>"] * with_spans
+    cols, kept = carry(docs, keep, ("held_out", "lang_pred", "score", "spans"))
+    src = docs.select(*cols, held_out(F.col(key)).alias("_held"), F.col(text).alias("_text"))
+    names = [*kept, "held_out", "lang_pred", "score", *["spans"] * with_spans]
+    kinds = [f"`{n}` {f.dataType.simpleString()}" for n, f in zip(kept, src.schema.fields, strict=False)] + ["held_out boolean", "lang_pred string", "score double"] + ["spans array<struct<start:int,end:int,lang:string>>"] * with_spans
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +191,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
                         for a, b in zip(new, [*new[1:], len(label)], strict=True):
                             r = w.row[a]
                             spans[r].append({"start": int(w.start[a] - w.first[r]), "end": int(w.end[b - 1] - w.first[r]), "lang": m.languages[label[a]]})
-                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in keep), part.column("_held"), pa.array(pred, pa.string()), pa.array(score), *[pa.array(spans, span)] * with_spans], names=names)
+                yield pa.RecordBatch.from_arrays([*(part.column(f"k{x}") for x in range(len(kept))), part.column("_held"), pa.array(pred, pa.string()), pa.array(score), *[pa.array(spans, span)] * with_spans], names=names)
             lean()
 
     return src.mapInArrow(run, ", ".join(kinds))

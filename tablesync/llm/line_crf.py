@@ -16,7 +16,8 @@ fitted. Scores are of whole texts.
 
 Defined cases: null text is empty, and an empty text is one empty line; without labelled rows of
 both classes every score is their rate (0.5 without any); a null label isn't learned; repeated rows
-give repeated results; a document with several labels counts once for each.
+give repeated results; a document with several labels counts once for each; a kept column named as
+one of MADE gets `_kept` behind its name.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, span_hashes, text_slices
+from .common import arrow_rows, carry, span_hashes, text_slices
 from .language_id import held_out
 
 SAMPLE = 6000
@@ -36,6 +37,7 @@ FIT_LINES = 200
 #: Rounds of expectation, gradient steps of each, and the share of a labelled document's lines that its label claims.
 ROUNDS, STEPS, GOOD_SHARE = 4, 75, 0.9
 PREDICT = 0.3
+MADE = ("held_out", "score", "predicted")
 #: Weight of the squared length of the weights, per sequence.
 RIDGE = 0.02
 #: Classes of bytes whose shares are features.
@@ -213,13 +215,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     """keep, held_out, score, predicted of every row."""
     arrow_rows(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, key, text, label))
-    src = docs.select(*keep, held_out(F.col(key)).alias("_held"), F.col(text).alias("_text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-2]] + ["held_out boolean", "score double", "predicted int"]
+    cols, names = carry(docs, keep, MADE)
+    src = docs.select(*cols, held_out(F.col(key)).alias("_held"), F.col(text).alias("_text"))
+    kinds = [f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, src.schema.fields, strict=False)] + ["held_out boolean", "score double", "predicted int"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, off in text_slices(batch, "_text"):
                 s, part = model.value.scores(data, off), batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in keep), part.column("_held"), pa.array(s), pa.array((s >= PREDICT).astype(np.int32))], names=[*keep, "held_out", "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*(part.column(f"k{x}") for x in range(len(names))), part.column("_held"), pa.array(s), pa.array((s >= PREDICT).astype(np.int32))], names=[*names, *MADE])
 
     return src.mapInArrow(run, ", ".join(kinds))

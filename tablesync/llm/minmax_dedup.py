@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, components, discard, durable, lean, mix64, small_side, span_hashes, text_slices
+from .common import BROADCAST_ROWS, arrow_rows, components, discard, durable, lean, mix64, scratch, small_side, span_hashes, text_slices
 
 PERMUTATIONS, ROWS, BANDS = 64, 4, 32
 #: Rounds of comparing with hubs before the rest is compared in full.
@@ -136,7 +136,7 @@ def confirm(edges: DataFrame, docs: DataFrame, key: str, text: str, size: int, p
     blocks = F.ceil(F.col("degree") / HUB_BLOCK).cast("int")
     members = edges.join(degree, "hub").select("hub", F.pmod(F.xxhash64("member"), blocks).cast("int").alias("block"), F.col("member").alias("id"), F.lit(1).alias("part"))
     hubs = degree.select("hub", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("hub").alias("id"), F.lit(0).alias("part"))
-    rows = small_side(durable(members.unionByName(hubs), "minmax")).join(texts, "id").repartition("hub", "block").sortWithinPartitions("hub", "block", "part", "id")
+    rows = small_side(durable(members.unionByName(hubs), "minmax", few=True)).join(texts, "id").repartition("hub", "block").sortWithinPartitions("hub", "block", "part", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, hub = None, None
@@ -182,7 +182,7 @@ def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator
 
 def in_blocks(rows: DataFrame) -> DataFrame:
     """Rows with bi, bj: a bucket's pairs in tasks of at most about two BLOCKs of rows; part 0 rows are compared with part 1 rows where bi <> bj."""
-    sizes = durable(rows.groupBy("bucket").agg(F.count("*").alias("_s"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket", F.ceil(F.col("_s") / BLOCK).cast("int").alias("_nb")), "minmax")
+    sizes = durable(rows.groupBy("bucket").agg(F.count("*").alias("_s"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket", F.ceil(F.col("_s") / BLOCK).cast("int").alias("_nb")), "minmax", few=True)
     rows = rows.join(sizes, "bucket").withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int"))
     rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
     return rows.withColumn("bi", F.least("_b", "_o")).withColumn("bj", F.greatest("_b", "_o")).withColumn("part", (F.col("_b") > F.col("bi")).cast("int")).drop("_nb", "_b", "_o")
@@ -254,59 +254,69 @@ def compare_rest(labelled: DataFrame, reps: DataFrame, texts: DataFrame, size: i
     keys = ["bucket", "bi", "bj"]
     rows = in_blocks(labelled.select("bucket", "band", "id", "n", "c")).join(reps.select("id", "sig", "bands").dropDuplicates(["id"]), "id")
     rows = rows.select(*keys, "part", "id", "n", "c", "band", "sig", "bands").repartition(*keys).sortWithinPartitions(*keys, "part", "id")
-    left = durable(rows.mapInArrow(near, "bucket bigint, bi int, bj int, part int, id bigint, n bigint, c bigint"), "minmax")
+    left = durable(rows.mapInArrow(near, "bucket bigint, bi int, bj int, part int, id bigint, n bigint, c bigint"), "minmax", few=True)
     rows = small_side(left).join(texts, "id").select(*keys, "part", "id", "n", "c", "t").repartition(*keys).sortWithinPartitions(*keys, "part", "id")
     return rows.mapInArrow(exact, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """key, n_shingles, component_id, kept of every row."""
+    """key, n_shingles, component_id, kept of every row; written to the shared folder, which keeps nothing else of the work."""
     arrow_rows(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        return durable(labelled_rows(docs, key, text, size, percent), "near-duplicates", lasts=True, few=True)
+
+
+def labelled_rows(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
     signed = durable(signatures(docs, key, text, size), "minmax")
     live = signed.where("same is not null and id is not null")
     # only sets that several rows have, written first: a join with it can split a set that many rows share
-    classes = durable(live.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("k")).where("k > 1").drop("k"), "minmax")
-    others = durable(live.select("id", "same").join(classes, "same").where("id <> rep").select("id", "same"), "minmax")
+    classes = durable(live.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("k")).where("k > 1").drop("k"), "minmax", few=True)
+    others = durable(live.select("id", "same").join(classes, "same").where("id <> rep").select("id", "same"), "minmax", few=True)
     reps = live.join(small_side(others), ["id", "same"], "left_anti").select("id", "n", "bands", "sig")
     placed = reps.select("id", "n", F.posexplode("bands").alias("band", "bucket"))
     # sums by bucket are written before they are joined with rows, so that a crowded bucket's rows can be split
-    crowded = durable(placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket", "size"), "minmax")
+    crowded = durable(placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket", "size"), "minmax", few=True)
     buckets = placed.join(crowded, "bucket")
     # how much of the crowd a class meets: the text that near copies were made from meets more than each copy
     weight = buckets.groupBy("id").agg(F.sum("size").alias("weight"))
-    buckets = durable(buckets.select("id", "n", "band", "bucket").join(weight, "id"), "minmax")
+    buckets = durable(buckets.select("id", "n", "band", "bucket").join(weight, "id"), "minmax", few=True)
     texts = durable(docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).join(small_side(buckets.select("id").distinct()), "id", "left_semi"), "minmax")
     links, tried = None, None
-    labelled = start = buckets.withColumn("c", F.col("id"))
+    labelled = buckets.withColumn("c", F.col("id"))
+    nodes = None
 
     def confirmed(found: DataFrame) -> int:
         """Adds links; labels what is still open by component. Returns their number."""
-        nonlocal links, labelled
+        nonlocal links, labelled, nodes
         links = found if links is None else links.unionByName(found)
-        joined, old = components(links), labelled
-        labelled = durable(buckets.join(small_side(joined.withColumnRenamed("node", "id")), "id", "left").select("id", "n", "band", "bucket", "weight", F.coalesce("component", "id").alias("c")), "minmax")
-        discard(joined.source)
-        if old is not start:
+        joined, old = components(links), nodes
+        nodes = joined.source
+        joined = joined.withColumnRenamed("node", "id")
+        few = joined.count() <= BROADCAST_ROWS
+        rows = buckets.join(F.broadcast(joined) if few else joined, "id", "left").select("id", "n", "band", "bucket", "weight", F.coalesce("component", "id").alias("c"))
+        # labels that can be broadcast are joined where they are read; else the rows are written with them
+        labelled = rows if few else durable(rows, "minmax")
+        if old is not None:
             discard(old)
         return found.count()
 
     for turn in range(HUB_ROUNDS):
         order = F.struct("weight", -F.col("id"), "id", "c", "n") if turn % 2 == 0 else F.struct(F.xxhash64("id", F.lit(turn)), F.col("weight"), "id", "c", "n")
         hub = labelled.groupBy("bucket").agg(F.max(order).alias("h"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-        hub = durable(hub.select("bucket", F.col("h.weight").alias("hw"), F.col("h.id").alias("hub"), F.col("h.c").alias("hc"), F.col("h.n").alias("hn")), "minmax")
+        hub = durable(hub.select("bucket", F.col("h.weight").alias("hw"), F.col("h.id").alias("hub"), F.col("h.c").alias("hc"), F.col("h.n").alias("hn")), "minmax", few=True)
         edges = labelled.join(hub, "bucket").where(f"c <> hc and 100 * least(n, hn) >= {percent} * greatest(n, hn)").select("hw", "hub", F.col("id").alias("member"))
         if tried is not None:
             edges = edges.join(tried.select(F.col("hub").alias("x"), F.col("member").alias("y")).unionByName(tried.select(F.col("member").alias("x"), F.col("hub").alias("y"))).distinct(), F.expr("hub = x and member = y"), "left_anti")
         # one hub a member and round
         edges = edges.groupBy("member").agg(F.max(F.struct("hw", -F.col("hub"), "hub")).alias("h")).select(F.col("h.hub").alias("hub"), "member")
-        edges = durable(edges, "minmax")
+        edges = durable(edges, "minmax", few=True)
         n = edges.count()
         if not n:
             break
         tried = edges if tried is None else tried.unionByName(edges)
-        if confirmed(durable(confirm(edges, texts, "id", "t", size, percent), "minmax")) < HUB_YIELD * n:
+        if confirmed(durable(confirm(edges, texts, "id", "t", size, percent), "minmax", few=True)) < HUB_YIELD * n:
             break
-    confirmed(durable(compare_rest(labelled, reps, texts, size, percent), "minmax"))
+    confirmed(durable(compare_rest(labelled, reps, texts, size, percent), "minmax", few=True))
     label = labelled.select(F.col("id").alias("rep"), "c").distinct()
     of = signed.join(classes, "same", "left").withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))).join(label, "rep", "left")
     component = F.coalesce("c", "rep")

@@ -10,7 +10,8 @@ by that), and documents are read once a block. Words are runs of letters and dig
 
 Defined cases: null or empty texts, and texts without a shared seed, have no row in `tiles`; items of
 fewer than SEED words are matched only as a whole; a null item is skipped; repeated rows give
-repeated results; ties of longest matches go to the earliest place in the document, then in the item.
+repeated results; ties of longest matches go to the earliest place in the document, then in the
+item; a kept column named as one of MADE gets `_kept` behind its name.
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, mix64, span_hashes, text_slices
+from .common import arrow_rows, carry, mix64, span_hashes, text_slices
 from .language_id import lowered
 from .pieces import LETTER, NUMBER, char_classes
 
 SEED = 5
 COVERAGE = 0.5
 ITEM_WORDS = 2_000_000
+MADE = ("item_id", "item_words", "covered", "longest", "coverage", "leaked")
 
 
 class TextWords:
@@ -188,8 +190,9 @@ def tiles(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     """keep, item_id, item_words, covered, longest, coverage, leaked of every pair that shares a seed."""
     spark = docs.sparkSession
     arrow_rows(spark)
-    src = docs.select(*keep, F.col(text).alias("_text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]]
+    cols, names = carry(docs, keep, MADE)
+    src = docs.select(*cols, F.col(text).alias("_text"))
+    kinds = [f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, src.schema.fields, strict=False)]
     schema = ", ".join([*kinds, "item_id bigint, item_words bigint, covered bigint, longest bigint, coverage double, leaked boolean"])
     out = None
     for ids, texts in item_blocks(items, item_key, item_text):
@@ -206,10 +209,10 @@ def tiles(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
                         covered = sum(n for _, _, n in found)
                         rows.append((r, index.value.ids[k], len(item), covered, max((n for _, _, n in found), default=0), covered / len(item), covered >= coverage * len(item)))
                     if rows:
-                        r, *cols = zip(*rows, strict=True)
+                        r, *made = zip(*rows, strict=True)
                         part = batch.slice(i, j - i).take(pa.array(r, pa.int64()))
-                        arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()), strict=True)]
-                        yield pa.RecordBatch.from_arrays([*(part.column(x) for x in keep), *arrays], names=[*keep, "item_id", "item_words", "covered", "longest", "coverage", "leaked"])
+                        arrays = [pa.array(c, t) for c, t in zip(made, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()), strict=True)]
+                        yield pa.RecordBatch.from_arrays([*(part.column(f"k{x}") for x in range(len(names))), *arrays], names=[*names, *MADE])
 
         part = src.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)

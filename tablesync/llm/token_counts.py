@@ -11,7 +11,8 @@ state and count, and a scan over the levels of a tree composes neighbouring maps
 there are levels (see ChunkMaps). Runs are vectorised: all distinct pieces advance one byte at a time.
 
 Defined cases: null text is empty and has 0 tokens; strings of special tokens in a text count as
-the library's default does (one token each); repeated rows give repeated results.
+the library's default does (one token each); repeated rows give repeated results; a kept column
+named as one of MADE gets `_kept` behind its name.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import arrow_rows, text_slices
+from .common import arrow_rows, carry, text_slices
 from .pieces import byte_table, part_bounds, piece_starts
 
 #: Bytes of a chunk of a long piece.
@@ -33,6 +35,7 @@ CHUNK = 64
 PART_BYTES = 4 << 20
 #: Compiled states that a worker keeps; beyond that it starts anew between two batches, so memory stays bounded.
 MOST_STATES = 250_000
+MADE = ("n_bytes", "n_tokens", "over_limit")
 
 
 class CountingTransducer:
@@ -317,14 +320,15 @@ def transducer(path: str) -> CountingTransducer:
 def count_tokens(docs: DataFrame, path: str, limit: int, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """keep, n_bytes, n_tokens, over_limit of every row."""
     arrow_rows(docs.sparkSession)
-    src = docs.select(*keep, text)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]] + ["n_bytes bigint", "n_tokens bigint", "over_limit boolean"])
+    cols, names = carry(docs, keep, MADE)
+    src = docs.select(*cols, F.col(text).alias("_text"))
+    schema = ", ".join([f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, src.schema.fields, strict=False)] + ["n_bytes bigint", "n_tokens bigint", "over_limit boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path)
         for batch in batches:
-            for i, j, data, off in text_slices(batch, text):
+            for i, j, data, off in text_slices(batch, "_text"):
                 n, part = machine.text_counts(data, off), batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(np.diff(off)), pa.array(n), pa.array(n > limit)], names=[*keep, "n_bytes", "n_tokens", "over_limit"])
+                yield pa.RecordBatch.from_arrays([*(part.column(f"k{k}") for k in range(len(names))), pa.array(np.diff(off)), pa.array(n), pa.array(n > limit)], names=[*names, *MADE])
 
     return src.mapInArrow(run, schema)

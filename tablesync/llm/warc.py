@@ -114,7 +114,7 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     rows = rows.withColumn("digest", F.sha1("payload"))
     large = F.octet_length("payload") >= REVISIT_BYTES
     # written first: a join with rows that come by a shuffle of their own can split a digest that many pages share
-    stored = durable(rows.where(large).groupBy("digest").agg(F.max("page_id").alias("stored"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-stored")
+    stored = durable(rows.where(large).groupBy("digest").agg(F.max("page_id").alias("stored"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-stored", few=True)
     rows = rows.join(stored, "digest", "left").withColumn("refers_to", F.when(F.col("stored").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("stored")), F.col("stored")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -59,28 +59,22 @@ class DiskQueue:
 
 
 class RangeMin:
-    """Minima of ranges of a uint8 array, by a sparse table."""
+    """Minima of ranges of a uint8 array, by a sparse table; `longest` is the longest range that is asked for."""
 
-    def __init__(self, a: np.ndarray):
-        self.levels = [a]
-        step = 1
-        while 2 * step <= len(a):
-            last = self.levels[-1]
-            self.levels.append(np.minimum(last[:-step], last[step:]))
-            step *= 2
+    def __init__(self, a: np.ndarray, longest: int):
+        self.table = np.full((max(1, int(longest).bit_length()), len(a)), NONE, np.uint8)
+        self.table[0] = a
+        for k in range(1, len(self.table)):
+            n, half = len(a) - (1 << k) + 1, 1 << (k - 1)
+            np.minimum(self.table[k - 1, :n], self.table[k - 1, half : half + n], out=self.table[k, :n])
 
     def __call__(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """min a[lo:hi] for each pair; NONE where empty."""
-        out = np.full(len(lo), NONE, np.uint8)
         n = hi - lo
         some = n > 0
-        level = np.zeros(len(lo), np.int64)
-        level[some] = np.frexp(n[some].astype(np.float64))[1] - 1
-        for k in np.unique(level[some]):
-            at = np.flatnonzero(some & (level == k))
-            t = self.levels[k]
-            out[at] = np.minimum(t[lo[at]], t[hi[at] - (1 << k)])
-        return out
+        level = np.frexp(np.maximum(n, 1).astype(np.float64))[1] - 1
+        left = np.where(some, lo, 0)
+        return np.where(some, np.minimum(self.table[level, left], self.table[level, np.where(some, hi - (1 << level), 0)]), NONE).astype(np.uint8)
 
 
 class Inducer:
@@ -107,13 +101,14 @@ class Inducer:
         lo = np.empty_like(at)
         lo[1:] = at[:-1] + 1
         lo[starts] = 0
-        ranges = RangeMin(common)
+        ends = np.append(starts[1:], len(at))
+        tails = at[ends - 1] + 1
+        ranges = RangeMin(common, max(int((at + 1 - lo).max()), m - int(tails.min())))
         value = ranges(lo, at + 1)
         value[starts] = np.minimum(value[starts], self.carry[symbols[starts]])
         value = np.minimum(value.astype(np.int16) + 1, self.depth).astype(np.uint8)
-        ends = np.append(starts[1:], len(at))
         np.minimum(self.carry, low, out=self.carry)
-        self.carry[symbols[starts]] = ranges(at[ends - 1] + 1, np.full(len(ends), m))
+        self.carry[symbols[starts]] = ranges(tails, np.full(len(ends), m))
         for a, b in zip(starts, ends, strict=True):
             self.queue.push(int(symbols[a]), positions[a:b], value[a:b])
 
@@ -121,19 +116,17 @@ class Inducer:
 _mask = np.array([0] + [((1 << 64) - 1) ^ ((1 << (64 - 8 * k)) - 1) for k in range(1, 8)] + [(1 << 64) - 1], np.uint64)
 
 
-def sort_tuples(text: np.ndarray, left: np.ndarray, positions: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in order of their next `depth` symbols (within segments), and common prefixes to the one before."""
+def sort_tuples(words: np.ndarray, left: np.ndarray, positions: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in order of their next `depth` symbols (within segments), and common prefixes to the one before; words: the 8 symbols from each place, as one number."""
     n = len(positions)
     common = np.zeros(n, np.uint8)
     order = np.arange(n)
     group = np.zeros(n, np.int64)  # of what is in the same place so far, by place
     open_ = np.arange(n)  # places still to be ordered
     for k in range(0, depth, 8):
-        pos = positions[order[open_]] + k
-        word = np.zeros(len(open_), np.uint64)
-        for b in range(8):
-            word = (word << np.uint64(8)) | text[np.minimum(pos + b, len(text) - 1)]
-        word &= _mask[np.clip(left[positions[order[open_]]] - k, 0, 8)]
+        pos = positions[order[open_]]
+        word = words[np.minimum(pos + k, len(words) - 1)].astype(np.uint64)
+        word &= _mask[np.clip(left[pos] - k, 0, 8)]
         by = np.lexsort((word, group[open_])) if k else np.argsort(word, kind="stable")
         order[open_], word = order[open_][by], word[by]
         same_group = np.zeros(len(open_), bool)
@@ -182,6 +175,9 @@ def suffix_buckets(text: np.ndarray, depth: int, folder: str, memory: int = 64 <
     star = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     symbols = np.flatnonzero(np.bincount(text, minlength=256))
 
+    padded = np.append(text, np.zeros(8, np.uint8))
+    words = np.ndarray((n + 1,), ">u8", padded, strides=(1,))  # overlapping reads, no copy
+
     stars = DiskQueue(folder, "star", memory)
     by = np.argsort(text[star], kind="stable")
     star = star[by]
@@ -209,7 +205,7 @@ def suffix_buckets(text: np.ndarray, depth: int, folder: str, memory: int = 64 <
             at = np.flatnonzero((pos > 0) & (sym >= s) & (sym > 0))
             up.scan(common, at, prev[at], sym[at])
         if (batch := stars.pop(s)) is not None:
-            pos, common = sort_tuples(text, left, batch[0], depth) if s else batch
+            pos, common = sort_tuples(words, left, batch[0], depth) if s else batch
             common = common.copy()
             common[0] = boundary(seen, pos[0]) if seen is not None else 0
             prev = pos - 1

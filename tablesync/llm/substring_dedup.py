@@ -43,7 +43,7 @@ WINDOW = 50
 #: Bytes of an anchor gram: longer ones are rarer by chance, shorter ones make fewer anchors.
 GRAM = 18
 #: Text bytes whose anchors meet in one task, of a group of documents, and of a shard's share of the text.
-MARK_BYTES, GROUP_BYTES, SHARD_BYTES = 16 << 20, 6 << 20, 2 << 20
+MARK_BYTES, GROUP_BYTES, SHARD_BYTES = 4 << 20, 6 << 20, 2 << 20
 #: Occurrences of a gram above which its windows go to shards by their own hash: they would fill a shard.
 HOT_SEGMENTS = SHARD_BYTES // (WINDOW + GRAM)
 #: Bytes of segments that a group compares at once.
@@ -222,6 +222,9 @@ class Group:
         keys: the shared grams, sorted; hot: which are cut into windows.
         """
         row, name, place, n = self.anchors()
+        bits = np.zeros(1 << 22, bool)  # most grams are no one else's, and most of these end here
+        bits[keys & np.uint64(len(bits) - 1)] = True
+        row, name, place, n = (v[maybe] for maybe in [bits[name & np.uint64(len(bits) - 1)]] for v in (row, name, place, n))
         at = np.searchsorted(keys, name)
         at[at == len(keys)] = 0
         keep = keys[at] == name if len(keys) else np.zeros(len(name), bool)
@@ -498,7 +501,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     changed = find_repeats(docs, key, text, window, most=most)
     light = named(docs.select(F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("t")), "_key", "t").select("doc", "_key", "tid", "sha", F.octet_length("t").cast("bigint").alias("n_bytes"))
     # only texts that stand in several rows, written first: a join with it can split a text that many rows share
-    first = durable(light.groupBy("sha").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "substring-first")
+    first = durable(light.groupBy("sha").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "substring-first", few=True)
     rows = copies(light, first, window).join(changed, ["doc", "tid"], "left")
     return rows.select(
         F.col("_key").alias(key), "n_bytes", F.when(F.col("copy"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), F.when(F.col("copy"), 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import os
 import random
 import re
 import tempfile
@@ -11,6 +12,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tablesync.llm import byte_bpe, host_reputation, induced_sort, language_id, line_crf, minmax_dedup, posting_lists, queries, string_tiling, substring_dedup, token_counts, warc
 from tablesync.llm.common import components
@@ -497,5 +499,107 @@ def test_unrelated_texts_under_one_id_stay(spark):
     assert sorted((r.doc_id or 0, r.text.strip()) for r in got) == [(0, two), (0, two), (3, one), (5, ""), (7, two), (9, three), (9, four)]
 
 
+def test_clashing_columns(spark):
+    import corpus_pipeline as p
+
+    more = ("score", "held_out", "lang_pred", "cut", "kept", "c0", "_key", "n_tokens", "item_id", "copy", "sha", "target")
+    d = read(spark, "documents").where("doc_id < 40")
+    d = d.unionByName(d.where("doc_id < 3")).withColumns({c: F.lit(c) for c in more})
+    for _, stage in p.STAGES[:-1]:
+        d = spark.createDataFrame(out.collect(), out.schema) if (out := stage(spark, d, DATA)).columns == d.columns else None
+        assert all(r[c] == c for r in d.collect() for c in more)
+    assert p.STAGES[-1][1](spark, d, DATA).count() == d.count()
+    keep = ("doc_id", *more)
+    for got in (language_id.identify(d, keep=keep), line_crf.score_quality(d, read(spark, "labels"), keep=keep), token_counts.count_tokens(d, queries.tokenizer_file("byte_bpe_50k.json"), 512, keep=keep), string_tiling.tiles(d, read(spark, "benchmark"), keep=keep)):
+        mine = [c if c in got.columns and f"{c}_kept" not in got.columns else f"{c}_kept" for c in more]
+        assert len(set(got.columns)) == len(got.columns) and all(r[m] == c for r in got.collect() for m, c in zip(mine, more, strict=True))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2), max_size=40), st.lists(st.integers(0, 2), min_size=5, max_size=30))
+def test_tiles_of_repetitive_words_against_brute_force(doc, item):
+    assert string_tiling.tile(np.array(doc), np.array(item), 5) == brute_tiles(doc, item, 5)
+
+
+def test_tiles_of_a_spam_page():
+    words, index = string_tiling.TextWords(["w " * 80_000]), string_tiling.ItemIndex([1], ["w " * 100], 5)
+    assert index.candidates(words.hashes, words.begin) == [(0, 0)] and index.tiles(words, 0, 0) == [(0, 0, 100)]
+
+
+def test_chunk_maps_are_composed_in_few_passes():
+    m = token_counts.transducer(queries.tokenizer_file("byte_bpe_50k.json"))
+    from tokenizers import Tokenizer
+
+    lib, rng = Tokenizer.from_file(queries.tokenizer_file("byte_bpe_50k.json")), random.Random(2)
+    for text in ("a" * 100_000, "".join(rng.choice("abcdefgh") for _ in range(30_000)), "xyz" * 9000):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        maps = token_counts.ChunkMaps(m, raw, np.array([0]), np.array([len(raw)]))
+        assert maps.counts().tolist() == [len(lib.encode(text, add_special_tokens=False).ids)] and maps.passes <= 2 * len(maps.maps)
+
+
+def test_counts_and_ids_of_documents_against_the_libraries(spark):
+    import public_tokenizers
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    texts = {r.doc_id: r.text or "" for r in read(spark, "documents").collect()}
+    lib = Tokenizer.from_file(queries.tokenizer_file("byte_bpe_50k.json"))
+    for r in queries.op5_token_counts(spark, DATA).collect():
+        n = len(lib.encode(texts[r.doc_id], add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 512)
+    enc = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(queries.tokenizer_file("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    for r in queries.op9_byte_bpe(spark, DATA).collect():
+        ids = enc.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
+
+
+def test_hot_grams_and_long_texts(spark):
+    rng = random.Random(8)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    long = "".join(rng.choice("abcdefgh ") for _ in range(700_000))
+    pairs = [(i, f"{rng.random()}{shared[rng.randint(0, 50):]}{rng.random()}") for i in range(80)] + [(90, long + shared), (91, long[100:650_000]), (92, ""), (93, None), (93, shared), (93, shared)]
+    want = brute_removal(pairs, 50)
+    for got in (substring_dedup.remove_repeats(docs(spark, pairs)), substring_dedup.remove_repeats(docs(spark, pairs), most=3)):
+        assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == want
+
+
+def test_induced_sort_spills_under_a_tenth_of_the_shard():
+    rng = np.random.default_rng(5)
+    text = rng.integers(1, 27, 400_000).astype(np.uint8)
+    text[80::81] = 0
+    text[-1] = 0
+    written: list[int] = []
+    spill = induced_sort.DiskQueue.push
+
+    def push(self, symbol, positions, common):
+        spill(self, symbol, positions, common)
+        written.append(self.written)
+
+    induced_sort.DiskQueue.push = push
+    try:
+        with tempfile.TemporaryDirectory() as folder:
+            small = [(p.copy(), c.copy()) for p, c in induced_sort.suffix_buckets(text, 50, folder, len(text) // 10)]
+            assert not os.listdir(folder)
+    finally:
+        induced_sort.DiskQueue.push = spill
+    assert max(written) > 0
+    with tempfile.TemporaryDirectory() as folder:
+        large = list(induced_sort.suffix_buckets(text, 50, folder, 1 << 30))
+    assert all((p == q).all() and (c == d).all() for (p, c), (q, d) in zip(small, large, strict=True))
+
+
+def test_viterbi_against_enumeration():
+    rng = np.random.default_rng(6)
+    model = language_id.Model(["x", "y"], rng.integers(1, 50, (2, language_id.BUCKETS + len(language_id.NAMES))).astype(float))
+    for text in ("one two three four five six", "ab cd", "a"):
+        raw = text.encode()
+        w = language_id.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        label, s = model.label(w)
+        n = len(label)
+        total = lambda path: sum(s[k, c] for k, c in enumerate(path)) - language_id.SWITCH * sum(a != b for a, b in zip(path, path[1:], strict=False))
+        best = max(total([(z >> k) & 1 for k in range(n)]) for z in range(1 << n))
+        assert abs(total(label.tolist()) - best) < 1e-3
+
+
 def test_ten_queries():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))

@@ -1,4 +1,9 @@
-"""Groups, table mappings and settings, kept as one JSON document in the store, and the functions that manage them."""
+"""Groups, table mappings and settings, and the functions that manage them.
+
+They are kept as one JSON document in numbered files that are created exclusively. Who finds the next
+number taken merges field by field (own changes since the last file win over what the other left as
+it was) and tries again, so a server and a runner don't lose each other's updates.
+"""
 
 from __future__ import annotations
 
@@ -17,6 +22,8 @@ from .sources.store import Store
 from .state import CATCHUP, ERRORED, SNAPSHOT, STREAMING, move
 
 MODES = ("upsert", "append")
+#: Tries to write a file, and older files that are kept for readers.
+TRIES, KEPT = 20, 20
 
 
 class CatalogError(ValueError):
@@ -84,20 +91,58 @@ class Catalog:
         self.groups: dict[str, Group] = {}
         self.mappings: dict[str, Mapping] = {}
         self.config: dict = {k: d for k, (_, d) in settings.KEYS.items() if d is not None}
-        if self.store.exists("_catalog.json"):
+        #: What runs a group's stream here: anything with resume() and halt().
+        self.workers: dict[str, object] = {}
+        self.number, self._base = -1, self._document()
+        if self._latest() >= 0:
             self.load()
         else:
             self.create_group("default")
 
+    def _latest(self) -> int:
+        return max((int(n[:-5]) for n in self.store.names("_catalog") if n.endswith(".json")), default=-1)
+
+    def _document(self) -> dict:
+        return json.loads(json.dumps({"groups": {g.name: asdict(g) for g in self.groups.values()}, "mappings": {m.id: asdict(m) for m in self.mappings.values()}, "config": self.config}))
+
     def load(self) -> None:
-        text = json.loads(self.store.read("_catalog.json"))
-        self.groups = {g["name"]: Group(**g) for g in text["groups"]}
-        self.mappings = {m["id"]: Mapping(**{**m, "columns": [tuple(c) for c in m["columns"]]}) for m in text["mappings"]}
-        self.config = text["config"]
+        """What the newest file says, for what isn't changed here since the last one; objects that are held stay the same ones."""
+        with self._lock:
+            self.number = self._latest()
+            raw = self.store.read(f"_catalog/{self.number:020d}.json")
+            text = json.loads(raw)
+            mine, base = self._document(), self._base
+            for kind, held, make in (("groups", self.groups, Group), ("mappings", self.mappings, Mapping)):
+                for key in {*mine[kind], *text[kind]}:
+                    was, own, other = (d[kind].get(key) for d in (base, mine, text))
+                    if other is None:
+                        if was is not None:  # dropped there
+                            held.pop(key)
+                    elif own is None:
+                        if was is None:
+                            held[key] = make(**other)
+                    else:
+                        for field_, value in other.items():
+                            if was is None or own[field_] == was.get(field_):
+                                setattr(held[key], field_, value)
+            for m in self.mappings.values():
+                m.columns = [tuple(c) for c in m.columns]
+            self.config = {k: v for k, v in {**text["config"], **{k: v for k, v in mine["config"].items() if v != base["config"].get(k)}}.items() if k in text["config"] or mine["config"].get(k) != base["config"].get(k)}
+            self._base = json.loads(raw)  # nothing that is held here is part of it
 
     def save(self) -> None:
         with self._lock:
-            self.store.replace("_catalog.json", json.dumps({"groups": [asdict(g) for g in self.groups.values()], "mappings": [asdict(m) for m in self.mappings.values()], "config": self.config}))
+            for _ in range(TRIES):
+                text = self._document()
+                if text == self._base and self.number >= 0:
+                    return
+                if self.store.create(f"_catalog/{self.number + 1:020d}.json", json.dumps(text)):
+                    self.number, self._base = self.number + 1, text
+                    if self.number >= KEPT:
+                        self.store.delete(f"_catalog/{self.number - KEPT:020d}.json")
+                    return
+                self.load()
+            raise Conflict(f"the catalog at {self.root} keeps changing")
 
     # -- groups
 
@@ -151,7 +196,10 @@ class Catalog:
             for g in changed:
                 g.running = running
             self.save()
-            return len(changed)
+        for g in changed:
+            if worker := self.workers.get(g.name):
+                worker.resume() if running else worker.halt()
+        return len(changed)
 
     # -- tables
 

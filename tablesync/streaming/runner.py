@@ -3,12 +3,14 @@
 Tables of a batch are flushed side by side, as many as the gate admits. A table's commit holds the
 batch number, so a batch that is delivered again changes nothing. Changes of a table that can't take
 them now (it waits for a snapshot or a retry) are written to `_held/<mapping>/<batch>` and applied in
-order before anything newer, so the stream needn't wait and nothing is lost.
+order before anything newer, so the stream needn't wait and nothing is lost. Where what is held
+reaches `max_queued_bytes`, the stream waits before its next batch until a table can go on.
 """
 
 from __future__ import annotations
 
 import json
+import threading
 import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -45,6 +47,13 @@ class GroupRunner:
         self.gate = FlushGate(int(catalog.get_group_config(group, "max_concurrent_flushes")))
         self.snapshots = SnapshotManager() if background else None
         self.ready: dict[str, tuple[int, int, int]] = {}
+        self.query: StreamingQuery | None = None
+        self.pauses, self._stopped, self._again = 0, threading.Event(), None
+
+    def changes(self, folder: str) -> DataFrame:
+        """The log in a folder as a stream; a batch ends with the transaction that passes `flush_batch_threshold` messages."""
+        most = self.catalog.get_group_config(self.group, "flush_batch_threshold")
+        return self.spark.readStream.format("tablesync_wal").option("path", folder).option("maxMessages", most).load()
 
     def start(self, changes: DataFrame, checkpoint: str, available_now: bool = False) -> StreamingQuery:
         """Runs over a streaming DataFrame of change rows (wal.ROW)."""
@@ -53,17 +62,58 @@ class GroupRunner:
             raise RuntimeError(f"sync group '{self.group}' is disabled")
         writer = changes.writeStream.queryName(f"tablesync_{self.group}").foreachBatch(self.apply).option("checkpointLocation", checkpoint)
         every = self.catalog.get_group_config(self.group, "flush_interval_ms")
-        return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{every} milliseconds")).start()
+        self._again = (changes, checkpoint, available_now)
+        self._stopped.clear()
+        self.catalog.workers[self.group], group.running = self, True
+        self.query = (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{every} milliseconds")).start()
+        return self.query
+
+    def halt(self) -> None:
+        """Stops the query; what its last batch left undone is done by the next start from the checkpoint."""
+        self._stopped.set()
+        if self.query is not None:
+            self.query.stop()
+            self.query = None
+
+    def resume(self) -> None:
+        """Starts the query again as it was started last."""
+        if self.query is None and self._again is not None:
+            self.start(*self._again)
+
+    def _mine(self) -> list[Mapping]:
+        return [m for m in self.catalog.mappings.values() if m.group == self.group and m.enabled]
+
+    def full(self) -> bool:
+        """Whether what the group's tables hold back has reached its limit."""
+        return sum(m.queued_bytes for m in self._mine()) >= int(self.catalog.get_group_config(self.group, "max_queued_bytes"))
+
+    def _wait(self) -> None:
+        """Backpressure: reads no further while the group is full, but for tables that can go on."""
+        if self.full():
+            self.pauses += 1
+        while self.full() and not self._stopped.is_set():
+            self.catalog.retry_due()
+            for m in self._mine():
+                if m.queued_bytes:
+                    try:
+                        self._advance(m, None)
+                    except Exception as e:
+                        self._fail(m, e)
+            if self.full():
+                self._stopped.wait(int(self.catalog.get_group_config(self.group, "drain_poll_ms")) / 1000)
 
     def apply(self, batch: DataFrame, number: int) -> None:
         """Applies one batch of change rows."""
         self.gate.resize(int(self.catalog.get_group_config(self.group, "max_concurrent_flushes")))
+        self._wait()
+        if self._stopped.is_set():
+            raise RuntimeError(f"sync group '{self.group}' was stopped")
         batch = batch.persist()
         try:
             stats = batch.groupBy("rel").agg(F.count("*").alias("n"), F.max(F.struct("lsn", "seq")).alias("at")).collect()
             renames = [json.loads(r.ddl) | {"rel": r.rel} for r in batch.where(F.col("op") == SCHEMA).orderBy("lsn", "seq").collect()]
             self.catalog.retry_due()
-            mine = [m for m in self.catalog.mappings.values() if m.group == self.group and m.enabled]
+            mine = self._mine()
             names = {m.id: {m.source} for m in mine}
             for ddl in renames:
                 for m in mine:
@@ -98,33 +148,42 @@ class GroupRunner:
         rows = batch.where(F.col("rel").isin(*names))
         with self.gate.flush():
             try:
-                if m.state == SNAPSHOT and self.snapshot is not None:
-                    if self.snapshots is None:
-                        self.take_snapshot(m)
-                    elif done := self.snapshots.harvest(m.id):
-                        done.result()
-                    else:
-                        self.snapshots.kick(m.id, lambda: self.load_snapshot(m))
-                if self.snapshots is not None and m.id in self.ready:
-                    self.catalog.snapshotted(m, *self.ready.pop(m.id))
-                if m.state not in (CATCHUP, STREAMING):
+                if not self._advance(m, number):
                     if stats:
                         self._hold(m, rows, number)
                     return
-                for old in self._held(m):
-                    if old < number:
-                        self._flush(m, self.spark.read.parquet(self.catalog.store.path(f"_held/{m.id}/{old:020d}")), old)
-                    self.catalog.store.delete(f"_held/{m.id}/{old:020d}")
-                m.queued_changes = m.queued_bytes = 0
                 if stats:
                     self._flush(m, rows, number)
                 elif end is not None and m.state == STREAMING:
                     self.catalog.applied(m, (end, 2**62), 0, 0)  # an idle table doesn't hold the group back
             except Exception as e:
-                self.catalog.failed(m, str(e)[:2000], 1 if isinstance(e, UnsupportedChange | UnsupportedType) else 3)
+                self._fail(m, e)
                 if stats:
                     self._hold(m, rows, number)
 
+    def _fail(self, m: Mapping, e: Exception) -> None:
+        self.catalog.failed(m, str(e)[:2000], 1 if isinstance(e, UnsupportedChange | UnsupportedType) else 3)
+
+    def _advance(self, m: Mapping, number: int | None) -> bool:
+        """Takes a table's snapshot if it waits for one, and applies what it holds from before batch `number`. Whether it can take more."""
+        if m.state == SNAPSHOT and self.snapshot is not None:
+            if self.snapshots is None:
+                self.take_snapshot(m)
+            elif done := self.snapshots.harvest(m.id):
+                done.result()
+            else:
+                self.snapshots.kick(m.id, lambda: self.load_snapshot(m))
+        if self.snapshots is not None and m.id in self.ready:
+            self.catalog.snapshotted(m, *self.ready.pop(m.id))
+        if m.state not in (CATCHUP, STREAMING):
+            return False
+        for old in self._held(m):
+            if number is None or old < number:
+                self._flush(m, self.spark.read.parquet(self.catalog.store.path(f"_held/{m.id}/{old:020d}")), old)
+            self.catalog.store.delete(f"_held/{m.id}/{old:020d}")
+        m.queued_changes = m.queued_bytes = 0
+        return True
+
     def take_snapshot(self, m: Mapping) -> None:
         self.load_snapshot(m)
         self.catalog.snapshotted(m, *self.ready.pop(m.id))
@@ -175,6 +234,7 @@ class GroupRunner:
                 self._columns(m, table, [(n, int(t)) for n, t in json.loads(barrier.ddl)["new"]])
                 names = [c for c, _ in m.columns]
         table.note(m.id, (number + 1) * STEPS - 1, position)
+        table.compact()  # only buckets of too many folders are rewritten
         self.catalog.applied(m, position, total, int(1000 * (time.monotonic() - began)))
 
     def _columns(self, m: Mapping, table, new: list[tuple[str, int]]) -> None:

@@ -465,9 +465,15 @@ def meta_groups(spark, sf_dir):
 
 @query(f"SELECT count(*) FILTER (WHERE coalesce(applied_lsn, snapshot_lsn) IS NULL) AS unknown, min(CASE WHEN state = 'CATCHUP' THEN greatest(coalesce(applied_lsn, 0), coalesce(snapshot_lsn, 0)) ELSE coalesce(applied_lsn, 0) END) AS confirmed_lsn FROM {MAPPING_SQL} WHERE enabled AND state IN ('CATCHUP', 'STREAMING')")
 def meta_confirmed_lsn(spark, sf_dir):
-    active = mappings(spark).where(F.col("enabled") & F.col("state").isin("CATCHUP", "STREAMING"))
-    known = F.greatest(F.coalesce("applied_lsn", F.lit(0)), F.when(F.col("state") == "CATCHUP", F.coalesce("snapshot_lsn", F.lit(0))).otherwise(0)).cast("bigint")
-    return active.agg(F.count_if(F.coalesce("applied_lsn", "snapshot_lsn").isNull()).alias("unknown"), F.min(known).alias("confirmed_lsn"))
+    """The position that tables in these states let the catalog confirm."""
+    from .catalog import Catalog
+
+    catalog = Catalog(spark, new_folder(spark, "confirm"))
+    for n, on, state, mode, snapshot, applied, seq, _, _ in MAPPINGS:
+        m = catalog.add_table(f"t{n}", [("id", 20)], ["id"], sync_mode=mode)
+        m.enabled, m.state, m.snapshot_lsn, m.applied_lsn, m.applied_seq = on, state, snapshot, applied, seq
+    unknown = sum(m.applied_lsn is None and m.snapshot_lsn is None for m in catalog.mappings.values() if m.enabled and m.state in ("CATCHUP", "STREAMING"))
+    return spark.createDataFrame([(unknown, catalog.confirm("default"))], "unknown bigint, confirmed_lsn bigint")
 
 
 @query(f"SELECT mapping_id, CASE WHEN coalesce(applied_lsn, snapshot_lsn) IS NOT NULL THEN greatest(1600000000 - coalesce(applied_lsn, snapshot_lsn), 0) END AS flush_lag_bytes, CAST(400000000 AS BIGINT) AS source_lag_bytes FROM {MAPPING_SQL}")
@@ -481,11 +487,17 @@ def meta_status_lag(spark, sf_dir):
 @query("SELECT * FROM (VALUES ('default', 5000, 50000, 4), ('g2', 5000, 100, 8), ('g2.orders', 2000, 100, 8)) t(scope, flush_interval_ms, flush_batch_threshold, max_concurrent_flushes)")
 def meta_config_resolved(spark, sf_dir):
     """The four tiers: default, global, group and table, the narrowest first."""
-    tiers = spark.createDataFrame([("default", json.dumps({}), json.dumps({})), ("g2", json.dumps({"flush_batch_threshold": 100, "max_concurrent_flushes": 8}), json.dumps({})), ("g2.orders", json.dumps({"flush_batch_threshold": 100, "max_concurrent_flushes": 8}), json.dumps({"flush_interval_ms": 2000}))], "scope string, group string, tab string")
-    from .config import KEYS
+    from .catalog import Catalog
 
-    pick = lambda key: F.coalesce(F.get_json_object("tab", f"$.{key}"), F.get_json_object("group", f"$.{key}"), F.lit(str(KEYS[key][1]))).cast("int").alias(key)
-    return tiers.select("scope", pick("flush_interval_ms"), pick("flush_batch_threshold"), pick("max_concurrent_flushes"))
+    catalog = Catalog(spark, new_folder(spark, "config"))
+    catalog.create_group("g2")
+    m = catalog.add_table("orders", [("id", 20)], ["id"], group="g2")
+    catalog.set_group_config("g2", "flush_batch_threshold", "100")
+    catalog.set_group_config("g2", "max_concurrent_flushes", "8")
+    catalog.set_table_config("orders", "flush_interval_ms", "2000", "g2")
+    again = Catalog(spark, catalog.root)  # as another process reads it
+    every = [("default", json.loads(again.get_group_config("default"))), ("g2", json.loads(again.get_group_config("g2"))), ("g2.orders", again.table_settings(again.mappings[m.id]))]
+    return spark.createDataFrame([(scope, s["flush_interval_ms"], s["flush_batch_threshold"], s["max_concurrent_flushes"]) for scope, s in every], "scope string, flush_interval_ms int, flush_batch_threshold int, max_concurrent_flushes int")
 
 
 @query("SELECT o_custkey AS k, stddev_pop(CAST(o_orderkey AS DOUBLE)) / avg(o_orderkey) > 0.3 AS unsteady, count(*) AS n FROM orders GROUP BY o_custkey HAVING avg(o_orderkey) > 0")
@@ -500,11 +512,11 @@ def correlated_count(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(n, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
-@query("WITH RECURSIVE t(id, up) AS (SELECT n_nationkey, n_regionkey FROM nation WHERE n_nationkey = 0 UNION ALL SELECT n.n_nationkey, n.n_regionkey FROM nation n JOIN t ON n.n_nationkey = t.id + 1 WHERE n.n_nationkey < 10) SELECT id, up FROM t")
+@query("WITH RECURSIVE t(id, up) AS (SELECT n_nationkey, n_regionkey FROM nation WHERE n_nationkey = 0 UNION ALL SELECT n.n_nationkey, n.n_regionkey FROM nation n JOIN t ON n.n_nationkey = t.id + 1) SELECT id, up FROM t")
 def partition_walk(spark, sf_dir):
     """A recursive walk, as over the children of a partitioned source."""
     table(spark, sf_dir, "nation").createOrReplaceTempView("_nation")
-    return spark.sql("WITH RECURSIVE t(id, up) AS (SELECT n_nationkey, n_regionkey FROM _nation WHERE n_nationkey = 0 UNION ALL SELECT n.n_nationkey, n.n_regionkey FROM _nation n JOIN t ON n.n_nationkey = t.id + 1 WHERE n.n_nationkey < 10) SELECT id, up FROM t")
+    return spark.sql("WITH RECURSIVE t(id, up) AS (SELECT n_nationkey, n_regionkey FROM _nation WHERE n_nationkey = 0 UNION ALL SELECT n.n_nationkey, n.n_regionkey FROM _nation n JOIN t ON n.n_nationkey = t.id + 1) SELECT id, up FROM t")
 
 
 @query("SELECT e.event_id, k.key, k.value FROM (SELECT event_id, props FROM events) e, (SELECT event_id AS id, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events) k WHERE k.id = e.event_id AND k.value IS NOT NULL")
@@ -522,3 +534,6 @@ def _window(spark, sf_dir):
 @query("SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders")
 def window_lag(spark, sf_dir):
     return _window(spark, sf_dir)
+
+
+from . import service_queries  # noqa: E402, F401  (adds its own to QUERIES and ORACLES)

@@ -275,3 +275,53 @@ def test_decoder_errors():
     with pytest.raises(wal.WalError):
         d.feed(1, b"I\0")
     assert d.feed(1, b"") == []
+
+
+def test_two_processes_keep_each_others_changes(spark, tmp_path):
+    one = Catalog(spark, str(tmp_path))
+    m = one.add_table("t", COLS, ["id"], copy_data=False)
+    two = Catalog(spark, str(tmp_path))
+    two.create_group("g2")
+    one.applied(m, (70, 1), 5, 1)
+    two.set_table_config("t", "flush_interval_ms", "300")
+    two.set_config("duckdb_threads", "3")
+    one.failed(m, "x")
+    again = Catalog(spark, str(tmp_path))
+    t = again.find("t")
+    assert (t.applied_lsn, t.failures, t.config, again.get_config("duckdb_threads")) == (70, 1, {"flush_interval_ms": 300}, "3") and "g2" in again.groups
+    two.drop_group("g2")
+    one.set_config("duckdb_threads", "4")
+    assert "g2" not in one.groups and Catalog(spark, str(tmp_path)).get_config("duckdb_threads") == "4"
+    assert one.find("t") is m
+
+
+def test_reading_waits_while_what_is_held_is_too_much(spark, tmp_path):
+    import threading
+
+    w = World(spark, str(tmp_path))
+    w.catalog.set_config("max_queued_bytes", "5")
+    w.catalog.set_config("drain_poll_ms", "20")
+    w.catalog.add_table("t", COLS, ["id"])
+    batch = lambda i, lsn: spark.createDataFrame([(lsn, 1, 1, "public.t", C.INSERT, [str(i), "long enough"], None, None, None)], wal.ROW)
+    w.runner.apply(batch(1, 10), 0)
+    assert w.runner.full()
+    waiting = threading.Thread(target=w.runner.apply, args=(batch(2, 20), 1))
+    waiting.start()
+    waiting.join(1)
+    assert waiting.is_alive() and w.read().count() == 0
+    w.runner.snapshot = lambda m: (spark.createDataFrame([], "id int, val string"), 0)
+    waiting.join(60)
+    assert not waiting.is_alive() and w.runner.pauses == 1 and rows(w.read(), "id") == [(1,), (2,)] and not w.runner.full()
+
+
+def test_worker_is_stopped_and_started(world):
+    world.catalog.add_table("t", COLS, ["id"], copy_data=False)
+    world.log.transaction(wal.encode_relation(R), wal.encode_insert(1, [1, "one"]))
+    q = world.runner.start(world.runner.changes(f"{world.root}/wal"), f"{world.root}/checkpoint")
+    q.processAllAvailable()
+    assert world.catalog.stop_worker("default") == 1 and not q.isActive and world.runner.query is None
+    world.log.transaction(wal.encode_insert(1, [2, "two"]))
+    assert world.catalog.start_worker("default") == 1
+    world.runner.query.processAllAvailable()
+    assert rows(world.read(), "id") == [(1,), (2,)]
+    world.catalog.stop_worker("default")

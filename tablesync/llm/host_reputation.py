@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import durable
+
 #: Fixed values: (host, path prefix, verdict) of the rules.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 Z = 1.645
@@ -63,6 +65,7 @@ def reputations(rows: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, float]
     hosts = rows.where("host <> ''").groupBy("host").agg(F.lit(0).alias("_")).drop("_").join(labelled, "host", "left").fillna(0, ["n", "bad"])
     labels = F.split("host", r"\.")
     hosts = hosts.withColumn("suffix", F.element_at(labels, -1)).withColumn("domain", F.concat_ws(".", F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), 2)))
+    hosts = durable(hosts, "hosts", few=True)  # a row a host; the levels above are sums of these
     total = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     rate = float((total.bad + 0.5) / (total.n + 1)) if total.n else 0.5
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("above", F.lit(rate))

@@ -43,7 +43,7 @@ WINDOW = 50
 #: Bytes of an anchor gram: longer ones are rarer by chance, shorter ones make fewer anchors.
 GRAM = 18
 #: Text bytes whose anchors meet in one task, of a group of documents, and of a shard's share of the text.
-MARK_BYTES, GROUP_BYTES, SHARD_BYTES = 4 << 20, 6 << 20, 2 << 20
+MARK_BYTES, GROUP_BYTES, SHARD_BYTES = 4 << 20, 4 << 20, 2 << 20
 #: Occurrences of a gram above which its windows go to shards by their own hash: they would fill a shard.
 HOT_SEGMENTS = SHARD_BYTES // (WINDOW + GRAM)
 #: Bytes of segments that a group compares at once.

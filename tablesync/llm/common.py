@@ -48,13 +48,15 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 def durable(df: DataFrame, name: str, lasts: bool = False, few: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back, so that later stages don't hang on lost executors.
 
-    few: sums and links, which are small against the texts; they go into a file a core at most. Every
-    file costs an executor a child process or two where Hadoop's native library is missing.
+    few: sums and links, which are small against the texts; they go into a file for four shuffle
+    partitions (or one a core, if that is more). Every file costs an executor a child process or two
+    where Hadoop's native library is missing.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     if _scratch and not lasts:
         _scratch[-1].append(path)
-    out = (df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism)) if few else df).write
+    files = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
+    out = (df.coalesce(files) if few else df).write
     # row groups of 16 MB bound a writer's memory; no file that only says that the job succeeded
     out.option("parquet.block.size", 16 << 20).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,9 +6,13 @@ physical names in the files), the folders of each source and bucket, and how far
 got. A reader takes one version, so it sees all of a commit or nothing. Renaming or dropping a column,
 truncating or dropping a source only write a commit.
 
-Upserts are copy-on-write by bucket: rows are dealt to buckets by a hash of the key, and a batch
-rewrites the buckets that its keys fall into and no others. Insert-only batches whose keys are all
-above the source's greatest one add files and rewrite nothing.
+Rows are dealt to buckets by a hash of the key. An upsert into a source that has rows writes a delta:
+the last change of each of the batch's keys, deletes marked. So it costs the batch and not the table,
+and reads no rows. Insert-only batches whose keys are all above the source's greatest one add files to
+the buckets instead. Readers take the newest row of each key from the deltas and the rest from the
+buckets, by an anti join on the key. `compact` bounds what they merge: runs of deltas of like size
+become one, and deltas that together reach a share of the source are folded into the buckets that
+their keys fall into, so a row is rewritten once per that share of changes and not once a batch.
 """
 
 from __future__ import annotations
@@ -18,20 +22,28 @@ import time
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.changes import INSERT, LSN, OP, SEQ, SOURCE, live
+from ..operators.changes import INSERT, LSN, OP, SEQ, SOURCE, UPDATE, live
 from ..operators.compact import last_per_key
 from .store import Store
 
 BUCKETS = 16
 TRIES = 10
 FIRST_WAIT_S = 0.1
-#: Folders of one bucket above which `compact` rewrites it.
+#: Folders of one bucket above which `compact` rewrites it, and deltas of a source above which it merges some.
 MOST_FOLDERS = 8
+#: Fewest deltas that are merged into one.
+RUN = 4
+#: `compact` folds a source's deltas once they hold a 1/FOLD_SHARE of its bytes, and FOLD_BYTES at least.
+FOLD_SHARE = 10
+FOLD_BYTES = 16 << 20
+#: Marks a delta's rows that are deletes.
+GONE = "_gone"
 
 
 class CommitConflict(RuntimeError):
@@ -40,7 +52,7 @@ class CommitConflict(RuntimeError):
 
 @dataclass
 class Version:
-    """What one commit says. parts: source, bucket, folders; txn: mapping to batch, lsn, seq; top: source to its greatest single key."""
+    """What one commit says. parts: source, bucket, folders; deltas: source to folders and their bytes, oldest first; size: source to the bytes of its buckets, about; txn: mapping to batch, lsn, seq; top: source to its greatest single key."""
 
     number: int
     columns: list[dict]
@@ -49,6 +61,8 @@ class Version:
     buckets: int = BUCKETS
     next_id: int = 1
     parts: dict[str, dict[str, list[str]]] = field(default_factory=dict)
+    deltas: dict[str, list[list]] = field(default_factory=dict)
+    size: dict[str, int] = field(default_factory=dict)
     txn: dict[str, dict] = field(default_factory=dict)
     top: dict[str, object] = field(default_factory=dict)
     what: str = "create"
@@ -58,6 +72,25 @@ class Version:
     def names(self) -> list[str]:
         return [c["name"] for c in self.columns]
 
+    @property
+    def physical_keys(self) -> list[str]:
+        return [f"c{c['id']}" for k in self.keys for c in self.columns if c["name"] == k]
+
+    def holds(self, source: str) -> bool:
+        return bool(self.parts.get(source) or self.deltas.get(source))
+
+    def set_rows(self, source: str, parts: dict[str, list[str]], size: int) -> None:
+        """All rows of a source are those in these folders."""
+        self.parts[source], self.size[source] = parts, size
+        self.deltas.pop(source, None)
+
+    def drop_rows(self, source: str) -> None:
+        for of in (self.parts, self.deltas, self.size, self.top):
+            of.pop(source, None)
+
+    def folders(self) -> list[str]:
+        return [f for by in self.parts.values() for fs in by.values() for f in fs] + [f for ds in self.deltas.values() for f, _ in ds]
+
 
 class LakeTable:
     def __init__(self, spark: SparkSession, root: str):
@@ -107,7 +140,7 @@ class LakeTable:
         raise CommitConflict(f"{self.root}: {TRIES} commits lost to other writers")
 
     def history(self) -> DataFrame:
-        rows = [(v.number, v.what, sum(len(f) for b in v.parts.values() for f in b.values()), json.dumps(v.txn)) for v in map(self.version, self.versions())]
+        rows = [(v.number, v.what, len(v.folders()), json.dumps(v.txn)) for v in map(self.version, self.versions())]
         return self.spark.createDataFrame(rows, "version bigint, operation string, folders bigint, txn string")
 
     # -- reading
@@ -117,17 +150,44 @@ class LakeTable:
         system = [f"{SOURCE} string"] + ([f"{OP} string", f"{LSN} bigint", f"{SEQ} bigint"] if v.mode == "append" else [])
         return T.StructType.fromDDL(", ".join(own + system))
 
-    def _folders(self, v: Version, folders: list[str]) -> DataFrame:
-        if not folders:
-            return self.spark.createDataFrame([], self.schema(v))
-        raw = self.spark.read.schema(self.schema(v, True)).parquet(*[f"{self.root}/data/{f}" for f in folders])
+    def _raw(self, v: Version, folders: list[str], marked: bool = False) -> DataFrame:
+        """Rows of folders under physical names."""
+        schema = self.schema(v, True)
+        if marked:
+            schema = schema.add(GONE, "boolean")
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/data/{f}" for f in folders]) if folders else self.spark.createDataFrame([], schema)
+
+    def _named(self, v: Version, raw: DataFrame) -> DataFrame:
         return raw.select(*[F.col(f"c{c['id']}").alias(c["name"]) for c in v.columns], *[c for c in self.schema(v).names if c not in v.names])
 
+    def _bucket(self, v: Version, physical: bool = False) -> F.Column:
+        kinds = {c["name"]: (f"c{c['id']}" if physical else c["name"], c["type"]) for c in v.columns}
+        return F.pmod(F.xxhash64(*[F.col(f"`{kinds[k][0]}`").cast(kinds[k][1]) for k in v.keys]), F.lit(v.buckets)).cast("int")
+
+    def _newest(self, v: Version, deltas: list[list]) -> DataFrame:
+        """The newest change of each key of some deltas of one source, under physical names."""
+        if len(deltas) == 1:
+            return self._raw(v, [deltas[0][0]], True)
+        rows = reduce(DataFrame.unionByName, [self._raw(v, [f], True).withColumn("_age", F.lit(i)) for i, (f, _) in enumerate(deltas)])
+        turn = F.row_number().over(Window.partitionBy(*v.physical_keys).orderBy(F.desc("_age")))
+        return rows.withColumn("_turn", turn).where("_turn = 1").drop("_turn", "_age")
+
+    def _merged(self, v: Version, folders: list[str], deltas: list[list], buckets: list[int] | None = None) -> DataFrame:
+        """Rows of one source after its deltas, under physical names."""
+        newest = self._newest(v, deltas)
+        if buckets is not None:
+            newest = newest.where(self._bucket(v, True).isin(buckets))
+        fresh = newest.where(~F.col(GONE)).drop(GONE)
+        return self._raw(v, folders).join(newest.select(*v.physical_keys), v.physical_keys, "left_anti").unionByName(fresh) if folders else fresh
+
     def read(self, version: int | None = None, source: str | None = None, buckets: list[int] | None = None) -> DataFrame:
         """The rows of a version (time travel), of one source or bucket if asked: other folders aren't opened."""
         v = self.version(version)
-        folders = [f for s, by in v.parts.items() if source is None or s == source for b, fs in by.items() if buckets is None or int(b) in buckets for f in fs]
-        return self._folders(v, folders)
+        wanted = lambda s: [f for b, fs in v.parts.get(s, {}).items() if buckets is None or int(b) in buckets for f in fs]
+        sources = [s for s in sorted({*v.parts, *v.deltas}) if source is None or s == source]
+        plain = [f for s in sources if not v.deltas.get(s) for f in wanted(s)]
+        merged = [self._merged(v, wanted(s), v.deltas[s], buckets) for s in sources if v.deltas.get(s)]
+        return self._named(v, reduce(DataFrame.unionByName, ([self._raw(v, plain)] if plain or not merged else []) + merged))
 
     # -- writing
 
@@ -143,8 +203,25 @@ class LakeTable:
         out.write.parquet(path)
         return {"0": [name]}
 
+    def _write_delta(self, v: Version, raw: DataFrame) -> list:
+        """Writes the newest change of each key, under physical names; the folder and its bytes."""
+        name = uuid.uuid4().hex
+        raw.write.parquet(f"{self.root}/data/{name}")
+        return [name, self.store.size(f"data/{name}")]
+
+    def _delta(self, v: Version, last: DataFrame, label: str) -> tuple[list, int]:
+        """Writes a batch's last changes; the folder and its bytes, and how many changes there are."""
+        seen = Observation()
+        gone = ~F.col("op").isin(INSERT, UPDATE)
+        raw = last.select(*[F.col(f"`{c['name']}`").cast(c["type"]).alias(f"c{c['id']}") for c in v.columns], F.lit(label).alias(SOURCE), gone.alias(GONE))
+        made = self._write_delta(v, raw.observe(seen, F.count(F.lit(1)).alias("n")))
+        return made, seen.get["n"]
+
+    def _size(self, parts: dict[str, list[str]]) -> int:
+        return sum(self.store.size(f"data/{n}") for n in {f.split("/")[0] for fs in parts.values() for f in fs})
+
     def _bucketed(self, v: Version, rows: DataFrame) -> DataFrame:
-        return rows.withColumn("_bucket", F.pmod(F.xxhash64(*v.keys), F.lit(v.buckets)).cast("int"))
+        return rows.withColumn("_bucket", self._bucket(v))
 
     def applied(self, mapping: str) -> dict | None:
         return self.version().txn.get(mapping)
@@ -167,9 +244,11 @@ class LakeTable:
                 if c not in rows.columns:
                     rows = rows.withColumn(c, {OP: F.lit("I"), LSN: F.lit(position[0] if position else 0), SEQ: F.lit(0)}[c].cast(kind))
         parts = self._write(v, self._bucketed(v, rows) if v.mode == "upsert" else rows, label, v.mode == "upsert")
+        size = self._size(parts)
 
         def change(new: Version) -> Version:
-            new.parts[label], new.what = parts, "replace"
+            new.set_rows(label, parts, size)
+            new.what = "replace"
             new.top.pop(label, None)
             self._note(new, mapping, None, position)
             return new
@@ -199,44 +278,40 @@ class LakeTable:
             v = self.version()
             if self._done(v, mapping, batch):
                 return v
-            last = self._bucketed(v, last_per_key(changes, v.keys)).persist()
-            try:
-                by = {r["_bucket"]: r for r in last.groupBy("_bucket").agg(F.count_if(F.col("op") != INSERT).alias("other"), *([F.min(v.keys[0]).alias("low"), F.max(v.keys[0]).alias("high")] if len(v.keys) == 1 else [])).collect()}
-                touched = sorted(by)
-                high = max((r["high"] for r in by.values() if len(v.keys) == 1 and isinstance(r["high"], int)), default=None)
-                only_new = bool(by) and high is not None and not any(r["other"] for r in by.values()) and (not v.parts.get(label) or (label in v.top and min(r["low"] for r in by.values()) > v.top[label]))
-                fresh = live(last).select(*v.names, "_bucket")
-                if only_new:
-                    rows = fresh
-                else:
-                    held = [f for b in touched for f in v.parts.get(label, {}).get(str(b), [])]
-                    kept = self._bucketed(v, self._folders(v, held)).join(last.select(*v.keys), v.keys, "left_anti")
-                    rows = kept.select(*v.names, "_bucket").unionByName(fresh)
-                parts = self._write(v, rows, label, True) if touched else {}
-            finally:
-                last.unpersist()
-
-            def change(new: Version, v=v, parts=parts, touched=touched, only_new=only_new, high=high) -> Version | None:
+            held, parts, delta, high, low, other = v.holds(label), {}, None, None, None, 0
+            last = last_per_key(changes, v.keys)
+            if held and (len(v.keys) > 1 or label not in v.top):
+                delta, n = self._delta(v, last, label)
+            else:
+                last = last.persist()
+                try:
+                    n, other, low, high = last.agg(F.count("*"), F.count_if(F.col("op") != INSERT), F.min(v.keys[0]), F.max(v.keys[0])).first()
+                    if len(v.keys) > 1 or not isinstance(high, int):
+                        low = high = None
+                    if n and (not held or (high is not None and not other and low > v.top[label])):
+                        parts = self._write(v, self._bucketed(v, live(last).select(*v.names)), label, True)
+                    elif n:
+                        delta, _ = self._delta(v, last, label)
+                finally:
+                    last.unpersist()
+            size = self._size(parts)
+
+            def change(new: Version, v=v, parts=parts, delta=delta, n=n, high=high, size=size) -> Version | None:
                 if self._done(new, mapping, batch):
                     return None
-                if new.parts.get(label) != v.parts.get(label) or new.columns != v.columns:
+                if new.columns != v.columns or (not delta and new.parts.get(label) != v.parts.get(label)) or (not delta and new.deltas.get(label) != v.deltas.get(label)):
                     raise CommitConflict  # another writer of the same source: read again
-                mine = new.parts.setdefault(label, {})
-                for b in map(str, touched):
-                    if only_new:
-                        mine[b] = mine.get(b, []) + parts.get(b, [])
-                    elif b in parts:
-                        mine[b] = parts[b]
-                    else:
-                        mine.pop(b, None)
-                if only_new or not v.parts.get(label):
-                    new.top[label] = max(high, new.top[label]) if label in new.top and high is not None else high
-                    if high is None:
-                        new.top.pop(label)
-                elif label in new.top and high is not None:
-                    new.top[label] = max(new.top[label], high)
-                else:
-                    new.top.pop(label, None)
+                if delta and n:
+                    new.deltas.setdefault(label, []).append(delta)
+                for b, folders in parts.items():
+                    new.parts.setdefault(label, {}).setdefault(b, []).extend(folders)
+                new.size[label] = new.size.get(label, 0) + size
+                if not v.holds(label):
+                    new.top[label] = high
+                elif label in new.top and n:
+                    new.top[label] = None if high is None else max(new.top[label], high)
+                if new.top.get(label, 0) is None:
+                    del new.top[label]
                 new.what = "upsert"
                 self._note(new, mapping, batch, position)
                 return new
@@ -266,8 +341,7 @@ class LakeTable:
         def change(new: Version) -> Version | None:
             if self._done(new, mapping, batch):
                 return None
-            new.parts.pop(label, None)
-            new.top.pop(label, None)
+            new.drop_rows(label)
             if forget:
                 new.txn.pop(mapping, None)
             else:
@@ -279,7 +353,7 @@ class LakeTable:
 
     def truncate(self) -> Version:
         def change(new: Version) -> Version:
-            new.parts, new.top, new.txn, new.what = {}, {}, {}, "truncate"
+            new.parts, new.deltas, new.size, new.top, new.txn, new.what = {}, {}, {}, {}, {}, "truncate"
             return new
 
         return self.commit(change)
@@ -317,17 +391,70 @@ class LakeTable:
 
         return self.commit(change)
 
+    def _fold(self, v: Version, label: str) -> None:
+        """Puts a source's deltas into the buckets that their keys fall into."""
+        deltas, parts = v.deltas[label], v.parts.get(label, {})
+        touched = [str(r[0]) for r in self._newest(v, deltas).select(self._bucket(v, True)).distinct().collect()]
+        was = {b: parts.get(b, []) for b in touched}
+        rows = self._named(v, self._merged(v, [f for fs in was.values() for f in fs], deltas))
+        made = self._write(v, self._bucketed(v, rows), label, True)
+        size = int(v.size.get(label, 0) * (1 - len(touched) / v.buckets)) + self._size(made)
+
+        def change(new: Version) -> Version | None:
+            now = new.parts.setdefault(label, {})
+            if new.deltas.get(label, [])[: len(deltas)] != deltas or new.buckets != v.buckets or any(now.get(b, [])[: len(fs)] != fs for b, fs in was.items()):
+                return None
+            for b, fs in was.items():
+                now[b] = made.get(b, []) + now.get(b, [])[len(fs) :]
+                if not now[b]:
+                    del now[b]
+            new.deltas[label] = new.deltas[label][len(deltas) :]
+            new.size[label], new.what = size, "fold"
+            return new
+
+        self.commit(change)
+
+    def _merge_run(self, v: Version, label: str) -> None:
+        """Makes one delta of the newest ones that are of like size."""
+        deltas = v.deltas[label]
+        at, total = len(deltas) - 1, deltas[-1][1]
+        while at and (len(deltas) - at < RUN or deltas[at - 1][1] <= 2 * total):
+            at -= 1
+            total += deltas[at][1]
+        run = deltas[at:]
+        if len(run) < 2:
+            return
+        made = self._write_delta(v, self._newest(v, run))
+
+        def change(new: Version) -> Version | None:
+            now = new.deltas.get(label, [])
+            if now[: len(deltas)] != deltas or new.columns != v.columns:
+                return None
+            new.deltas[label] = now[:at] + [made] + now[len(deltas) :]
+            new.what = "merge deltas"
+            return new
+
+        self.commit(change)
+
     def compact(self, most: int = MOST_FOLDERS) -> Version:
-        """Rewrites buckets of more than `most` folders into one folder each."""
+        """Folds a source's deltas once they are a share of it, else merges some if they are more than `most`;
+        rewrites buckets of more than `most` folders into one folder each."""
+        v = self.version()
+        for label, deltas in v.deltas.items():
+            size = sum(n for _, n in deltas)
+            if size >= FOLD_BYTES and size * FOLD_SHARE >= v.size.get(label, 0):
+                self._fold(v, label)
+            elif len(deltas) > most:
+                self._merge_run(v, label)
         v = self.version()
         made: dict[tuple[str, str], tuple[list[str], list[str]]] = {}
         for label, by in v.parts.items():
             crowded = {b: fs for b, fs in by.items() if len(fs) > most}
             if crowded and v.mode == "upsert":
-                new = self._write(v, self._bucketed(v, self._folders(v, [f for fs in crowded.values() for f in fs])), label, True)
+                new = self._write(v, self._bucketed(v, self._named(v, self._raw(v, [f for fs in crowded.values() for f in fs]))), label, True)
                 made |= {(label, b): (fs, new.get(b, [])) for b, fs in crowded.items()}
             elif crowded:
-                made[label, "0"] = (crowded["0"], self._write(v, self._folders(v, crowded["0"]), label, False)["0"])
+                made[label, "0"] = (crowded["0"], self._write(v, self._named(v, self._raw(v, crowded["0"])), label, False)["0"])
 
         def change(new: Version) -> Version | None:
             for (label, b), (was, now) in made.items():
@@ -346,19 +473,21 @@ class LakeTable:
         if v.mode != "upsert":
             raise ValueError("append tables have no buckets")
         v.buckets = buckets
-        parts = {label: self._write(v, self._bucketed(v, self._folders(v, [f for fs in by.values() for f in fs])), label, True) for label, by in v.parts.items()}
+        parts = {label: self._write(v, self._bucketed(v, self.read(v.number, label)), label, True) for label in {*v.parts, *v.deltas}}
 
         def change(new: Version) -> Version:
             if new.number != v.number:
                 raise CommitConflict(f"{self.root} was written while its buckets were dealt anew")
-            new.parts, new.buckets, new.what = parts, buckets, "rebucket"
+            for label, made in parts.items():
+                new.set_rows(label, made, self._size(made))
+            new.buckets, new.what = buckets, "rebucket"
             return new
 
         return self.commit(change)
 
     def vacuum(self, keep_versions: int = 1) -> int:
         """Deletes folders that none of the last versions names; returns how many."""
-        named = {f.split("/")[0] for n in self.versions()[-keep_versions:] for by in self.version(n).parts.values() for fs in by.values() for f in fs}
+        named = {f.split("/")[0] for n in self.versions()[-keep_versions:] for f in self.version(n).folders()}
         gone = [n for n in self.store.names("data") if n not in named]
         for n in gone:
             self.store.delete(f"data/{n}")

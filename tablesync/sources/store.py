@@ -22,6 +22,10 @@ class Store:
         p = self._Path(self.path(folder))
         return sorted(s.getPath().getName() for s in self._fs.listStatus(p)) if self._fs.exists(p) else []
 
+    def size(self, name: str) -> int:
+        """Bytes of a file or of all files in a folder."""
+        return int(self._fs.getContentSummary(self._Path(self.path(name))).getLength())
+
     def exists(self, name: str) -> bool:
         return bool(self._fs.exists(self._Path(self.path(name))))
 

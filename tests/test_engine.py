@@ -252,6 +252,62 @@ def test_lake_versions(spark, tmp_path):
         t.drop_column("id")
 
 
+def test_deltas_against_a_dictionary(spark, tmp_path, monkeypatch):
+    """Batches of random changes, compacted in between, against a dictionary; two sources of one target."""
+    import random
+
+    from tablesync.sources import lake
+
+    monkeypatch.setattr(lake, "FOLD_BYTES", 0)
+    draw = random.Random(7)
+    t = LakeTable.create(spark, f"{tmp_path}/t", [("id", "bigint"), ("val", "string")], ["id"], buckets=4)
+    t.replace(spark.range(300).selectExpr("id", "'x' val"), "a", "a", (0, 0))
+    want = {("a", i): "x" for i in range(300)}
+    seen = []
+    for n in range(12):
+        monkeypatch.setattr(lake, "FOLD_SHARE", 1 if n == 8 else 0)
+        label, batch = draw.choice("aab"), []
+        for seq in range(draw.randrange(1, 30)):
+            op, key = draw.choice((0, 1, 2)), draw.randrange(330)
+            batch.append((n, seq, op, key, f"{n}.{seq}"))
+            if op == 2:
+                want.pop((label, key), None)
+            else:
+                want[label, key] = f"{n}.{seq}"
+        t.upsert(spark.createDataFrame(batch, "lsn bigint, seq bigint, op int, id int, val string"), label, label, n, (n, 99))
+        seen.append((t.version().number, dict(want)))
+        if n in (5, 8, 10):
+            t.compact(1)
+    for number, then in [*seen[::4], (None, want)]:
+        assert rows(t.read(number), "_source", "id", "val") == sorted((s, i, v) for (s, i), v in then.items())
+    one = rows(t.read(source="a", buckets=[2]), "id") + rows(t.read(source="a", buckets=[0, 1, 3]), "id")
+    assert sorted(one) == [(i,) for s, i in sorted(want) if s == "a"]
+    assert {"fold", "merge deltas"} <= {r.operation for r in t.history().collect()}
+    t.rename_column("val", "value")
+    t.add_column("more", "int")
+    t.upsert(spark.createDataFrame([(50, 1, 1, 3, "z", 5), (50, 2, 0, 1000, "y", 6)], "lsn bigint, seq bigint, op int, id int, value string, more int"), "a", "a", 50, (50, 2))
+    assert t.read(source="a").where("id = 3 OR id = 1000").selectExpr("sum(more) s", "max(value) v").first() == (11, "z")
+    t.upsert(spark.createDataFrame([], "lsn bigint, seq bigint, op int, id int, value string, more int"), "a", "a", 51, (51, 0))
+    assert t.version().txn["a"]["batch"] == 51
+    t.drop_source("a")
+    assert t.read(source="a").count() == 0 and t.read().count() == sum(s == "b" for s, _ in want)
+    t.truncate()
+    assert t.read().count() == 0
+
+
+def test_a_flush_costs_its_batch(spark, tmp_path):
+    """Updates of random keys write bytes in proportion to the batch and rewrite no bucket."""
+    t = LakeTable.create(spark, f"{tmp_path}/t", [("id", "bigint"), ("val", "string")], ["id"])
+    t.replace(spark.range(400_000).selectExpr("id", "sha2(cast(id AS string), 256) val"), "a", "a", (0, 0))
+    base = t.version()
+    changes = spark.range(1000).selectExpr("1L lsn", "id seq", "1 op", "id * 397 AS id", "'new' val")
+    t.upsert(changes, "a", "a", 1, (1, 1))
+    t.compact()
+    now = t.version()
+    assert now.parts == base.parts and sum(n for _, n in now.deltas["a"]) * 100 < base.size["a"]
+    assert t.read().where("val = 'new'").count() == 1000 and t.read().count() == 400_000
+
+
 def test_key_change_and_shared_position(spark):
     log = spark.createDataFrame([(1, 1, 0, 1, None, "a"), (2, 1, 1, 5, 1, "b"), (2, 2, 1, 5, None, "c")], "lsn bigint, seq bigint, op int, id int, old_id int, val string")
     from tablesync.operators.compact import last_per_key

@@ -1,7 +1,8 @@
 """Prints one JSON line: seconds of the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
 Each query is written to Spark's noop sink: once to warm up, then the faster of two runs. Rates that
-compare with a row store's snapshots and flushes are given beside them.
+compare with a row store's snapshots and flushes are given beside them: medians of five flushes of a size, then
+a read that merges their deltas, the compaction and a read behind it.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from tablesync import queries as engine
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
+#: Rows of the flushes that are timed.
+FLUSHES = (500, 1_750, 4_250, 50_000)
 HEADLINE = [
     "cdc_compact", "cdc_upsert_from_empty", "cdc_upsert_on_snapshot", "lake_upsert_batches", "lake_append_redelivered", "cdc_append_log", "cdc_append_dedup", "cdc_truncate_barrier", "cdc_fan_in_scoped_delete", "cdc_resync_one_source", "cdc_key_change", "cdc_skip_filter", "cdc_consistency_values", "cdc_batches", "composite_pk_compact", "ddl_sequence", "route_join", "route_cte",
 ]
@@ -36,20 +39,35 @@ def main() -> None:
             times.append(time.perf_counter() - began)
         taken[name] = round(min(times[1:]), 3)
     rates = {}
-    orders = engine.orders(spark, SF_DIR).persist()
+    orders = engine.orders(spark, SF_DIR)  # not cached: reading the source counts
     n = orders.count()
-    for what, rows in (("snapshot", n), ("flush_50k", min(n, 50_000))):
-        table = engine.lake_table(spark, engine.ORDER_TYPES, ["o_orderkey"])
-        table.replace(orders, "a", "a", (0, 0))
-        changes = orders.limit(rows).selectExpr("cast(1 as bigint) lsn", "o_orderkey seq", "1 op", "*").persist()
-        changes.count()
+    table = engine.lake_table(spark, engine.ORDER_TYPES, ["o_orderkey"])
+    table.replace(orders, "a", "a", (0, 0))
+    began = time.perf_counter()
+    table.replace(orders, "a", "a", (1, 0))
+    rates["snapshot_s"] = round(time.perf_counter() - began, 3)
+    rates["snapshot_rows_per_s"] = round(n / (time.perf_counter() - began))
+    for rows in FLUSHES:
+        # updates spread over all keys, read from files, as many as the baseline's flushes have
+        step = max(1, n // rows)
+        folder = engine.new_folder(spark, "bench")
+        orders.selectExpr("cast(1 as bigint) lsn", "o_orderkey seq", "1 op", "*").where(f"pmod(xxhash64(o_orderkey), {step}) = 0").limit(rows).write.parquet(folder)
+        changes = spark.read.parquet(folder)
+        size = changes.count()
+        times = []
+        for k in range(5):
+            began = time.perf_counter()
+            table.upsert(changes, "a", "a", 10 * rows + k, (1, 1))
+            times.append(time.perf_counter() - began)
+        median = sorted(times)[2]
+        rates[f"flush_{rows}_s"] = round(median, 3)
+        rates[f"flush_{rows}_rows_per_s"] = round(size / median)
+    for what, step in (("merged", table.read), ("compact", table.compact), ("read_after_compact", table.read)):
         began = time.perf_counter()
-        if what == "snapshot":
-            table.replace(orders, "a", "a", (1, 0))
-        else:
-            table.upsert(changes, "a", "a", 1, (1, 1))
+        got = step()
+        if what != "compact":
+            got.write.format("noop").mode("overwrite").save()
         rates[f"{what}_s"] = round(time.perf_counter() - began, 3)
-        rates[f"{what}_rows_per_s"] = round(rows / max(1e-9, time.perf_counter() - began))
     print(json.dumps({"metric": "total_seconds_of_headline_queries", "value": round(sum(taken.values()), 3), "unit": "sec", "queries": taken, "rates": rates, "sf": SF_DIR.rsplit("sf", 1)[-1]}))
     spark.stop()
 

@@ -2,7 +2,7 @@
 
 The text is bytes with segments that each end in a 0; order and common prefixes count up to `depth`
 symbols and never reach past a segment's end. S* suffixes (those at a descent's end) are sorted as
-tuples of 8-symbol words; they induce the L suffixes in one ascending scan, and these the S suffixes
+tuples of words of 8 symbols or a few less; they induce the L suffixes in one ascending scan, and these the S suffixes
 in one descending scan. Scans work on queues keyed by first symbol whose entries come in order:
 suffix positions with the common prefix to the entry before. The common prefix of two suffixes
 induced one after another is one more than the least value scanned between the inducing ones.
@@ -62,19 +62,19 @@ class RangeMin:
     """Minima of ranges of a uint8 array, by a sparse table; `longest` is the longest range that is asked for."""
 
     def __init__(self, a: np.ndarray, longest: int):
-        self.table = np.full((max(1, int(longest).bit_length()), len(a)), NONE, np.uint8)
-        self.table[0] = a
-        for k in range(1, len(self.table)):
-            n, half = len(a) - (1 << k) + 1, 1 << (k - 1)
-            np.minimum(self.table[k - 1, :n], self.table[k - 1, half : half + n], out=self.table[k, :n])
+        self.width, levels = len(a), max(1, int(longest).bit_length())
+        self.table = np.full(levels * len(a), NONE, np.uint8)  # level after level
+        self.table[: len(a)] = a
+        for k in range(1, levels):
+            n, half, at = len(a) - (1 << k) + 1, 1 << (k - 1), k * len(a)
+            low = self.table[at - len(a) : at]
+            np.minimum(low[:n], low[half : half + n], out=self.table[at : at + n])
 
     def __call__(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """min a[lo:hi] for each pair; NONE where empty."""
-        n = hi - lo
-        some = n > 0
-        level = np.frexp(np.maximum(n, 1).astype(np.float64))[1] - 1
-        left = np.where(some, lo, 0)
-        return np.where(some, np.minimum(self.table[level, left], self.table[level, np.where(some, hi - (1 << level), 0)]), NONE).astype(np.uint8)
+        """min a[lo:hi] for each pair; none of them empty."""
+        level = ((hi - lo).astype(np.float64).view(np.int64) >> 52) - 1023  # a double's exponent
+        at = level * self.width
+        return np.minimum(self.table.take(at + lo), self.table.take(at + hi - (1 << level)))
 
 
 class Inducer:
@@ -103,56 +103,56 @@ class Inducer:
         lo[starts] = 0
         ends = np.append(starts[1:], len(at))
         tails = at[ends - 1] + 1
-        ranges = RangeMin(common, max(int((at + 1 - lo).max()), m - int(tails.min())))
+        # a value that is never the least stands behind the last, so that no range is empty
+        ranges = RangeMin(np.append(common, np.uint8(NONE)), max(int((at + 1 - lo).max()), m + 1 - int(tails.min())))
         value = ranges(lo, at + 1)
         value[starts] = np.minimum(value[starts], self.carry[symbols[starts]])
-        value = np.minimum(value.astype(np.int16) + 1, self.depth).astype(np.uint8)
+        value = np.minimum(value, np.uint8(self.depth - 1)) + np.uint8(1)
         np.minimum(self.carry, low, out=self.carry)
-        self.carry[symbols[starts]] = ranges(tails, np.full(len(ends), m))
+        self.carry[symbols[starts]] = ranges(tails, np.full(len(ends), m + 1))
         for a, b in zip(starts, ends, strict=True):
             self.queue.push(int(symbols[a]), positions[a:b], value[a:b])
 
 
 _mask = np.array([0] + [((1 << 64) - 1) ^ ((1 << (64 - 8 * k)) - 1) for k in range(1, 8)] + [(1 << 64) - 1], np.uint64)
+_above = np.array([1 << 8 * k for k in range(8)], np.uint64)  # the least number of more than k bytes
 
 
 def sort_tuples(words: np.ndarray, left: np.ndarray, positions: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in order of their next `depth` symbols (within segments), and common prefixes to the one before; words: the 8 symbols from each place, as one number."""
-    n = len(positions)
-    common = np.zeros(n, np.uint8)
-    order = np.arange(n)
-    group = np.zeros(n, np.int64)  # of what is in the same place so far, by place
-    open_ = np.arange(n)  # places still to be ordered
-    for k in range(0, depth, 8):
-        pos = positions[order[open_]]
-        word = words[np.minimum(pos + k, len(words) - 1)].astype(np.uint64)
-        word &= _mask[np.clip(left[pos] - k, 0, 8)]
-        by = np.lexsort((word, group[open_])) if k else np.argsort(word, kind="stable")
-        order[open_], word = order[open_][by], word[by]
-        same_group = np.zeros(len(open_), bool)
-        same_group[1:] = (group[open_][1:] == group[open_][:-1]) & (open_[1:] == open_[:-1] + 1)
-        differ = np.ones(len(open_), bool)
-        differ[1:] = word[1:] != word[:-1]
-        x = np.zeros(len(open_), np.uint64)
-        x[1:] = word[1:] ^ word[:-1]
-        settled = np.flatnonzero(same_group & differ)
-        common[open_[settled]] = k + (x[settled].astype(">u8").view(np.uint8).reshape(-1, 8) != 0).argmax(1)
-        head = ~same_group | differ
-        group[open_] = open_[np.maximum.accumulate(np.where(head, np.arange(len(open_)), 0))]
-        tied = np.zeros(len(open_), bool)
-        tied[:-1] |= ~head[1:]
-        tied |= ~head
-        ends = left[positions[order[open_]]] < k + 8  # equal words with an end in them stay tied
-        over = np.flatnonzero(tied & ~head & ends)
-        common[open_[over]] = np.minimum(depth, left[positions[order[open_[over]]]])
-        last = np.flatnonzero(tied & ~head)
-        if k + 8 >= depth:
-            common[open_[last]] = np.minimum(depth, left[positions[order[open_[last]]]])
-            break
-        open_ = open_[tied & ~ends]
-        if not len(open_):
-            break
-    return positions[order], np.minimum(common, depth)
+    """Positions in order of their next `depth` symbols (within segments), and common prefixes to the one before; words: the 8 symbols from each place, as one number.
+
+    What is equal so far is a group. A round orders all groups by one number an entry: the group's, and
+    behind it as many of the next symbols as there is room for.
+    """
+    out, common = positions.copy(), np.zeros(len(positions), np.uint8)
+    pos, place = positions, np.arange(len(positions))  # still to be ordered, and where they go
+    group, groups, k = np.zeros(len(positions), np.uint64), 1, 0
+    while len(pos):
+        take = (64 - (groups - 1).bit_length()) // 8
+        key = words[np.minimum(pos + k, len(words) - 1)].astype(np.uint64)
+        key &= _mask[np.clip(left[pos] - k, 0, 8)]
+        if take < 8:
+            key >>= np.uint64(64 - 8 * take)
+            key |= group << np.uint64(8 * take)
+        by = np.argsort(key)
+        pos, key = pos[by], key[by]
+        out[place] = pos
+        x = key[1:] ^ key[:-1]
+        settled = np.flatnonzero((x != 0) & (x < _above[take]) if take < 8 else x) + 1  # differ within their group
+        common[place[settled]] = np.minimum(k + take - np.searchsorted(_above[:take], x[settled - 1], "right"), depth)
+        tie = np.flatnonzero(x == 0) + 1
+        k += take
+        rest = left[pos[tie]]
+        over = (rest < k) | (k >= depth)  # equal words with an end in them stay tied
+        common[place[tie[over]]] = np.minimum(rest[over], depth)
+        more = np.zeros(len(pos), bool)
+        more[tie[~over]] = True
+        head = ~more
+        more[tie[~over] - 1] = True
+        group = np.cumsum(head[more]).astype(np.uint64)
+        groups = int(group[-1]) + 1 if len(group) else 1
+        pos, place = pos[more], place[more]
+    return out, common
 
 
 def suffix_buckets(text: np.ndarray, depth: int, folder: str, memory: int = 64 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -171,7 +171,7 @@ def suffix_buckets(text: np.ndarray, depth: int, folder: str, memory: int = 64 <
     small[text == 0] = True
     runs = (last_of_run[run_of] - np.arange(n) + 1).astype(np.int32)
     ends = np.flatnonzero(text == 0)
-    left = (ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)).astype(np.int32)
+    left = np.repeat(ends, np.diff(ends, prepend=-1)).astype(np.int32) - np.arange(n, dtype=np.int32)
     star = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     symbols = np.flatnonzero(np.bincount(text, minlength=256))
 
@@ -201,16 +201,15 @@ def suffix_buckets(text: np.ndarray, depth: int, folder: str, memory: int = 64 <
             larges.push(s, pos, common)
             seen = pos[-1]
             prev = pos - 1
-            sym = text[prev]
-            at = np.flatnonzero((pos > 0) & (sym >= s) & (sym > 0))
+            sym = text[prev]  # before the first stands the last, which is a 0
+            at = np.flatnonzero(sym >= max(s, 1))
             up.scan(common, at, prev[at], sym[at])
         if (batch := stars.pop(s)) is not None:
             pos, common = sort_tuples(words, left, batch[0], depth) if s else batch
             common = common.copy()
             common[0] = boundary(seen, pos[0]) if seen is not None else 0
-            prev = pos - 1
-            at = np.flatnonzero(pos > 0)
-            up.scan(common, at, prev[at], text[prev[at]])
+            prev = pos - 1  # of L type, so there is one and it's no 0
+            up.scan(common, np.arange(len(pos)), prev, text[prev])
 
     queue = DiskQueue(folder, "s", memory)
     down = Inducer(queue, depth)
@@ -224,7 +223,7 @@ def suffix_buckets(text: np.ndarray, depth: int, folder: str, memory: int = 64 <
             got.append((pos, common))
             prev = pos - 1
             sym = text[prev]
-            at = np.flatnonzero((pos > 0) & (sym <= s) & (sym > 0))
+            at = np.flatnonzero(sym - np.uint8(1) < s)  # from 1 to s: 0 wraps to 255
             down.scan(common, at, prev[at], sym[at])
         small_pos = np.concatenate([p for p, _ in got]) if got else np.zeros(0, np.int64)
         small_common = np.concatenate([c for _, c in got]) if got else np.zeros(0, np.uint8)
@@ -238,7 +237,7 @@ def suffix_buckets(text: np.ndarray, depth: int, folder: str, memory: int = 64 <
             pos = large_pos[::-1]
             prev = pos - 1
             sym = text[prev]
-            at = np.flatnonzero((pos > 0) & (sym < s) & (sym > 0))
+            at = np.flatnonzero(sym - np.uint8(1) < s - 1)
             down.scan(common, at, prev[at], sym[at])
         if s:
             # upwards: the value of a small entry is to the one below it

@@ -50,8 +50,8 @@ HOT_SEGMENTS = SHARD_BYTES // (WINDOW + GRAM)
 BLOCK_BYTES = 4 << 20
 #: Most shuffle partitions that targets are dealt into; a partition works off its targets one by one.
 MOST_PARTITIONS = 20_000
-#: Text bytes whose anchors are found at once; the temporaries take about 70 times that.
-SLICE = 1 << 19
+#: Text bytes whose anchors are found at once; the temporaries take about 70 times that, and should fit a core's cache.
+SLICE = 1 << 16
 #: Bytes of queue entries that a shard's sort holds before it goes to disk.
 SORT_MEMORY = 64 << 20
 _PLACE = np.uint64((1 << 28) - 1)
@@ -119,9 +119,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tu
     if n < window:
         return none, none.view(np.uint64), none, none
     up, down = powers(n + 1)
+    x = data.astype(np.uint64)
+    x += np.uint64(1)
+    x *= up[:-1]
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    h = mix64((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
+    np.cumsum(x, out=sums[1:])
+    h = sums[gram:] - sums[:-gram]
+    h *= down[: n - gram + 1]
+    h = mix64(h)
     low = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
     width, reach = window - gram + 1, 1
     while 2 * reach <= width:
@@ -129,14 +134,18 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tu
         reach *= 2
     if reach < width:
         low = np.minimum(low[: len(low) - (width - reach)], low[width - reach :])
-    rows = np.repeat(np.arange(len(offsets) - 1), np.maximum(np.diff(offsets) - window + 1, 0))
-    first = np.cumsum(np.maximum(np.diff(offsets) - window + 1, 0)) - np.maximum(np.diff(offsets) - window + 1, 0)
-    start = np.arange(len(rows)) - first[rows] + offsets[rows]
-    at = (low[start] & _PLACE).astype(np.int64)
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1]) | (rows[1:] != rows[:-1])
+    at = low & _PLACE
+    # an anchor's windows end where the next one's begin, or where windows would leave the text
+    new = np.ones(len(at) + 1, bool)
+    np.not_equal(at[1:], at[:-1], out=new[1:-1])
+    for edge in (offsets[:-1], np.maximum(offsets[1:] - window + 1, offsets[:-1])):
+        new[edge[edge <= len(at)]] = True
     begin = np.flatnonzero(new)
-    return rows[begin], h[at[begin]] >> np.uint64(16), start[begin], np.diff(np.append(begin, len(at)))
+    begin, size = begin[:-1], np.diff(begin)
+    rows = np.searchsorted(offsets, begin, "right") - 1
+    inside = begin + window <= offsets[rows + 1]
+    begin, size, rows = begin[inside], size[inside], rows[inside]
+    return rows, h[at[begin].astype(np.int64)] >> np.uint64(16), begin, size
 
 
 def packs(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -151,11 +160,18 @@ def cuts_of(x: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... (size[0] of them), start[1], ..."""
-    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+    out = np.repeat(start - (np.cumsum(size) - size), size)
+    out += np.arange(len(out))
+    return out
+
+
+def small_order(x: np.ndarray, most: int) -> np.ndarray:
+    """The stable order of numbers up to `most`; numpy counts those of at most 16 bits."""
+    return np.argsort(x.astype(np.min_scalar_type(most)), kind="stable")
 
 
-def least_of(data: np.ndarray, length: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Strings that lie side by side: the kind of each, in order of first appearance; a string of each kind; the least of the values by kind."""
+def least_of(data: np.ndarray, length: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Strings that lie side by side: the kind of each, in order of first appearance; a string of each kind; the bytes of all kinds; the least of the values by kind."""
     bounds = np.append(0, np.cumsum(length)).astype(np.int64)
     coded = pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
     kind = np.asarray(coded.indices).astype(np.int64)
@@ -166,7 +182,8 @@ def least_of(data: np.ndarray, length: np.ndarray, *values: np.ndarray) -> tuple
         low = np.full(len(pick), np.iinfo(np.int64).max)
         np.minimum.at(low, kind, v)
         out.append(low)
-    return kind, pick, out
+    distinct = coded.dictionary.buffers()[2]
+    return kind, pick, np.frombuffer(distinct, np.uint8)[: int(length[pick].sum())] if distinct else data[:0], out
 
 
 class Group:
@@ -175,14 +192,14 @@ class Group:
     def __init__(self, blobs: pa.ChunkedArray, window: int):
         x, self.window = join(blobs), window
         begin = np.cumsum(x["size"]) - x["size"]
-        raw = lambda r: x["bytes"][begin[r] : begin[r] + x["size"][r]].tobytes()
+        part = lambda r: x["bytes"][begin[r] : begin[r] + x["size"][r]]
         order = np.lexsort((x["size"], x["tid"], x["doc"]))
         same = np.flatnonzero((np.diff(x["doc"][order]) == 0) & (np.diff(x["tid"][order]) == 0))
         if len(same):
-            order = np.array(sorted(order.tolist(), key=lambda r: (x["doc"][r], x["tid"][r], raw(r))), np.int64)
+            order = np.array(sorted(order.tolist(), key=lambda r: (x["doc"][r], x["tid"][r], part(r).tobytes())), np.int64)
         self.order, self.doc, self.tid, self.size = order, x["doc"][order], x["tid"][order], x["size"][order]
         self.begin = np.cumsum(self.size) - self.size
-        self.bytes = x["bytes"][ranges(begin[order], self.size)]
+        self.bytes = np.concatenate([x["bytes"][:0], *map(part, order)])
 
     def raw(self, r: int) -> bytes:
         return self.bytes[self.begin[r] : self.begin[r] + self.size[r]].tobytes()
@@ -209,12 +226,12 @@ class Group:
     def marks(self) -> dict[str, np.ndarray]:
         """The group's distinct grams: key, least document, whether another one has it, occurrences; in order of documents."""
         row, name, _, _ = self.anchors()
-        order = np.argsort(name, kind="stable")  # rows are in order of documents
+        order = np.argsort(name)
         at = np.flatnonzero(np.diff(name[order], prepend=name[order[:1]] - np.uint64(1))) if len(name) else np.zeros(0, np.int64)
-        last = np.append(at[1:], len(name)) - 1
-        low, high = self.doc[row[order[at]]], self.doc[row[order[last]]] if len(name) else self.doc[:0]
-        by = np.argsort(low, kind="stable")
-        return {"key": name[order[at]][by], "doc": low[by], "many": (low != high)[by].astype(np.uint8), "times": np.minimum(last - at + 1, 65535)[by].astype(np.uint16)}
+        first, last = (least.reduceat(row[order], at) if len(name) else row for least in (np.minimum, np.maximum))  # rows are in order of documents
+        low, high, times = self.doc[first], self.doc[last], np.diff(np.append(at, len(name)))
+        by = small_order(first, len(self.size))
+        return {"key": name[order[at]][by], "doc": low[by], "many": (low != high)[by].astype(np.uint8), "times": np.minimum(times, 65535)[by].astype(np.uint16)}
 
     def pieces(self, keys: np.ndarray, hot: np.ndarray, shards: int) -> tuple[np.ndarray, ...]:
         """Row, place and kind of each piece, in order of shards; of each kind, in the same order: shard, windows, least and largest document, where its bytes end; and the bytes of all kinds.
@@ -239,7 +256,7 @@ class Group:
             np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
             own = (mix64((sums[w + self.window] - sums[w]) * down[w]) % np.uint64(shards)).astype(np.int64)
             row, place, n, target = (np.concatenate(v) for v in ((row[~many], of), (place[~many], w), (n[~many], np.ones(len(w), np.int64)), (target[~many], own)))
-        order = np.lexsort((place, target))
+        order = np.argsort((target << 32) | place)  # a place has one piece
         row, place, n, target = row[order], place[order], n[order], target[order]
         size = n + self.window - 1
         ends = np.cumsum(size)
@@ -250,11 +267,10 @@ class Group:
         while a < len(row):  # blocks of whole targets, so that not all bytes are held beside their places
             b = int(heads[max(np.searchsorted(heads, a, "right"), np.searchsorted(heads, np.searchsorted(ends, ends[a] + BLOCK_BYTES), "right") - 1)])
             data = self.bytes[ranges(place[a:b], size[a:b])]
-            own, pick, (low, high) = least_of(data, size[a:b], self.doc[row[a:b]], -self.doc[row[a:b]])
+            own, pick, distinct, (low, high) = least_of(data, size[a:b], self.doc[row[a:b]], -self.doc[row[a:b]])
             kind[a:b] = own + got
             got += len(pick)
-            first = np.cumsum(size[a:b]) - size[a:b]
-            kinds.append((target[a:b][pick], n[a:b][pick], low, -high, size[a:b][pick], data[ranges(first[pick], size[a:b][pick])]))
+            kinds.append((target[a:b][pick], n[a:b][pick], low, -high, size[a:b][pick], distinct))
             a = b
         if not kinds:
             kinds = [tuple(np.zeros(0, np.int64) for _ in range(5)) + (np.zeros(0, np.uint8),)]
@@ -272,28 +288,27 @@ class Group:
 
 def smallest_documents(data: np.ndarray, windows: np.ndarray, least: np.ndarray, window: int, folder: str, memory: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For segments that lie side by side, each with a document: the kind of each; for all kinds one after another, where their windows begin; and the smallest document of each window."""
-    length = windows + window - 1
-    kind, pick, (least,) = least_of(data, length, least)
-    n, begin = length[pick], (np.cumsum(length) - length)[pick]
+    kind, pick, distinct, (least,) = least_of(data, windows + window - 1, least)
     # the text: distinct segments, each followed by a 0; bytes are shifted by one (UTF-8 has no 0xFF)
-    to = np.cumsum(n + 1) - (n + 1)
-    text = np.zeros(int((n + 1).sum()), np.uint8)
-    text[ranges(to, n)] = data[ranges(begin, n)] + 1
     w = windows[pick]
     place = np.cumsum(w) - w
-    owner = np.full(len(text), -1, np.int32)  # the segment of a window's start
-    owner[ranges(to, w)] = np.repeat(np.arange(len(pick)), w)
+    inside = np.ones(len(distinct) + len(pick), bool)
+    inside[np.cumsum(w + window) - 1] = False
+    text = np.zeros(len(inside), np.uint8)
+    text[inside] = distinct + np.uint8(1)
+    # the segment of a window's start; behind a segment's starts come `window` places without
+    owner = np.repeat(np.column_stack([np.arange(len(pick), dtype=np.int32), np.full(len(pick), -1, np.int32)]).ravel(), np.column_stack([w, np.full(len(pick), window)]).ravel())
     smallest = np.empty(int(w.sum()), np.int64)
     for pos, common in suffix_buckets(text, window, folder, memory):
-        live = owner[pos] >= 0
+        own = owner[pos]
+        live = own >= 0
         group = np.cumsum(common < window)[live]
-        pos = pos[live]
+        pos, own = pos[live], own[live]
         if not len(pos):
             continue
-        own = owner[pos]
         head = np.flatnonzero(np.diff(group, prepend=-1))
         low = np.minimum.reduceat(least[own], head)
-        smallest[place[own] + pos - to[own]] = np.repeat(low, np.diff(np.append(head, len(pos))))
+        smallest[pos - window * own] = np.repeat(low, np.diff(np.append(head, len(pos))))
     return kind, place, smallest
 
 
@@ -352,7 +367,7 @@ def find_repeats(docs: DataFrame, key: str, text: str, window: int, with_rows: b
         """The grams of a group, by key."""
         x = Group(texts["pack"], window).marks()
         target = (x["key"] % np.uint64(mark_tasks)).astype(np.int64)
-        order = np.argsort(target, kind="stable")
+        order = small_order(target, mark_tasks)
         out = by_target(target[order], key_[0].as_py(), {k: v[order] for k, v in x.items()})
         lean()
         return out
@@ -371,7 +386,7 @@ def find_repeats(docs: DataFrame, key: str, text: str, window: int, with_rows: b
         keep, hot_of = np.zeros(len(key), bool), np.zeros(len(key), np.uint8)
         keep[order], hot_of[order] = both[of], hot[of]
         keep = np.flatnonzero(keep)
-        keep = keep[np.argsort(group[keep], kind="stable")]
+        keep = keep[small_order(group[keep], groups)]
         out = by_target(group[keep], key_[0].as_py(), {"key": key[keep], "hot": hot_of[keep]})
         lean()
         return out
@@ -410,7 +425,7 @@ def find_repeats(docs: DataFrame, key: str, text: str, window: int, with_rows: b
         new[1:] &= ~(less[:-1] & same)
         stop[:-1] &= ~(less[1:] & same)
         p, q = np.flatnonzero(new), np.flatnonzero(stop)
-        order = np.argsort(group[entry[p]], kind="stable")
+        order = small_order(group[entry[p]], groups)
         p, q = p[order], q[order]
         out = by_target(group[entry[p]], key_[0].as_py(), {"piece": piece[entry[p]].astype(np.int32), "first": inside[p].astype(np.uint8), "n": (q - p + 1).astype(np.uint8), "low": by[p]})
         lean()
@@ -425,9 +440,8 @@ def find_repeats(docs: DataFrame, key: str, text: str, window: int, with_rows: b
         first, n, low = (flat(replies[c], t)[0] for c, t in (("first", np.uint8), ("n", np.uint8), ("low", np.int64)))
         row, place, kind, shard, *_ = group.pieces(*told(marks.filter(pc.is_valid(marks["key"]))), shards)
         mine = np.searchsorted(shard, np.repeat(replies["source"].to_numpy(), sizes)) + piece  # pieces count from their shard's first
-        order = np.argsort(kind, kind="stable")
-        begin = np.searchsorted(kind[order], mine, "left")
-        size = np.searchsorted(kind[order], mine, "right") - begin
+        order, times = np.argsort(kind), np.bincount(kind)
+        begin, size = (np.cumsum(times) - times)[mine], times[mine]
         run, entry = np.repeat(np.arange(len(size)), size), order[ranges(begin, size)]
         gone = low[run] < group.doc[row[entry]]
         run, entry = run[gone], entry[gone]
